@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes handed to Python at once; a batch of texts must fit in a small worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that one numpy pass works on.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 U = np.uint64
 _STEP, _A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -134,7 +134,18 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Sums from which span_hash() has the hash of any span of the bytes."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((total[end] - total[start]) * _powers(len(total))[1][start] + (end - start).astype(np.uint64))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, separator: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of a batch: start and end in ``data``, hash, and each row's first word (one more at the end)."""
     n = len(data)
     if not n:
@@ -142,7 +153,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
         return z, z, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     if lower:
         data = _LOWER[data]
-    inside = ~_IS_SPACE[data]
+    inside = ~separator[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start = inside.copy()
@@ -150,11 +161,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     end = inside.copy()
     end[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return start, end, h, np.searchsorted(start, offsets)
+    return start, end, span_hash(prefix_hash(data), start, end), np.searchsorted(start, offsets)
 
 
 def windows(h: np.ndarray, k: int, salt: int) -> np.ndarray:

@@ -10,9 +10,11 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
 3. Nodes of at most ``boundary`` shingles are listed under every subset of the size that a partner of each
    possible size must share with them; larger ones under the first shingles of their order that any partner
    must share one of.  ``boundary`` minimises the postings of both kinds, from the histogram of sizes.
-4. Each list's members are compared with its least member; links make components.  Lists that still hold
-   several components are compared exhaustively across these.  So every pair that is in no list together
-   cannot link, and every pair within a list is compared or already connected.
+4. In each list one member is compared with those of other components; links make components.  Rounds with other
+   members follow while they connect more, so that a large group of near copies becomes one component without its
+   pairs being made.  What lists then still hold of different components is compared exhaustively.  So a pair that
+   is in no list together cannot link, and every pair within a list is compared or already connected.
+5. Before sets are sent for a comparison, the number of shared first shingles must reach what a link needs.
 
 Nulls, empty texts and texts without words: an empty set, linked with nothing, component_id is the own doc_id.
 Fewer than five words: the whole sequence is the only shingle.  Repeated rows and equal ids: each row is a row of the
@@ -28,7 +30,8 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, U, batch, buffers, chunks, mix, prepare, texts, windows, words
@@ -45,10 +48,11 @@ HOT = 1 << 10
 #: Bits of the filter of nodes whose sets are sent; of fixed size as well.
 FILTER = 1 << 24
 LARGEST_BOUNDARY = 24
+#: Rounds that compare one member of each list, at most; they end when one connects nothing more.
+ROUNDS = 6
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("slots", pa.binary())])
 POSTS = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("posts", pa.binary())])
-LISTS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("least", pa.int64()), ("least_size", pa.int32()), ("least_pos", pa.int32())])
 FLAT = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 BLOBS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 POST = np.dtype([("key", np.uint64), ("node", np.int64), ("size", np.int32), ("pos", np.int32)])
@@ -173,7 +177,7 @@ def postings(weights, boundary: int, buckets: int):
                 for i, part in zip(cut, np.split(own, cut[1:]) if len(cut) else [], strict=True):
                     rows["bucket"].append(int(bucket[own[i]]))
                     rows["hot"].append(is_hot)
-                    rows["posts"].append(b"".join(np.ascontiguousarray(p[f][part]).tobytes() for f in POST.names))
+                    rows["posts"].append(packed(p[part]))
             return batch(rows, POSTS)
 
         for b in batches:
@@ -196,7 +200,7 @@ def postings(weights, boundary: int, buckets: int):
                 p["key"], p["node"], p["size"], p["pos"] = np.concatenate(keys), node, s, np.concatenate(pos)
                 found.append(p)
                 n += len(p)
-            if n >= 1 << 20:
+            if n >= 1 << 19:
                 yield flush()
                 found, n = [], 0
         if n:
@@ -205,29 +209,38 @@ def postings(weights, boundary: int, buckets: int):
     return run
 
 
+def packed(p: np.ndarray) -> bytes:
+    """Postings by key, column by column and byte by byte, which leaves runs of zeros."""
+    p = p[np.argsort(p["key"], kind="stable")]
+    parts = []
+    for f in POST.names:
+        x = np.diff(p[f], prepend=p[f].dtype.type(0)) if f == "key" else np.ascontiguousarray(p[f])
+        parts.append(x.view(np.uint8).reshape(len(p), -1).T.tobytes())
+    return zstandard.compress(b"".join(parts), 1)
+
+
 def posts_of(blob) -> np.ndarray:
-    raw = np.frombuffer(blob.as_buffer(), np.uint8)
+    raw = np.frombuffer(zstandard.decompress(blob.as_buffer()), np.uint8)
     n = len(raw) // POST.itemsize
     out, at = np.zeros(n, POST), 0
     for f in POST.names:
-        out[f] = raw[at : at + n * POST[f].itemsize].view(POST[f])
-        at += n * POST[f].itemsize
+        width = POST[f].itemsize
+        x = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(POST[f]).ravel()
+        out[f] = np.cumsum(x, dtype=np.uint64) if f == "key" else x
+        at += n * width
     return out
 
 
 def lists(t: pa.Table) -> pa.Table:
-    """The lists of one bucket that hold two nodes or more, with each list's least node."""
+    """The lists of one bucket that hold two nodes or more."""
     p = np.concatenate([posts_of(x) for x in t.column("posts")])
     p = p[np.lexsort((p["pos"], p["node"], p["key"]))]
     same = (p["key"][1:] == p["key"][:-1]) & (p["node"][1:] == p["node"][:-1])
     p = p[np.r_[True, ~same]]  # a node that several tasks met
     first = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]])
     n = np.diff(np.r_[first, len(p)])
-    least = np.repeat(p[first], n)
-    more = np.repeat(n > 1, n)
-    p, least = p[more], least[more]
-    cols = [p["key"].astype(np.int64), p["node"], p["size"], p["pos"], least["node"], least["size"], least["pos"]]
-    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], schema=LISTS)
+    p = p[np.repeat(n > 1, n)]
+    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(p[f]).astype(np.int64 if f == "key" else p[f].dtype)) for f in POST.names], schema=FLAT)
 
 
 def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +250,19 @@ def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[f]).astype(np.int64 if f == "key" else p[f].dtype)) for f in POST.names], schema=FLAT)
 
 
-def may_link(size, pos, size2, pos2, boundary: int):
-    """What a list's kind, sizes and places in the order still allow."""
-    need = F.ceil(NUM * (size + size2) / F.lit(DEN + NUM))
-    by_subset = (pos < 0) & (pos == -need)
-    by_prefix = (pos >= 0) & (F.greatest(size, size2) > boundary) & (F.least(size - pos, size2 - pos2) >= need)
-    return (pos < 0) == (pos2 < 0), by_subset | by_prefix
+def may_link(a: str, b: str, boundary: int) -> Column:
+    """What a list's kind, and sizes and places in the order of two of its entries (structs), still allow."""
+    s, t, i, j = (F.col(f"{x}.{f}") for f in ("size", "pos") for x in (a, b))
+    need = F.ceil(NUM * (s + t) / F.lit(DEN + NUM))
+    by_subset = (i < 0) & (j < 0) & (i == -need)
+    by_prefix = (i >= 0) & (j >= 0) & (F.greatest(s, t) > boundary) & (F.least(s - i, t - j) >= need)
+    return by_subset | by_prefix
+
+
+def least_shared(s: Column, t: Column) -> Column:
+    """So many of their first shingles two linked sets share: the one whose last such shingle comes first in the order
+    has no more than its other shingles to share besides."""
+    return F.ceil(NUM * (s + t) / F.lit(DEN + NUM)) - F.ceil(NUM * F.greatest(s, t) / F.lit(DEN)) + 1
 
 
 def marks(t: pa.Table) -> pa.Table:
@@ -318,8 +338,54 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def placed(found: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists' entries as structs, with their component so far."""
+    out = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else found.withColumn("root", F.col("node"))
+    return out.select("key", F.struct("root", "node", "size", "pos").alias("x"))
+
+
+def unsettled(entries: DataFrame, pick: Column) -> DataFrame:
+    """Entries (x) of the lists that hold several components, with the one of least ``pick`` (p)."""
+    ends = entries.groupBy("key").agg(F.min(F.struct(pick.alias("by"), F.col("x"))).alias("p"), F.min("x.root").alias("low"), F.max("x.root").alias("high"))
+    return entries.join(ends.where("low < high").select("key", F.col("p.x").alias("p")), "key")
+
+
+def one_against_all(entries: DataFrame, turn: int, boundary: int) -> DataFrame:
+    """Pairs (a, b) of one member of each list, another one in each turn, with those of other components, if the lists
+    in which they meet so are half as many as a link needs."""
+    pick = F.xxhash64(F.col("x.node"), F.lit(turn)) if turn else F.col("x.node")
+    pairs = unsettled(entries, pick).where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
+    pairs = pairs.groupBy(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b")).agg(F.count("*").alias("n"), F.first(F.col("x.size")).alias("s"), F.first(F.col("p.size")).alias("t"))
+    return pairs.where((2 * F.col("n") >= least_shared(F.col("s"), F.col("t"))) | (F.greatest("s", "t") <= boundary)).select("a", "b")
+
+
+def across(entries: DataFrame, boundary: int) -> DataFrame:
+    """All pairs (a, b) of different components that are in a list together and may link, with what they must share."""
+    both = unsettled(entries, F.col("x.node"))
+    other = both.where(F.col("x.root") != F.col("p.root")).select("key", F.col("x").alias("y"))
+    pairs = other.join(both.select("key", "x", (F.col("x.root") == F.col("p.root")).alias("main")), "key")
+    pairs = pairs.where((F.col("x.root") != F.col("y.root")) & (F.col("main") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y", boundary))
+    shared = F.when(F.greatest("x.size", "y.size") > boundary, least_shared(F.col("x.size"), F.col("y.size"))).otherwise(0)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), shared.cast("int").alias("shared")).distinct()
+
+
+def enough_shared(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that share as many of their first shingles as a link needs."""
+    keys = found.where("pos >= 0").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    out = pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a", "left").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b", "left")
+    return out.where((F.col("shared") <= 1) | (F.size(F.array_intersect("ka", "kb")) >= F.col("shared"))).select("a", "b", "shared")
+
+
 def jaccard_join(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (the set's signature, null for empty sets) and component_id of every document."""
+    labelled = classes(spark, documents)
+    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_doc"))
+    out = labelled.join(least, "label", "left")
+    return out.select("doc_id", "n_shingles", "node", F.coalesce("least_doc", "doc_id").alias("component_id"))
+
+
+def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node and label, the component's least node, of every document."""
     prepare(spark)
     docs, scratch = texts(documents), Scratch(spark, "ngram-join")
     sets = scratch.keep(docs.mapInArrow(signatures, "doc_id long, n_shingles long, node long, slots binary"), "sets")
@@ -334,36 +400,50 @@ def jaccard_join(spark: SparkSession, documents: DataFrame) -> DataFrame:
     buckets = 1 << max(4, (sum(r.t for r in histogram) // 1_000_000).bit_length())
 
     posted = scratch.keep(docs.mapInArrow(postings(spark.sparkContext.broadcast(weights), boundary, buckets), "bucket long, hot boolean, posts binary"), "posts")
-    names = [f.name for f in LISTS]
-    cold = posted.where("not hot").select("bucket", "posts").groupBy("bucket").applyInArrow(lists, "key long, node long, size int, pos int, least long, least_size int, least_pos int")
-    rows = posted.where("hot").select("posts").mapInArrow(flat, "key long, node long, size int, pos int").distinct()
-    ends = rows.groupBy("key").agg(F.min(F.struct("node", "size", "pos")).alias("p"), F.max("node").alias("most")).where("p.node < most")
-    hot = rows.join(ends, "key").select("key", "node", "size", "pos", F.col("p.node").alias("least"), F.col("p.size").alias("least_size"), F.col("p.pos").alias("least_pos"))
-    found = scratch.keep(cold.select(*names).union(hot.select(*names)), "lists")
+    entry = "key long, node long, size int, pos int"
+    cold = posted.where("not hot").select("bucket", "posts").groupBy("bucket").applyInArrow(lists, entry)
+    rows = posted.where("hot").select("posts").mapInArrow(flat, entry).distinct()
+    more = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    found = scratch.keep(cold.union(rows.join(more, "key", "left_semi").select(*cold.columns)), "lists")
     scratch.drop(posted)
 
-    same, ok = may_link(F.col("size"), F.col("pos"), F.col("least_size"), F.col("least_pos"), boundary)
-    tried = scratch.keep(found.where("node != least").where(same & ok).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    links = scratch.keep(linked(spark, docs, tried), "links")
-    roots = components(links, scratch)
-
-    # What is left: within a list, pairs of different components, one of which is not that of the list's least node.
-    placed = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.join(roots.select(F.col("node").alias("least"), F.col("root").alias("least_root")), "least", "left").withColumn("least_root", F.coalesce("least_root", "least"))
-    x = placed.where("root != least_root").select("key", F.col("node").alias("n1"), F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
-    y = placed.select("key", F.col("node").alias("n2"), F.col("size").alias("s2"), F.col("pos").alias("p2"), F.col("root").alias("r2"), (F.col("root") == F.col("least_root")).alias("main"))
-    same, ok = may_link(F.col("s1"), F.col("p1"), F.col("s2"), F.col("p2"), boundary)
-    rest = x.join(y, "key").where((F.col("r1") != F.col("r2")) & (F.col("main") | (F.col("n1") < F.col("n2"))) & same & ok)
-    rest = rest.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "rest")
+    links, roots, tried = None, None, None
+    for turn in range(ROUNDS):
+        pairs = one_against_all(placed(found, roots), turn, boundary)
+        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        if turn and not pairs.take(1):
+            break
+        new = scratch.keep(linked(spark, docs, pairs), "links")
+        tried = scratch.keep(tried.union(pairs), "tried") if tried else pairs
+        if turn and not new.take(1):
+            break
+        links = scratch.keep(links.union(new), "links") if links else new
+        roots = components(links, scratch)
+    rest = across(placed(found, roots), boundary).join(tried, ["a", "b"], "left_anti")
+    rest = scratch.keep(enough_shared(rest, found).select("a", "b"), "rest")
     if rest.take(1):
-        more = scratch.keep(linked(spark, docs, rest).union(links), "links")
-        scratch.drop(links)
-        roots = components(more, scratch)
+        roots = components(links.union(linked(spark, docs, rest)), scratch)
     scratch.drop(found, tried, rest)
 
-    # Each component's least doc_id.
-    labelled = own.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_doc"))
-    out = labelled.join(least, "label", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("least_doc", "doc_id").alias("component_id"))
+    return own.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).select("doc_id", "n_shingles", "node", "label")
+
+
+def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """The documents with their own columns, of each component one: that of least doc_id (of several such rows that of
+    least node, then of least text).  Documents without words stay."""
+    labelled = classes(spark, documents).where("label is not null")
+    keep = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("kept__node"), F.col("k.doc_id").alias("kept__id"))
+    names, at = documents.columns, documents.columns.index("text")
+    schema = documents.withColumn("own__node", F.lit(None).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [signature(x) if len(x) else None for _, x in shingle_sets(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*names, "own__node"])
+
+    # Rows without words meet nothing, but must not all meet in one task either.
+    docs = documents.mapInArrow(run, schema).withColumn("own__key", F.coalesce("own__node", F.xxhash64("doc_id")))
+    same = (F.col("own__key") == F.col("kept__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept__id")) & F.col("own__node").isNotNull()
+    docs = docs.join(keep, same, "left").where(F.col("own__node").isNull() | F.col("kept__node").isNotNull())
+    turn = F.row_number().over(Window.partitionBy("own__key", "doc_id").orderBy("text"))
+    return docs.withColumn("own__turn", turn).where(F.col("own__node").isNull() | (F.col("own__turn") == 1)).select(*(F.col(f"`{c}`") for c in names))
