@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import prepare
 
 SCALE = 64
 #: Rows of a shard and queries of a group: what a cell holds at most, give or take what hashing spreads.
@@ -91,10 +92,10 @@ def ordered(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def cell(k: int):
-    def run(key, queries: pa.Table, shard: pa.Table) -> pa.Table:
+    def run(key, t):
         group, part = (x.as_py() for x in key)
         rows = []
-        left, right = matrices(queries), matrices(shard)
+        left, right = matrices(t.filter(t.column("is_query"))), matrices(t.filter(pc.invert(t.column("is_query"))))
         for d, (own, q) in left.items():
             ids, x = right.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
             for a in range(0, len(own), TILE_QUERIES):
@@ -130,7 +131,7 @@ def unpacked(r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def merge(k: int):
     """Merges the blocks of the same queries among those of a group of shards."""
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         group, part = (x.as_py() for x in key)
         lists: dict = {}
         for r in t.to_pylist():
@@ -178,10 +179,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) ->
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(into - 1).cast("long")))
 
     queries = rows.where("is_query").dropDuplicates(["vec_id", "embedding"]).withColumn("query_group", deal("vec_id", groups, 1)).withColumn("shard", every(shards))
-    tiles = rows.withColumn("shard", deal("vec_id", shards, 2)).withColumn("query_group", every(groups))
-    keep = ["query_group", "shard", "vec_id", "embedding"]
-    lists = queries.select(*keep).groupBy("query_group", "shard").cogroup(tiles.select(*keep).groupBy("query_group", "shard")).applyInArrow(cell(k), LISTS)
-    lists = lists.withColumn("block", F.xxhash64("query_ids"))
+    tiles = rows.withColumn("is_query", F.lit(False)).withColumn("shard", deal("vec_id", shards, 2)).withColumn("query_group", every(groups))
+    keep = ["query_group", "shard", "is_query", "vec_id", "embedding"]
+    lists = queries.select(*keep).union(tiles.select(*keep)).groupBy("query_group", "shard").applyInArrow(cell(k), LISTS)
     left = shards
     while left > 1:
         lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN)).select("query_group", "shard", "query_ids", "ids", "scores").groupBy("query_group", "shard").applyInArrow(merge(k), LISTS)
