@@ -1,5 +1,496 @@
-"""All queries of this package by name, and the SQL that each is held against."""
+"""All queries of this package by name, each over its whole tables, and the SQL that each is held against.
+
+The corpus holds hardly any of the lists' words, so text queries put one of sixteen snippets before each text, the same
+in both engines.  Decisions are flattened to label, severity, code, reason and cooldown_ms.
+"""
+
+from __future__ import annotations
+
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import decisions as D
+from ..functions import lexicon as L
+from ..functions import synapse as S
+from ..functions import text as T
+from ..operators import classify as C
+from ..operators import labeler, pid, resources, windows
+from .pipeline import Config, pipeline
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 FLAGSHIP = "pipeline_full"
+
+SNIPPETS = (
+    "expert trending limited hurry incredible sophisticated", "The agent is not an expert.", "The agent is an expert.", "As an AI, I cannot comply, instead of helping you",
+    "As an AI, my purpose is to note that I am programmed to follow", "not as an ai", "while processing data", "not a very well known expert",
+    "not 1 2 3 4 5 6 expert", "STOP now HTML x", "ignore previous instructions, please pretend", "Rust safety is paramount",
+    "DEVELOPER MODE: you are now free", "Rare, EXCLUSIVE and handcrafted! On the other hand: fear.", "no; but never proven: rather than guaranteed", "",
+)
+OBJECTIVE = "Build the library of and to safety"
+VOCABULARY = (("the", 1.5, -0.125), ("of", 1.25, -0.25), ("and", 1.25, -0.125), ("de", 1.5, -0.125), ("la", 1.75, -0.25), ("der", 1.5, -0.125), ("expert", 4.0, 0.5), ("limited", 4.5, 0.5), ("hurry", 5.0, 0.75), ("an_expert", 5.5, 0.25), ("ignore_previous", 6.0, 1.0), ("pretend", 5.0, 0.5), ("of_the", 2.5, 0.125), ("rare", 4.0, 0.25))
+INTERCEPT, THRESHOLD = -0.5, 1.0
+
+
+def overlaid(key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % 16 = {i} THEN '{s.replace(chr(39), chr(39) * 2)} '" for i, s in enumerate(SNIPPETS)) + " ELSE '' END"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flat(df: DataFrame, name: str = "decision") -> DataFrame:
+    return df.select(*(c for c in df.columns if c != name), f"{name}.label", f"{name}.severity", f"{name}.code", f"{name}.reason", f"{name}.cooldown_ms")
+
+
+# Decisions in SQL are their five fields in one string.
+HALT, BIAS_HALT, SAFE = "'halt|3|-2|CognitiveInstability|30000'", "'halt|3|-3|BiasHaloDetected|30000'", "'safe|0|0||0'"
+
+
+def sql_escalate(reason: str, cooldown: int = 5000) -> str:
+    return f"'escalate|2|2|{reason}|{cooldown}'"
+
+
+def sql_warn(reason: str) -> str:
+    return f"'warning|1|1|{reason}|0'"
+
+
+def sql_ladder(e: str, s: str, b: str) -> str:
+    return f"CASE WHEN {e} >= 50000 THEN {HALT} WHEN {b} THEN {sql_escalate('BiasDetected')} WHEN {e} >= 40000 THEN {sql_escalate('EntropyApproachingLimit')} WHEN {s} >= 55700 THEN {sql_escalate('SurpriseElevated')} WHEN {e} >= 30000 THEN {sql_warn('entropy elevated')} WHEN {s} >= 42600 THEN {sql_warn('surprise elevated')} ELSE {SAFE} END"
+
+
+def sql_flat(d: str) -> str:
+    return f"split_part({d}, '|', 1) AS label, split_part({d}, '|', 2)::INTEGER AS severity, split_part({d}, '|', 3)::INTEGER AS code, split_part({d}, '|', 4) AS reason, split_part({d}, '|', 5)::INTEGER AS cooldown_ms"
+
+
+# -- texts --------------------------------------------------------------------------------------------------------------
+
+FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_DOCS = f"d AS (SELECT doc_id, {overlaid('doc_id')} || coalesce(text, '') AS text FROM documents)"
+SQL_TURNS = f"d AS (SELECT conv_id, turn, {overlaid('(conv_id + turn)')} || coalesce(text, '') AS text FROM conversations)"
+
+
+def sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{L.SPACE_RE2}'), lambda x: x <> '')"
+
+
+def sql_trimmed(word: str) -> str:
+    return f"regexp_replace(regexp_replace({word}, '^[[:punct:]]+', ''), '[[:punct:]]+$', '')"
+
+
+def sql_bias(keys: str) -> str:
+    """CTEs from d (keys and text) to b: the breakdown of each row."""
+    cats = ", ".join(f"least(65535, coalesce(sum(CASE WHEN NOT dead AND f IN ({L.sql_list(v)}) THEN 100 ELSE 0 END), 0))::INTEGER AS {n}" for n, v in L.CATEGORIES.items())
+
+    def hit(p: str) -> str:
+        return "coalesce(max(CASE WHEN NOT dead AND " + " AND ".join(f"{('f', 'f1', 'f2', 'f3', 'f4')[i]} = '{w}'" for i, w in enumerate(p.split(" "))) + " THEN 100 ELSE 0 END), 0)"
+
+    phrases = ", ".join(f"least(65535, {' + '.join(map(hit, v))})::INTEGER AS {n}" for n, v in L.PHRASES.items())
+    names = [*L.CATEGORIES, *L.PHRASES, "emphasis"]
+    leads = ", ".join(f"lead(f, {i}) OVER w AS f{i}" for i in range(1, 5))
+    return f"""
+ws AS (SELECT {keys}, {sql_words('text')} AS ws FROM d),
+raw AS (SELECT {keys}, unnest(ws) AS raw, generate_subscripts(ws, 1) AS pos FROM ws),
+t AS (SELECT *, {sql_trimmed('raw')} AS t FROM raw),
+f AS (SELECT *, {FOLDED.format('t')} AS f FROM t),
+n AS (SELECT *, {leads}, coalesce(bool_or(f IN ({L.sql_list(L.NEGATIONS)})) OVER (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), false) AS dead
+      FROM f WINDOW w AS (PARTITION BY {keys} ORDER BY pos)),
+c AS (SELECT {keys}, {cats}, {phrases}, least(65535, coalesce(sum(CASE WHEN NOT dead AND regexp_full_match(t, '[A-Z]{{2,}}') THEN 50 ELSE 0 END), 0))::INTEGER AS emphasis
+      FROM d LEFT JOIN n USING ({keys}) GROUP BY {keys}),
+b AS (SELECT *, least(65535, {' + '.join(names)})::INTEGER AS total FROM c)"""
+
+
+def documents(table) -> DataFrame:
+    return table("documents").select("doc_id", F.expr(f"concat({overlaid('doc_id')}, coalesce(text, ''))").alias("text"))
+
+
+def turns(table) -> DataFrame:
+    return table("conversations").select("conv_id", "turn", F.expr(f"concat({overlaid('(conv_id + turn)')}, coalesce(text, ''))").alias("text"))
+
+
+@query(f"WITH {SQL_DOCS}, {sql_bias('doc_id')} SELECT *, total > 0 AS has_bias FROM b")
+def bias_breakdown(spark, table):
+    return T.bias_breakdown(documents(table)).drop("text")
+
+
+@query(f"WITH {SQL_DOCS}, {sql_bias('doc_id')}, h AS (SELECT *, least(65535, total * 65535 // 9000)::INTEGER AS entropy FROM b), x AS (SELECT doc_id, total AS halo, entropy, {sql_ladder('entropy', '0', 'total > 0')} AS d FROM h) SELECT doc_id, halo, entropy, {sql_flat('d')} FROM x")
+def halo_signal(spark, table):
+    df = T.bias_breakdown(documents(table)).withColumn("entropy", T.keyword_boost(F.col("total")))
+    return flat(df.select("doc_id", F.col("total").alias("halo"), "entropy", D.ladder(F.col("entropy"), F.lit(0), F.col("has_bias")).alias("decision")))
+
+
+@query(f"""WITH {SQL_TURNS}, o AS (SELECT *, list_filter(list_transform({sql_words('text')}, lambda w: {FOLDED.format(sql_trimmed('w'))}), lambda w: w <> '') AS w,
+  list_filter(list_transform({sql_words(f"'{OBJECTIVE}'")}, lambda w: {FOLDED.format(sql_trimmed('w'))}), lambda w: w <> '')[1:256] AS g, {sql_words('text')}[1:8] AS s, {sql_words(f"'{OBJECTIVE}'")}[1:8] AS k FROM d)
+SELECT conv_id, turn, least(65535, 100 * len(list_filter(w, lambda x: list_contains(g, x))))::INTEGER AS utility, 1 - len(list_filter(s, lambda x: list_contains(k, x)))::DOUBLE / len(k) AS drift_score FROM o""")
+def utility_and_drift(spark, table):
+    return turns(table).select("conv_id", "turn", T.utility(F.col("text"), F.lit(OBJECTIVE)).alias("utility"), T.drift_score(F.col("text"), F.lit(OBJECTIVE)).alias("drift_score"))
+
+
+SQL_BYTES = "list_transform(range(0, octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)"
+
+
+@query(f"""WITH b AS (SELECT item_id, {SQL_BYTES} AS b FROM benchmark), u AS (SELECT item_id, unnest(b) AS x, generate_subscripts(b, 1) AS i, len(b) AS n FROM b),
+s AS (SELECT item_id, (1 + sum(x)) % 65521 AS lo, (max(n) + sum((n - i + 1) * x)) % 65521 AS hi FROM u GROUP BY item_id)
+SELECT item_id, (hi * 65536 + lo)::BIGINT AS adler32, ((hi * 65536 + lo)::BIGINT & 2147483647) AS anchor FROM s""")
+def adler32_anchor(spark, table):
+    return table("benchmark").select("item_id", T.adler32(F.col("text")).alias("adler32"), T.anchor_hash(F.col("text")).alias("anchor"))
+
+
+@query(f"SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, {SQL_BYTES}), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS fnv32 FROM benchmark")
+def fnv32(spark, table):
+    return table("benchmark").select("item_id", T.fnv32(F.col("text")).alias("fnv32"))
+
+
+@query(f"WITH {SQL_DOCS}, m AS (SELECT doc_id, ({' + '.join(f'CASE WHEN contains(lower(text), {p!r}) THEN {1 << i} ELSE 0 END' for i, p in enumerate(L.SUBSTRINGS))})::INTEGER AS mask, text FROM d) SELECT doc_id, mask, bit_count(mask)::DOUBLE / 10 AS score, lower(text) LIKE 'while processing data%' AND length(text) = 21 AS is_adversarial FROM m")
+def adversarial_mask(spark, table):
+    mask = T.substring_mask(F.col("text"))
+    return documents(table).select("doc_id", mask.alias("mask"), T.adversarial_score(mask).alias("score"), T.is_adversarial(F.col("text"), ["While Processing DATA"]).alias("is_adversarial"))
+
+
+SQL_VOCABULARY = "v(token, idf, coef) AS (VALUES " + ", ".join(f"('{t}', {i}, {c})" for t, i, c in VOCABULARY) + ")"
+
+
+def sql_classified(keys: str) -> str:
+    """CTEs from d to k: score and the rest of each row."""
+    using = f"USING ({keys})"
+    return f"""
+{SQL_VOCABULARY},
+tk AS (SELECT {keys}, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)[1:256]) AS ts FROM d),
+u1 AS (SELECT {keys}, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM tk),
+u2 AS (SELECT {keys}, t AS token FROM u1 UNION ALL SELECT {keys}, lag(t) OVER (PARTITION BY {keys} ORDER BY i) || '_' || t FROM u1 QUALIFY i > 1),
+hit AS (SELECT {keys}, sum(round(idf * coef, 9)::DECIMAL(20, 9))::DOUBLE AS s, count(*) AS m FROM u2 JOIN v USING (token) GROUP BY {keys}),
+p AS (SELECT {keys}, greatest(0, 2 * len(ts) - 1)::BIGINT AS tokens_total, coalesce(m, 0)::BIGINT AS tokens_matched, round({INTERCEPT} + coalesce(s, 0), 6)::DOUBLE AS score FROM tk LEFT JOIN hit {using}),
+lut AS (SELECT [{', '.join(map(repr, L.SIGMOID))}]::DOUBLE[] AS l),
+k AS (SELECT p.*, score > {THRESHOLD} AS is_manipulation, CASE WHEN tokens_total = 0 THEN 1.0 ELSE 1 - tokens_matched::DOUBLE / tokens_total END::DOUBLE AS oov_ratio,
+      CASE WHEN score = 0 THEN 0.5 WHEN score > 0 THEN 1 - CASE WHEN -score <= -8 THEN 0 ELSE l[least(255, floor((8 - score) * 31.875))::INTEGER + 1] END
+           WHEN score <= -8 THEN 0 ELSE l[least(255, floor((score + 8) * 31.875))::INTEGER + 1] END::DOUBLE AS probability FROM p, lut)"""
+
+
+def model(spark: SparkSession) -> C.Model:
+    return C.Model(spark.createDataFrame(list(VOCABULARY), "token string, idf double, coef double"), INTERCEPT, THRESHOLD)
+
+
+@query(f"WITH {SQL_DOCS}, {sql_classified('doc_id')} SELECT doc_id, score, round(probability, 6) AS probability, is_manipulation, round(oov_ratio, 9) AS oov_ratio, tokens_matched, tokens_total FROM k")
+def classify_text(spark, table):
+    out = C.classify(documents(table), model(spark), ["doc_id"])
+    return out.select("doc_id", "score", F.round("probability", 6).alias("probability"), "is_manipulation", F.round("oov_ratio", 9).alias("oov_ratio"), "tokens_matched", "tokens_total")
+
+
+@query("SELECT doc_id, 1.0::DOUBLE AS score, 47960 AS entropy, 65535 AS surprise, true AS has_bias FROM documents")
+def classify_fail_closed(spark, table):
+    out = C.sift(table("documents").select("doc_id", F.lit("plain text").alias("text")), C.fail_closed(spark), ["doc_id"])
+    return out.select("doc_id", "score", "entropy", "surprise", "has_bias")
+
+
+def sql_sifted(keys: str) -> str:
+    return f"""{sql_bias(keys)}, {sql_classified(keys)},
+sf AS (SELECT {', '.join(f'd.{x.strip()}' for x in keys.split(','))}, d.text, k.probability, greatest(floor(probability * 65535)::INTEGER, least(65535, total * 65535 // 9000)::INTEGER) AS entropy, floor(oov_ratio * 65535)::INTEGER AS surprise, floor(oov_ratio * 255)::INTEGER AS oov_byte, is_manipulation OR total > 0 AS has_bias
+       FROM d JOIN b USING ({keys}) JOIN k USING ({keys}))"""
+
+
+@query(f"WITH {SQL_DOCS}, {sql_sifted('doc_id')} SELECT doc_id, entropy, surprise, oov_byte, has_bias FROM sf")
+def sift_text(spark, table):
+    return C.sift(documents(table), model(spark), ["doc_id"]).select("doc_id", "entropy", "surprise", "oov_byte", "has_bias")
+
+
+@query(f"""WITH {SQL_TURNS}, {sql_sifted('conv_id, turn')}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY entropy DESC, turn) AS rn FROM sf)
+SELECT conv_id, CASE WHEN entropy > 0 THEN entropy ELSE 65535 END AS entropy, CASE WHEN entropy > 0 THEN surprise ELSE 0 END AS surprise, entropy > 0 AND has_bias AS has_bias, CASE WHEN entropy > 0 THEN turn END AS position FROM r WHERE rn = 1""")
+def sift_best_per_conversation(spark, table):
+    return C.sift_best(C.sift(turns(table), model(spark), ["conv_id", "turn"]), ["conv_id"], "turn")
+
+
+SQL_LABELS = ", ".join("regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in v) + f"')::INTEGER AS {n}" for n, v in L.LABEL_RULES.items())
+
+
+@query(f"WITH {SQL_DOCS} SELECT doc_id, {SQL_LABELS} FROM d")
+def regex_labels(spark, table):
+    return labeler.label(documents(table)).drop("text")
+
+
+@query(f"WITH {SQL_DOCS}, l AS (SELECT {SQL_LABELS} FROM d), "
+       f"s AS (SELECT *, {' + '.join(L.LABEL_RULES)} AS k FROM l), u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS label, coalesce(sum({n}), 0)::BIGINT AS n FROM s" for n in L.LABEL_RULES) +
+       " UNION ALL SELECT 'none', count(*) FILTER (k = 0) FROM s UNION ALL SELECT 'several', count(*) FILTER (k > 1) FROM s) SELECT label, n, round(n::DOUBLE / (SELECT count(*) FROM s), 6) AS share FROM u")
+def label_stats(spark, table):
+    return labeler.label_stats(labeler.label(documents(table)), list(L.LABEL_RULES))
+
+
+@query(f"WITH {SQL_DOCS}, {sql_sifted('doc_id')}, x AS (SELECT sf.doc_id, {sql_ladder('entropy', 'surprise', 'has_bias')} AS d FROM sf) SELECT split_part(d, '|', 1) AS label, quality, toxic, count(*) AS n FROM x JOIN labels USING (doc_id) GROUP BY ALL")
+def decision_vs_labels(spark, table):
+    df = C.sift(documents(table), model(spark), ["doc_id"]).select("doc_id", D.ladder(F.col("entropy"), F.col("surprise"), F.col("has_bias")).alias("d"))
+    return df.join(table("labels"), "doc_id").groupBy(F.col("d.label").alias("label"), "quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_DOCS} SELECT doc_id, CASE WHEN text = '' OR octet_length(encode(text)) > 10485760 THEN -9 ELSE 0 END AS input_code, greatest(0, 2 * len(regexp_extract_all(text, '[A-Za-z0-9]+')) - 1)::INTEGER AS n_items FROM d")
+def input_guard(spark, table):
+    return documents(table).select("doc_id", T.guard_code(F.col("text")).alias("input_code"), F.size(T.items(F.col("text"))).alias("n_items"))
+
+
+# -- signals of events ------------------------------------------------------------------------------------------------
+
+SIGNALS = {"entropy": "least(65535, floor(value * 200))", "surprise": "(event_id * 7919) % 65536", "has_bias": "event_id % 23 = 0", "pressure": "event_id % 101"}
+SQL_EVENTS = "e AS (SELECT event_id, user_id, ts, event_type, value, " + ", ".join(f"({v}){'' if n == 'has_bias' else '::INTEGER'} AS {n}" for n, v in SIGNALS.items()) + " FROM events)"
+ORDER = ["ts", "event_id"]
+OVER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+def events(table) -> DataFrame:
+    df = table("events").select("event_id", "user_id", "ts", "event_type", "value")
+    return df.withColumns({n: F.expr(v) if n == "has_bias" else F.expr(v).cast("int") for n, v in SIGNALS.items()})
+
+
+@query(f"WITH {SQL_EVENTS} SELECT event_id, CASE WHEN has_bias THEN -3 WHEN entropy > 40000 THEN -2 ELSE 0 END AS code, CASE WHEN entropy > 50000 THEN 'Unstable' WHEN entropy >= 40000 THEN 'Pressure' ELSE 'Stable' END AS zone, CASE WHEN pressure <= 25 THEN 'Nominal' WHEN pressure <= 50 THEN 'Elevated' WHEN pressure <= 75 THEN 'Critical' ELSE 'Emergency' END AS level, surprise > 58000 AS is_surprise FROM e")
+def validate_and_zones(spark, table):
+    return events(table).select("event_id", D.validate_code(F.col("entropy"), F.col("has_bias")).alias("code"), D.stability(F.col("entropy")).alias("zone"), D.pressure_level(F.col("pressure")).alias("level"), (F.col("surprise") > 58000).alias("is_surprise"))
+
+
+@query(f"WITH {SQL_EVENTS}, x AS (SELECT event_id, {sql_ladder('entropy', 'surprise', 'has_bias')} AS d FROM e) SELECT event_id, {sql_flat('d')} FROM x")
+def policy_decide(spark, table):
+    return flat(events(table).select("event_id", D.ladder(F.col("entropy"), F.col("surprise"), F.col("has_bias")).alias("decision")))
+
+
+SQL_DAL = f"""CASE dal WHEN 'A' THEN d WHEN 'E' THEN {SAFE}
+  WHEN 'B' THEN CASE WHEN d LIKE 'halt%' THEN 'escalate|2|2|DAL B: Halt downgraded|' || split_part(d, '|', 5) ELSE d END
+  WHEN 'C' THEN CASE WHEN d LIKE 'halt%' OR d LIKE 'escalate%' THEN 'warning|1|1|DAL C: Escalation downgraded|0' ELSE d END
+  ELSE CASE WHEN d LIKE 'halt%' OR d LIKE 'escalate%' THEN 'warning|1|1|DAL D: Capped at Warn|0' ELSE d END END"""
+
+
+@query(f"WITH {SQL_EVENTS}, x AS (SELECT event_id, dal, {sql_ladder('entropy', 'surprise', 'has_bias')} AS d FROM e, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(dal)), y AS (SELECT event_id, dal, {SQL_DAL} AS d FROM x) SELECT event_id, dal, {sql_flat('d')} FROM y")
+def policy_dal_matrix(spark, table):
+    each = F.array(*(F.struct(F.lit(dal).alias("dal"), D.ladder(F.col("entropy"), F.col("surprise"), F.col("has_bias"), D.Policy(dal=dal)).alias("decision")) for dal in D.DALS))
+    return flat(events(table).select("event_id", F.explode(each).alias("x")).select("event_id", "x.dal", "x.decision"))
+
+
+@query(f"WITH {SQL_EVENTS}, x AS (SELECT event_id, CASE WHEN entropy >= 50000 THEN {HALT} WHEN pressure > 50 THEN {sql_escalate('ResourcePressure')} ELSE {sql_ladder('entropy', 'surprise', 'has_bias')} END AS d FROM e) SELECT event_id, {sql_flat('d')} FROM x")
+def policy_pressure(spark, table):
+    return flat(events(table).select("event_id", D.with_pressure(F.col("entropy"), F.col("surprise"), F.col("has_bias"), F.col("pressure")).alias("decision")))
+
+
+@query(f"WITH {SQL_EVENTS}, x AS (SELECT event_id, CASE WHEN entropy > 50000 THEN {HALT} WHEN entropy >= 40000 THEN {sql_warn('cognitive pressure detected')} ELSE {SAFE} END AS d FROM e) SELECT event_id, {sql_flat('d')} FROM x")
+def decide_from_stability(spark, table):
+    return flat(events(table).select("event_id", D.from_stability(D.stability(F.col("entropy"))).alias("decision")))
+
+
+@query(f"""WITH {SQL_EVENTS}, x AS (SELECT event_id, CASE WHEN event_id % 31 = 0 THEN {BIAS_HALT} WHEN event_id % 10 = 9 THEN {HALT} WHEN event_id % 7 = 0 THEN {sql_escalate('StuckAgent')} WHEN event_id % 5 = 0 THEN {sql_escalate('GoalDriftDetected')}
+  WHEN event_id % 3 = 0 THEN {sql_warn('Confidence decay detected')} WHEN event_id % 2 = 0 THEN {sql_warn('Low model confidence')} ELSE {sql_ladder('entropy', 'surprise', 'false')} END AS d FROM e) SELECT event_id, {sql_flat('d')} FROM x""")
+def decide_from_detection(spark, table):
+    i = F.col("event_id")
+    d = D.from_detection(F.when(i % 31 == 0, 1).otherwise(0), (i % 10) / 10.0, i % 7 == 0, i % 5 == 0, i % 3 == 0, i % 2 == 0, F.col("entropy"), F.col("surprise"))
+    return flat(events(table).select("event_id", d.alias("decision")))
+
+
+@query(f"WITH {SQL_EVENTS}, g AS (SELECT user_id, max(entropy) AS max_entropy, max(surprise) AS max_surprise, bool_or(has_bias) AS any_bias, count(*) AS observations FROM e GROUP BY user_id), x AS (SELECT *, {sql_ladder('max_entropy', 'max_surprise', 'any_bias')} AS d FROM g) SELECT user_id, max_entropy, max_surprise, any_bias, observations, {sql_flat('d')} FROM x")
+def safety_context_by_user(spark, table):
+    g = events(table).groupBy("user_id").agg(F.max("entropy").alias("max_entropy"), F.max("surprise").alias("max_surprise"), F.bool_or("has_bias").alias("any_bias"), F.count("*").alias("observations"))
+    return flat(g.withColumn("decision", D.ladder(F.col("max_entropy"), F.col("max_surprise"), F.col("any_bias"))))
+
+
+FIELD_SQL = {"entropy": "entropy", "surprise": "surprise", "bias": "has_bias::INTEGER", "position": "event_id % 4096", "timestamp": "event_id % 65536", "depth": "event_id % 256", "anchor": "(event_id * 104729) % 2147483648", "reserved": "(event_id % 64) + ((event_id % 256) * 64)"}
+
+
+@query(f"WITH {SQL_EVENTS} SELECT event_id, " + ", ".join(f"({v})::BIGINT AS {n}" for n, v in FIELD_SQL.items()) + ", ((event_id % 64) + ((event_id % 256) * 64))::BIGINT AS combined_risk_bits FROM e")
+def synapse_pack_unpack(spark, table):
+    """The fields after a round trip through the packed halves."""
+    df = events(table)
+    values = {"entropy": F.col("entropy"), "surprise": F.col("surprise"), "bias": F.col("has_bias").cast("int"), "position": F.col("event_id"), "timestamp": F.col("event_id"), "depth": F.col("event_id"), "anchor": F.col("event_id") * 104729, "reserved": S.reserved(F.col("event_id"), F.col("event_id"))}
+    low, high = S.packed(values)
+    df = df.select("event_id", low.alias("low"), high.alias("high"))
+    fields = S.unpacked(F.col("low"), F.col("high"))
+    return df.select("event_id", *(c.alias(n) for n, c in fields.items()), S.combined_risk_bits(fields["reserved"]).alias("combined_risk_bits"))
+
+
+# -- windows --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_EVENTS}, l AS (SELECT event_id, list(entropy::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 63 PRECEDING) AS l FROM e),
+s AS (SELECT event_id, len(l) AS n, list_sum(l)::BIGINT AS s, list_sum(list_transform(l, lambda x: x * x))::BIGINT AS q, list_sum(list_transform(l, lambda x, i: (63 - len(l) + i) * x))::BIGINT AS xy FROM l),
+t AS (SELECT event_id, s::DOUBLE / 64 AS mean, (64 * q - s * s)::DOUBLE / 4096 AS variance, (64 * xy - 2016 * s)::DOUBLE / 1397760 AS trend FROM s)
+SELECT event_id, round(mean, 6) AS mean, round(variance, 4) AS variance, round(trend, 6) AS trend, abs(trend) > 10 AS is_drifting FROM t""")
+def ring_mean_var_trend(spark, table):
+    df = windows.ring_stats(events(table), "entropy", ["user_id"], ORDER)
+    return df.select("event_id", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("trend", 6).alias("trend"), (F.abs("trend") > 10).alias("is_drifting"))
+
+
+@query(f"""WITH {SQL_EVENTS}, r AS (SELECT *, row_number() {OVER} AS rn, lag(event_type) {OVER} AS b FROM e), c AS (SELECT *, max(CASE WHEN b IS DISTINCT FROM event_type OR rn = 1 THEN rn END) {OVER} AS s FROM r),
+u AS (SELECT event_id, (rn - s + 1)::INTEGER AS repetitions, len(list_distinct(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 7 PRECEDING)))::INTEGER AS unique_patterns FROM c)
+SELECT *, repetitions >= 3 AS is_stuck FROM u""")
+def repetition_runs(spark, table):
+    df = windows.unique_recent(windows.repetition(events(table), "event_type", ["user_id"], ORDER), "event_type", ["user_id"], ORDER)
+    return df.select("event_id", "repetitions", "unique_patterns", "is_stuck")
+
+
+@query(f"""WITH {SQL_EVENTS}, f AS (SELECT *, entropy::DOUBLE / 65535 AS c FROM e), r AS (SELECT *, row_number() {OVER} AS rn, lag(c) {OVER} AS b FROM f), s AS (SELECT *, max(CASE WHEN b IS NULL OR c >= b THEN rn END) {OVER} AS s, list(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 7 PRECEDING) AS l FROM r)
+SELECT event_id, (rn - s)::INTEGER AS decay_count, c < 0.3 AS is_low, rn - s >= 2 AS is_decaying, round(CASE WHEN len(l) < 2 THEN 0 ELSE (l[-1] - l[1]) / (len(l) - 1) END, 9)::DOUBLE AS confidence_trend FROM s""")
+def confidence_decay(spark, table):
+    df = windows.confidence(events(table).withColumn("c", F.col("entropy") / 65535), "c", ["user_id"], ORDER, 0.3, 2)
+    return df.select("event_id", "decay_count", "is_low", "is_decaying", F.round("confidence_trend", 9).alias("confidence_trend"))
+
+
+@query(f"""WITH RECURSIVE {SQL_EVENTS}, o AS (SELECT event_id, user_id, entropy::BIGINT AS v, row_number() {OVER} AS rn FROM e),
+r AS (SELECT event_id, user_id, rn, greatest(0, v - 10000 - 5000) AS hi, greatest(0, 10000 - v - 5000) AS lo FROM o WHERE rn = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.rn, greatest(0, r.hi + o.v - 15000), greatest(0, r.lo + 5000 - o.v) FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT event_id, hi::BIGINT AS s_high, lo::BIGINT AS s_low, hi > 40000 OR lo > 40000 AS anomaly FROM r""")
+def cusum(spark, table):
+    return windows.cusum(events(table), "entropy", ["user_id"], ORDER, 10000, 5000, 40000).select("event_id", "s_high", "s_low", "anomaly")
+
+
+@query(f"""WITH RECURSIVE {SQL_EVENTS}, o AS (SELECT event_id, user_id, length(bin(entropy)) - 1 AS m, row_number() {OVER} AS rn FROM e),
+r AS (SELECT event_id, user_id, rn, m AS hi, m AS lo, 'Stable' AS state FROM o WHERE rn = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.rn, greatest(r.hi, o.m), least(r.lo, o.m), CASE WHEN o.m > r.hi + 1 THEN 'High' WHEN r.lo > 1 AND o.m < r.lo - 1 THEN 'Low' ELSE 'Stable' END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT event_id, state, (1::BIGINT << (hi + 1)::INTEGER) - 1 AS threshold_high, CASE WHEN lo > 0 THEN 1::BIGINT << lo::INTEGER ELSE 0 END AS threshold_low, ((1::BIGINT << (hi + 1)::INTEGER) - 1) * 4 // 5 AS threshold_warn FROM r""")
+def stability_monitor(spark, table):
+    return windows.monitor(events(table), "entropy", ["user_id"], ORDER, 1).select("event_id", "state", "threshold_high", "threshold_low", "threshold_warn")
+
+
+@query(f"""WITH {SQL_EVENTS}, a AS (SELECT *, NOT has_bias AND entropy <= 40000 AND surprise <= 58000 AS ok FROM e), r AS (SELECT *, sum(ok::INTEGER) {OVER} AS n FROM a)
+SELECT event_id, ok AND n > 10 AS depth_exceeded, least(10, n)::BIGINT AS step_count FROM r""")
+def kernel_depth(spark, table):
+    df = events(table).withColumn("ok", D.admission_code(F.col("entropy"), F.col("surprise"), F.col("has_bias")).isNull())
+    return windows.kernel_depth(df, "ok", ["user_id"], ORDER, 10).select("event_id", "depth_exceeded", "step_count")
+
+
+# -- risk -----------------------------------------------------------------------------------------------------------------
+
+
+def sql_pid(rows: str, name: str) -> str:
+    """Recursive CTEs over rows (sess, rn, x, b, m, q, f, t, p in [0, 1] and flags): risk, fast and slow of each."""
+    gains = "CASE WHEN flags & 1 <> 0 THEN 1.3 ELSE 1 END AS g1, CASE WHEN flags & 8 <> 0 THEN 1.3 ELSE 1 END AS g2, CASE WHEN flags & 16 <> 0 THEN 1.5 WHEN flags & 2 <> 0 THEN 1.2 ELSE 1 END AS g3, CASE WHEN flags & 4 <> 0 THEN 1.5 ELSE 1 END AS g4"
+    c = lambda v: f"greatest(0::DOUBLE, least(1::DOUBLE, {v}))"
+    kp = "g1 * CASE WHEN abs(p - p0) > 0.5 THEN 2 ELSE 1 END"
+    est = f"({kp}) * p + 0.5 * g2 * a0 + 0.3 * g1 * c0 + 2 * g3 * t + 0.3 * g4 * f"
+    step = f"""SELECT sess, rn, p, {c('kp * p + 0.5 * g2 * a + 0.3 * g1 * c + 2 * g3 * t + 0.3 * g4 * f')} AS risk, a, c FROM (SELECT *, {kp} AS kp, CASE WHEN {est} < 1 THEN {c('0.9 * a0 + ' + c('x + 0.5 * b + 0.3 * q'))} ELSE a0 * 0.999 END AS a, CASE WHEN {est} < 1 THEN {c('0.99 * c0 + ' + c('x + 0.5 * m + 0.3 * q'))} ELSE c0 * 0.999 END AS c FROM"""
+    return f"""{name}_g AS (SELECT *, {gains} FROM {rows}),
+{name} AS ({step} (SELECT *, 0::DOUBLE AS p0, 0::DOUBLE AS a0, 0::DOUBLE AS c0 FROM {name}_g WHERE rn = 1) z) y
+  UNION ALL {step} (SELECT g.*, s.p AS p0, s.a AS a0, s.c AS c0 FROM {name} s JOIN {name}_g g ON g.sess = s.sess AND g.rn = s.rn + 1) z) y)"""
+
+
+PID_SIGNALS = {"e_body": "(event_id % 1001) / 1000D", "e_sift": "entropy / 65535D", "e_mem": "(event_id % 500) / 1000D", "e_kernel": "entropy / 131070D", "prob": "surprise / 65535D", "trend": "((event_id % 4001) - 2000) * 4D", "flags": "event_id % 64"}
+
+
+@query(f"""WITH RECURSIVE {SQL_EVENTS}, o AS (SELECT event_id, user_id AS sess, row_number() {OVER} AS rn, entropy::DOUBLE / 65535 AS x, (event_id % 1001)::DOUBLE / 1000 AS b, (event_id % 500)::DOUBLE / 1000 AS m, entropy::DOUBLE / 131070 AS q, surprise::DOUBLE / 65535 AS f, abs(((event_id % 4001) - 2000)::DOUBLE * 4 / 65535) AS t, least(1, pressure::DOUBLE / 100) AS p, (event_id % 64)::INTEGER AS flags FROM e),
+{sql_pid('o', 's')},
+x AS (SELECT o.event_id, s.risk, s.a, s.c, CASE WHEN event_id % 13 = 0 THEN greatest(risk, 1.001) ELSE risk END AS r1 FROM s JOIN o USING (sess, rn)),
+y AS (SELECT *, least(1, CASE WHEN event_id % 17 = 0 THEN 1 ELSE r1 END)::DOUBLE AS limited FROM x),
+z AS (SELECT *, CASE WHEN limited >= 1 THEN {HALT} WHEN limited >= 0.5 THEN {sql_escalate('PID risk elevated')} ELSE {SAFE} END AS d FROM y)
+SELECT event_id, round(risk, 6) AS risk, round(a, 6) AS fast, round(c, 6) AS slow, round(limited, 6) AS limited, {sql_flat('d')} FROM z""")
+def pid_score(spark, table):
+    df = events(table).withColumns({n: F.expr(f"cast({v} as {'int' if n == 'flags' else 'double'})") for n, v in PID_SIGNALS.items()})
+    from pyspark.sql import Window
+
+    df = df.withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)))
+    out = pid.fold(df, ["user_id"]).join(df.select("user_id", "seq", "event_id"), ["user_id", "seq"])
+    i = F.col("event_id")
+    out = out.withColumn("limited", D.overridden(F.col("risk"), i % 13 == 0, i % 17 == 0, F.lit(False)))
+    return flat(out.select("event_id", *(F.round(c, 6).alias(c) for c in ("risk", "fast", "slow", "limited")), D.from_risk(F.col("limited")).alias("decision")))
+
+
+# -- the pipeline ------------------------------------------------------------------------------------------------------------
+
+
+def sql_pipeline(rows: str, max_steps: int, gate: bool, decide: str = "1") -> str:
+    """CTEs from rows (sess, seq, text, objective, entropy, surprise, has_bias, oov_byte, body_entropy, pressure, control) to z, its decisions."""
+    full, det, det_w = "PARTITION BY sess, fe", "PARTITION BY sess, fe, de, cls", "OVER (PARTITION BY sess, fe, de, cls ORDER BY seq)"
+    goal, seen = f"{sql_words('objective')}[1:8]", f"{sql_words('text')}[1:8]"
+    return f"""
+p1 AS (SELECT *, coalesce(sum((control = 'reset_full')::INTEGER) OVER w, 0) AS fe, coalesce(sum((control IN ('reset_full', 'reset_detectors'))::INTEGER) OVER w, 0) AS de,
+  coalesce(pressure > 50, false) AS gated, CASE WHEN pressure IS NULL THEN 0 ELSE greatest(0, least(1, body_entropy::DOUBLE / 1000)) END::DOUBLE AS eb,
+  CASE WHEN has_bias THEN -3 WHEN entropy > 40000 THEN -2 WHEN surprise > 58000 THEN -4 END AS err FROM {rows} WINDOW w AS (PARTITION BY sess ORDER BY seq)),
+p2 AS (SELECT *, err IS NULL AND NOT gated AS ok FROM p1),
+p3 AS (SELECT *, sum(ok::INTEGER) OVER ({full} ORDER BY seq) AS mr FROM p2),
+p4 AS (SELECT *, CASE WHEN NOT ok THEN 0 WHEN mr > {max_steps} THEN 1 ELSE 2 END AS cls, list(entropy::BIGINT) OVER (PARTITION BY sess, fe, ok ORDER BY seq ROWS 63 PRECEDING) AS l FROM p3),
+p5 AS (SELECT *, list_sum(l)::DOUBLE / 64 AS mean, (64 * list_sum(list_transform(l, lambda x, i: (63 - len(l) + i) * x))::BIGINT - 2016 * list_sum(l)::BIGINT)::DOUBLE / 1397760 AS trend,
+  row_number() {det_w} AS rn, lag(text) {det_w} AS bt, lag(entropy) {det_w} AS be, length(bin(entropy)) - 1 AS msb, sum(entropy::BIGINT - 50) {det_w} AS up, sum(-entropy::BIGINT - 50) {det_w} AS down FROM p4),
+p6 AS (SELECT *, max(CASE WHEN rn = 1 OR bt IS DISTINCT FROM text THEN rn END) {det_w} AS rs, max(CASE WHEN rn = 1 OR entropy >= be THEN rn END) {det_w} AS ds,
+  up - least(0, min(up) {det_w}) AS hi, down - least(0, min(down) {det_w}) AS lo,
+  max(msb) OVER ({det} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mh, min(msb) OVER ({det} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ml FROM p5),
+p7 AS (SELECT *, (rn - rs + 1 >= 3)::INTEGER + 2 * (len({goal}) > 0 AND 1 - len(list_filter({seen}, lambda x: list_contains({goal}, x)))::DOUBLE / len({goal}) > 0.5)::INTEGER + 4 * (entropy::DOUBLE / 65535 < 0.3)::INTEGER + 8 * (rn - ds >= 3)::INTEGER + 16 * (hi > 200 OR lo > 200)::INTEGER AS flags,
+  CASE WHEN msb > mh + 3 THEN 'High' WHEN ml > 3 AND msb < ml - 3 THEN 'Low' ELSE 'Stable' END AS state FROM p6),
+p8 AS (SELECT *, cls = 2 AND {str(gate).lower()} AND flags & 16 <> 0 AS stopped FROM p7),
+pi AS (SELECT sess || '/' || fe AS sess, seq, row_number() OVER (PARTITION BY sess, fe ORDER BY seq) AS rn, entropy::DOUBLE / 65535 AS x, eb AS b, least(1, abs(entropy - mean) / 65535)::DOUBLE AS m, entropy::DOUBLE / 65535 AS q, entropy::DOUBLE / 65535 AS f, least(1, abs(trend / 65535))::DOUBLE AS t, floor(eb * 100) / 100 AS p, flags FROM p8 WHERE cls = 2 AND NOT stopped),
+{sql_pid('pi', 'ps')},
+p9 AS (SELECT p8.*, CASE WHEN cls = 2 AND NOT stopped THEN CASE WHEN eb > 0.9 OR state <> 'Stable' THEN 1 ELSE ps.risk END END::DOUBLE AS risk FROM p8 LEFT JOIN pi ON pi.seq = p8.seq AND pi.sess = p8.sess || '/' || fe LEFT JOIN ps ON ps.sess = pi.sess AND ps.rn = pi.rn),
+z AS (SELECT *, CASE WHEN gated THEN CASE WHEN body_entropy >= 50000 THEN {HALT} ELSE {sql_escalate('ResourcePressure')} END WHEN err = -3 THEN {BIAS_HALT} WHEN err = -2 THEN {HALT} WHEN err = -4 THEN {sql_escalate('hallucination')}
+  WHEN cls = 1 THEN {sql_escalate('reasoning depth exceeded', 10000)} WHEN stopped THEN {HALT} WHEN risk >= 1 THEN {HALT} WHEN risk >= 0.5 THEN {sql_escalate('PID risk elevated')} ELSE {SAFE} END AS d,
+  CASE WHEN gated THEN 32 ELSE CASE WHEN err IS NOT NULL THEN 3 WHEN cls = 1 THEN 7 ELSE 31 END + CASE WHEN pressure IS NOT NULL THEN 32 ELSE 0 END END AS stages FROM p9)"""
+
+
+SQL_RESULT = f"sess AS session_id, seq, stages::INTEGER AS stages, CASE WHEN cls = 2 THEN flags ELSE 0 END::INTEGER AS flags, oov_byte, entropy, surprise, CASE WHEN cls = 2 THEN state ELSE 'Stable' END AS monitor, pressure AS body_pressure, least({{}}, mr)::BIGINT AS step_count, round(risk, 6) AS risk, {sql_flat('d')}"
+SQL_SESSIONS = f"i AS (SELECT conv_id AS sess, turn AS seq, text, '{OBJECTIVE}' AS objective, entropy, surprise, has_bias, oov_byte, NULL::INTEGER AS body_entropy, NULL::INTEGER AS pressure, NULL::VARCHAR AS control FROM sf)"
+
+
+def sessions(spark, table) -> DataFrame:
+    out = C.sift(turns(table), model(spark), ["conv_id", "turn"])
+    return out.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text", F.lit(OBJECTIVE).alias("objective"), "entropy", "surprise", "has_bias", "oov_byte")
+
+
+@query(f"WITH RECURSIVE {SQL_TURNS}, {sql_sifted('conv_id, turn')}, {SQL_SESSIONS}, {sql_pipeline('i', 3, False)} SELECT {SQL_RESULT.format(3)} FROM z")
+def pipeline_full(spark, table):
+    return flat(pipeline(sessions(spark, table), Config(max_steps=3)))
+
+
+@query(f"WITH RECURSIVE {SQL_TURNS}, {sql_sifted('conv_id, turn')}, {SQL_SESSIONS}, {sql_pipeline('i', 3, False)} SELECT stages::INTEGER AS stages, split_part(d, '|', 1) AS label, count(*) AS n FROM z GROUP BY ALL")
+def pipeline_stage_counts(spark, table):
+    return pipeline(sessions(spark, table), Config(max_steps=3)).groupBy("stages", F.col("decision.label").alias("label")).agg(F.count("*").alias("n"))
+
+
+CONTROL = "CASE WHEN event_id % 29 = 0 THEN 'reset_full' WHEN event_id % 19 = 0 THEN 'reset_detectors' END"
+
+
+def sql_from_events(pressure: bool, control: bool) -> str:
+    return f"i AS (SELECT user_id AS sess, row_number() {OVER} AS seq, event_type AS text, 'view click of' AS objective, (entropy // 3)::INTEGER AS entropy, surprise, has_bias, (event_id % 256)::INTEGER AS oov_byte, {'(event_id % 1000)::INTEGER' if pressure else 'NULL::INTEGER'} AS body_entropy, {'pressure' if pressure else 'NULL::INTEGER'} AS pressure, {CONTROL if control else 'NULL::VARCHAR'} AS control FROM e)"
+
+
+def from_events(table, pressure: bool, control: bool) -> DataFrame:
+    from pyspark.sql import Window
+
+    df = events(table).select(F.col("user_id").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)).cast("long").alias("seq"), F.col("event_type").alias("text"), F.lit("view click of").alias("objective"), F.expr("int(entropy div 3)").alias("entropy"), "surprise", "has_bias", (F.col("event_id") % 256).cast("int").alias("oov_byte"), (F.col("event_id") % 1000).cast("int").alias("body_entropy"), "pressure", F.expr(CONTROL).alias("control"))
+    return df.drop(*(() if pressure else ("body_entropy", "pressure")), *(() if control else ("control",)))
+
+
+@query(f"WITH RECURSIVE {SQL_EVENTS}, {sql_from_events(True, False)}, {sql_pipeline('i', 10, False)} SELECT {SQL_RESULT.format(10)} FROM z")
+def pipeline_with_pressure(spark, table):
+    return flat(pipeline(from_events(table, True, False)))
+
+
+@query(f"WITH RECURSIVE {SQL_EVENTS}, {sql_from_events(False, True)}, {sql_pipeline('i', 10, True)} SELECT {SQL_RESULT.format(10)} FROM z")
+def pipeline_gate(spark, table):
+    return flat(pipeline(from_events(table, False, True), Config(use_gate=True)))
+
+
+@query(f"WITH RECURSIVE {SQL_EVENTS}, {sql_from_events(True, True)}, {sql_pipeline('i', 5, False)} SELECT {SQL_RESULT.format(5)} FROM z")
+def pipeline_resets(spark, table):
+    return flat(pipeline(from_events(table, True, True), Config(max_steps=5)))
+
+
+# -- resources ------------------------------------------------------------------------------------------------------------------
+
+SQL_METRICS = "m AS (SELECT event_id, user_id, ts, (event_id * 37) % 1200 AS rss, CASE WHEN event_id % 41 = 0 THEN 0 ELSE 1000 END AS ceiling, CASE WHEN event_id % 7 > 0 THEN value / 20 END AS load, event_id * 3 AS us, event_id % 5 AS ni, event_id * 2 AS sy, event_id * 7 AS idl, event_id AS io FROM events)"
+
+
+def metrics(table) -> DataFrame:
+    return table("events").selectExpr("event_id", "user_id", "ts", "(event_id * 37) % 1200 AS rss", "CASE WHEN event_id % 41 = 0 THEN 0 ELSE 1000 END AS ceiling", "CASE WHEN event_id % 7 > 0 THEN value / 20 END AS load", "event_id * 3 AS user", "event_id % 5 AS nice", "event_id * 2 AS system", "event_id * 7 AS idle", "event_id AS iowait")
+
+
+@query(f"""WITH {SQL_METRICS} SELECT event_id, floor(least(1000, 500 * CASE WHEN ceiling > 0 THEN rss::DOUBLE / ceiling ELSE 1 END + 250 * 0.125 + 250 * least(coalesce(load / 10, 1), 1)))::INTEGER AS env_entropy,
+ CASE WHEN ceiling > 0 THEN floor(least(100, 100.0::DOUBLE * rss / ceiling)) ELSE 100 END::INTEGER AS pressure, CASE WHEN ceiling = 0 OR rss >= ceiling THEN -5 ELSE 0 END AS code FROM m""")
+def resource_pressure(spark, table):
+    df = metrics(table)
+    return df.select("event_id", resources.environmental_entropy(resources.rss_ratio(F.col("rss"), F.col("ceiling")), F.lit(0.125), F.col("load")).alias("env_entropy"), resources.pressure(F.col("rss"), F.col("ceiling")).alias("pressure"), resources.check_code(F.col("rss"), F.col("ceiling")).alias("code"))
+
+
+@query(f"""WITH {SQL_METRICS}, d AS (SELECT event_id, us - lag(us) {OVER} AS u, ni - lag(ni) {OVER} AS n, sy - lag(sy) {OVER} AS s, idl - lag(idl) {OVER} AS i, io - lag(io) {OVER} AS w FROM m), t AS (SELECT *, u + n + s + i + w AS total FROM d)
+SELECT event_id, round(CASE WHEN total > 0 THEN (u + n + s)::DOUBLE / total * 100 ELSE 0 END, 6)::DOUBLE AS cpu_load, round(CASE WHEN total > 0 THEN w::DOUBLE / total ELSE 0 END, 6)::DOUBLE AS iowait_ratio FROM t""")
+def cpu_load_delta(spark, table):
+    return resources.cpu_deltas(metrics(table), ["user_id"], ORDER).select("event_id", F.round("cpu_load", 6).alias("cpu_load"), F.round("iowait_ratio", 6).alias("iowait_ratio"))
