@@ -20,7 +20,8 @@ def frame(spark, rows):
 
 
 def test_fold():
-    assert toxicity.fold("Tr4sh, TRАSH$$$ ïd1ot") == " trash  trash    idiot ".replace("l", "i")
+    assert toxicity.fold("Tr4sh, TRАSH$$$ ïd1ot") == " trash  trash    ïdiot "
+    assert toxicity.fold("ïd1ot é").translate(toxicity.PLAIN) == " idiot e "
     assert toxicity.fold("l0$er @ss $5 a|b!!") == " ioser ass ss aib   "
     assert toxicity.fold("") == "  "
 
@@ -34,11 +35,12 @@ def test_hits_against_plain_search():
     lex = toxicity.Lexicon({" bad ": 2.0, " bad": 1.0, " worse ": 3.0}, (" bad day ",), ())
     a = toxicity.automaton(lex)
     assert sorted(toxicity.hits(a, toxicity.fold("Bad badly b4d day worse."))) == [1.0, 2.0, 3.0]
+    assert sorted(toxicity.hits(a, toxicity.fold("bäd bäd day"))) == [2.0]
     rnd = random.Random(1)
     for _ in range(300):
-        f = toxicity.fold(" ".join(rnd.choice(["bad", "badly", "day", "worse", "x"]) for _ in range(8)))
+        f = toxicity.fold(" ".join(rnd.choice(["bad", "badder", "day", "worse", "x"]) for _ in range(8)))
         w = f.split()
-        want = [3.0 if x == "worse" else 2.0 if x == "bad" else 1.0 for i, x in enumerate(w) if x in ("worse", "bad", "badly") and not (x == "bad" and i + 1 < len(w) and w[i + 1] == "day")]
+        want = [3.0 if x == "worse" else 2.0 if x == "bad" else 1.0 for i, x in enumerate(w) if x in ("worse", "bad", "badder") and not (x == "bad" and i + 1 < len(w) and w[i + 1] == "day")]
         assert sorted(toxicity.hits(a, f)) == sorted(want)
 
 

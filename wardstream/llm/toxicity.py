@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon.
 
-A text is folded character by character (case, accents, homoglyphs, digits and signs that stand for letters; l, 1 and i
-are one), everything else becomes a space, and an Aho-Corasick automaton finds lexicon words and stems in the whole of
-it.  Hits inside an exception phrase don't count.  What is found, as such and by length, goes into a logistic score.
+A text is folded character by character (case, homoglyphs, digits and signs that stand for letters; l, 1 and i are one),
+everything else becomes a space, and an Aho-Corasick automaton finds lexicon words and stems in the whole of it; terms
+without accents are also looked for in the text without accents.  Hits inside an exception phrase don't count.  What is found, as such and by length, goes into a logistic score.
 
 The lexicon is learned from labelled documents: of at most ``TRAIN_ROWS`` of them (those of least hash of doc_id) every
 folded word and every stem of ``STEMS`` characters that toxic documents hold in enough different surroundings, weighted
@@ -47,21 +47,23 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "out the tras
 
 
 class Fold(dict):
-    """For str.translate: one character for each; filled as characters occur."""
+    """For str.translate: one character for each, filled as characters occur; with accents or without."""
 
     _looks = {ord(x): a for a, xs in HOMOGLYPHS.items() for x in xs}
 
+    def __init__(self, form: str):
+        self.form = form
+
     def __missing__(self, c: int) -> str:
         out = self._looks.get(c)
         if out is None:
-            base = unicodedata.normalize("NFKD", chr(c).lower())[:1] or " "
-            base = unicodedata.normalize("NFKD", base)[:1]
+            base = unicodedata.normalize(self.form, chr(c).lower())[:1] or " "
             out = self._looks.get(ord(base), base if base.isalnum() else " ")
         self[c] = out
         return out
 
 
-FOLD = Fold()
+FOLD, PLAIN = Fold("NFKC"), Fold("NFKD")
 
 
 def fold(text: str) -> str:
@@ -85,29 +87,34 @@ def terms(word: str) -> list[str]:
     return [f" {word} ", *(f" {word[:k]}" for k in STEMS if k < len(word))]
 
 
-def automaton(lexicon: Lexicon):
-    a = ahocorasick.Automaton()
-    for t, w in lexicon.weights.items():
-        a.add_word(t, (len(t), w))
-    for t in lexicon.exceptions:
-        a.add_word(t, (len(t), None))
-    if len(a):
-        a.make_automaton()
-    return a
+def automaton(lexicon: Lexicon) -> tuple:
+    """Of all terms, for the folded text; and of those without accents, for the text without."""
+    out = []
+    for ascii_only in (False, True):
+        a = ahocorasick.Automaton()
+        for t, w in lexicon.weights.items():
+            if not ascii_only or t.isascii():
+                a.add_word(t, (len(t), w))
+        for t in lexicon.exceptions:
+            a.add_word(t, (len(t), None))
+        if len(a):
+            a.make_automaton()
+        out.append(a)
+    return tuple(out)
 
 
-def hits(a, folded: str) -> list[float]:
+def hits(a: tuple, folded: str) -> list[float]:
     """The weight of each word that holds a term (its highest), without those in an exception phrase."""
-    if not len(a):
-        return []
     found: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for end, (n, w) in a.iter(folded):
-        start = end - n + 1
-        if w is None:
-            spared.append((start, end))
-        elif found.get(start, -1.0) < w:
-            found[start] = w
+    for one, text in ((a[0], folded), (a[1], "" if folded.isascii() else folded.translate(PLAIN))):
+        if len(one) and text:
+            for end, (n, w) in one.iter(text):
+                start = end - n + 1
+                if w is None:
+                    spared.append((start, end))
+                elif found.get(start, -1.0) < w:
+                    found[start] = w
     return [w for s, w in found.items() if not any(x <= s < y for x, y in spared)]
 
 
