@@ -64,7 +64,7 @@ def test_utility_and_drift(spark):
 
 def test_fail_closed(spark):
     r = C.sift(spark.createDataFrame([(1, "anything"), (2, "")], "i int, text string"), C.fail_closed(spark), ["i"]).collect()
-    assert {(x.entropy, x.surprise, x.is_manipulation, x.probability) for x in r} == {(47960, 65535, True, 0.731829)}
+    assert {(x.entropy, x.surprise, x.is_manipulation, round(x.probability, 6)) for x in r} == {(47960, 65535, True, 0.731829)}
 
 
 def test_sift_best(spark):
@@ -122,7 +122,7 @@ def test_resources(spark):
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("x", *[1] * 8)], ["text", *texts.LABELS])
     texts.write_labelled(df, str(tmp_path / "l"))
-    assert json.loads(next((tmp_path / "l").glob("*.json")).read_text())["label"]["urgency"] == 1
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "l").glob("*.json")))["label"]["urgency"] == 1
     assert texts.read_labelled(spark, str(tmp_path / "l")).first().label.authority == 1
     with pytest.raises(ValueError):
         texts.checked_model(spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0)], "token string, idf double, coef double"), 0.0, 0.5)
