@@ -3,8 +3,6 @@
 import random
 import re
 
-import pytest
-
 from wardstream.llm import ngram_join
 from wardstream.llm.common import table
 
@@ -61,9 +59,8 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random(spark, seed):
-    rows = corpus(seed)
+def test_random(spark):
+    rows = corpus(1)
     assert run(spark, rows) == brute(rows)
 
 
