@@ -45,11 +45,11 @@ SLOTS = 1 << 22
 BLOCK = 1 << 21
 #: From this estimate of its count on a shingle's list is dealt by rows, not by key.
 HOT = 1 << 10
-#: Bits of the filter of nodes whose sets are sent; of fixed size as well.
+#: Bits of the filter of documents whose sets are sent; of fixed size as well.
 FILTER = 1 << 24
 LARGEST_BOUNDARY = 24
-#: Rounds that compare one member of each list, at most; they end when one connects nothing more.
-ROUNDS = 6
+#: Rounds that compare one member of each list, at most; they end when one adds less than this share of all links.
+ROUNDS, WORTH = 6, 0.1
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("slots", pa.binary())])
 POSTS = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("posts", pa.binary())])
@@ -274,13 +274,16 @@ def marks(t: pa.Table) -> pa.Table:
 
 
 def blobs(bits):
-    """A function that gives the sets of the nodes that the filter lets pass, once a task."""
+    """A function that gives the sets of the documents that the filter lets pass, once a task; only these are hashed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8)), set()
+        inside, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool), set()
         for b in batches:
+            ids = b.column("doc_id")
+            slot = ids.fill_null(0).to_numpy() & (FILTER - 1)
+            b = b.filter(pa.array(inside[slot] | ids.is_null().to_numpy(zero_copy_only=False)))
             rows: dict = {"node": [], "shingles": []}
             for _, x in shingle_sets(b.column("text")):
-                if len(x) and (node := signature(x)) not in seen and inside[node & (FILTER - 1)]:
+                if len(x) and (node := signature(x)) not in seen:
                     seen.add(node)
                     rows["node"].append(node)
                     rows["shingles"].append(x.tobytes())
@@ -301,11 +304,11 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
-def linked(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes whose sets link, by the sets themselves."""
+def linked(spark: SparkSession, docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes whose sets link, by the sets themselves: those of one document of each node."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    slot = F.col("node").bitwiseAND(FILTER - 1)
-    parts = nodes.select(F.shiftright(slot, 13).alias("part"), slot.bitwiseAND((1 << 13) - 1).alias("slot")).distinct()
+    slot = F.col("doc_id").bitwiseAND(FILTER - 1)
+    parts = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select(F.shiftright(slot, 13).alias("part"), slot.bitwiseAND((1 << 13) - 1).alias("slot")).distinct()
     bits = np.zeros(FILTER >> 3, np.uint8)
     for r in parts.groupBy("part").applyInArrow(marks, "part long, bits binary").toLocalIterator():  # FILTER bits at most
         bits[r.part << 10 : (r.part + 1) << 10] = np.frombuffer(r.bits, np.uint8)
@@ -392,6 +395,8 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
     own = sets.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
 
     histogram = own.where(F.col("n_shingles") > 0).groupBy(F.least("n_shingles", F.lit(4 * LARGEST_BOUNDARY)).alias("s")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t")).collect()
+    if not histogram:
+        return own.withColumn("label", F.col("node"))
     boundary = best_boundary({r.s: r.n for r in histogram})
     weights = np.zeros(SLOTS, np.uint8)
     heavy = sets.where("slots is not null").select("slots").mapInArrow(slot_weights, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 4")
@@ -413,16 +418,16 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
         if turn and not pairs.take(1):
             break
-        new = scratch.keep(linked(spark, docs, pairs), "links")
+        new = scratch.keep(linked(spark, docs, own, pairs), "links")
         tried = scratch.keep(tried.union(pairs), "tried") if tried else pairs
-        if turn and not new.take(1):
-            break
         links = scratch.keep(links.union(new), "links") if links else new
         roots = components(links, scratch)
+        if new.count() < WORTH * links.count() or not links.take(1):
+            break
     rest = across(placed(found, roots), boundary).join(tried, ["a", "b"], "left_anti")
     rest = scratch.keep(enough_shared(rest, found).select("a", "b"), "rest")
     if rest.take(1):
-        roots = components(links.union(linked(spark, docs, rest)), scratch)
+        roots = components(links.union(linked(spark, docs, own, rest)), scratch)
     scratch.drop(found, tried, rest)
 
     return own.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).select("doc_id", "n_shingles", "node", "label")
