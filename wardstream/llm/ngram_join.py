@@ -49,7 +49,9 @@ HOT = 1 << 10
 FILTER = 1 << 24
 LARGEST_BOUNDARY = 24
 #: Rounds that compare one member of each list, at most; they end when one adds less than this share of all links.
-ROUNDS, WORTH = 6, 0.1
+ROUNDS, WORTH = 8, 0.02
+#: Members that a round compares with the rest, in lists of more than so many entries.
+PICKS, LONG = 4, 8
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("slots", pa.binary())])
 POSTS = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("posts", pa.binary())])
@@ -347,24 +349,29 @@ def placed(found: DataFrame, roots: DataFrame | None) -> DataFrame:
     return out.select("key", F.struct("root", "node", "size", "pos").alias("x"))
 
 
-def unsettled(entries: DataFrame, pick: Column) -> DataFrame:
-    """Entries (x) of the lists that hold several components, with the one of least ``pick`` (p)."""
-    ends = entries.groupBy("key").agg(F.min(F.struct(pick.alias("by"), F.col("x"))).alias("p"), F.min("x.root").alias("low"), F.max("x.root").alias("high"))
-    return entries.join(ends.where("low < high").select("key", F.col("p.x").alias("p")), "key")
+def unsettled(entries: DataFrame, picks: list[Column]) -> DataFrame:
+    """Entries (x) of the lists that hold several components, each with the one of least ``picks[0]`` (p); in long lists
+    also with those of least other picks, one row for each."""
+    least = [F.min(F.struct(k.alias("by"), F.col("x"))).alias(f"p{i}") for i, k in enumerate(picks)]
+    ends = entries.groupBy("key").agg(*least, F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.count("*").alias("n")).where("low < high")
+    every = F.array_distinct(F.array(*(F.col(f"p{i}.x") for i in range(len(picks)))))
+    ends = ends.select("key", F.explode(F.when(F.col("n") > LONG, every).otherwise(F.array("p0.x"))).alias("p"))
+    return entries.join(ends, "key")
 
 
 def one_against_all(entries: DataFrame, turn: int, boundary: int) -> DataFrame:
-    """Pairs (a, b) of one member of each list, another one in each turn, with those of other components, if the lists
+    """Pairs (a, b) of a few members of each list, others in each turn, with those of other components, if the lists
     in which they meet so are half as many as a link needs."""
-    pick = F.xxhash64(F.col("x.node"), F.lit(turn)) if turn else F.col("x.node")
-    pairs = unsettled(entries, pick).where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
+    picks = [F.xxhash64(F.col("x.node"), F.lit(turn * PICKS + i)) for i in range(PICKS)] if turn else [F.col("x.node")]
+    pairs = unsettled(entries, picks).where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
+    # Two picks of a list meet twice in it.
     pairs = pairs.groupBy(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b")).agg(F.count("*").alias("n"), F.first(F.col("x.size")).alias("s"), F.first(F.col("p.size")).alias("t"))
     return pairs.where((2 * F.col("n") >= least_shared(F.col("s"), F.col("t"))) | (F.greatest("s", "t") <= boundary)).select("a", "b")
 
 
 def across(entries: DataFrame, boundary: int) -> DataFrame:
     """All pairs (a, b) of different components that are in a list together and may link, with what they must share."""
-    both = unsettled(entries, F.col("x.node"))
+    both = unsettled(entries, [F.col("x.node")])
     other = both.where(F.col("x.root") != F.col("p.root")).select("key", F.col("x").alias("y"))
     pairs = other.join(both.select("key", "x", (F.col("x.root") == F.col("p.root")).alias("main")), "key")
     pairs = pairs.where((F.col("x.root") != F.col("y.root")) & (F.col("main") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y", boundary))
