@@ -129,6 +129,30 @@ def test_added_spans():
         assert not spans, (t, spans)
 
 
+def every_window(text):
+    return list(range(0, len(text), pii.STEP))
+
+
+def test_length_and_offset_do_not_decide():
+    """Spaced addresses that the patterns miss, longer than a window too, at every offset."""
+    p, prose = pii.trained(), "thin ered the and of erre onth nder hant stoue " * 8
+    for n in (40, 50, 63, 80):
+        own = ("anther.onthen.ererat.hantin.tiones.erthan.statio.andere"[: n - 23] + "n @ ereder.example . com")[-n:]
+        texts = [f"{prose[: 100 + at]} {own} {prose}" for at in range(pii.STEP)]
+        found = [any(k == 0 and s <= 102 + at and e >= 100 + at + len(own) for s, k, e in spans) for at, (_, spans) in enumerate(pii.spans_of(p, texts))]
+        assert sum(found) >= 30, (n, sum(found))
+
+
+def test_one_path_of_all_windows():
+    """Windows round triggers give the spans that decoding every window gives; ranges of windows tile a text."""
+    p, rnd = pii.trained(), random.Random(12)
+    texts = [messy(rnd) + " and of the erre " * rnd.randint(0, 12) + messy(rnd) for _ in range(150)] + ["1 " * 400, "a." * 90 + " @ " + "bc." * 60 + " com"]
+    assert list(pii.spans_of(p, texts)) == list(pii.spans_of(p, texts, starts=every_window))
+    for n in range(1, 200):
+        ranges = [pii.owned(s, n) for s in range(0, n, pii.STEP)]
+        assert [c for lo, hi in ranges for c in range(lo, hi)] == list(range(n))
+
+
 def test_reconciliation():
     base = [(10, 0, 20), (15, 1, 30)]
     found = [(-3.0, 29, 3, 40), (-2.0, 31, 2, 45), (-1.0, 44, 3, 50), (-0.5, 45, 3, 50)]

@@ -6,9 +6,10 @@ pass Luhn, spelled-out or masked addresses).  It is trained in numpy, on the dri
 generator sets into running text beside things that merely look alike.
 
 Every span holds a digit or an @ sign (what the model finds without one is dropped), so a text needs windows only where
-one of these is within reach; these windows overlap by half, are decoded each, and a text's candidates are reconciled:
-a span that touches a window's edge is left to the window that sees it whole, base spans come first, then the
-candidates of most confidence that overlap nothing chosen before.
+one of these is within reach and as far as a span goes on from there.  These windows overlap by half and are decoded each;
+a character's tag is that of the window where it is most central, which gives a text one path, so that neither a span's
+length nor its offset decides.  Base spans come first, then the candidates of most confidence that overlap nothing chosen
+before.
 
 Null and empty texts have no spans.  Repeated rows and null or equal ids are rows each; other columns are not read.  Time
 and memory are linear in a text's length, also for long runs of digits.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -106,6 +107,8 @@ def _word(rnd: random.Random) -> str:
 def _address(rnd: random.Random) -> str:
     name, host, top = _word(rnd).encode("ascii", "ignore").decode() or "an", rnd.choice(["mail", "post", "web", "corp"]) + rnd.choice(["", _digits(rnd, 1)]), rnd.choice(["com", "org", "net", "example.com", "de"])
     name += rnd.choice(["", "." + _digits(rnd, 2), "_" + _digits(rnd, 1), "." + _word(rnd).encode("ascii", "ignore").decode()])
+    if rnd.random() < 0.3:  # long ones, also of more than a window
+        name, host = (".".join((_word(rnd) + _word(rnd)).encode("ascii", "ignore").decode() or "an" for _ in range(rnd.randint(1, 4))) for _ in range(2))
     return rnd.choice([f"{name}@{host}.{top}"] * 4 + [f"{name} @ {host}.{top}", f"{name}@{host} . {top}", f"{name}@{host} dot {top}", f"{name}@{host}[.]{top}"])
 
 
@@ -328,31 +331,53 @@ def plausible(kind: int, s: str) -> bool:
     return not any(c.isalpha() for c in s) or kind == 1 and "." in s
 
 
-def candidates(text: str, starts: list[int], paths: np.ndarray, margins: np.ndarray) -> list[tuple[float, int, int, int]]:
-    """(confidence, start, kind, end) of spans that some window sees whole."""
-    out = {}
-    for at, path, margin in zip(starts, paths, margins, strict=True):
-        n = min(WINDOW, len(text) - at)
-        k = 0
-        while k < n:
-            if path[k] == 0:
-                k += 1
-                continue
-            first, kind = k, (path[k] - 1) // 2
-            k += 1
-            while k < n and path[k] == 2 + 2 * kind:
-                k += 1
-            if (first == 0 and at > 0) or (k == n and at + n < len(text)):
-                continue
-            a, b = at + first, at + k
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and text[b - 1].isspace():
-                b -= 1
-            c = float(margin[first:k].mean())
-            if c >= CONFIDENCE and plausible(int(kind), text[a:b]) and out.get((a, int(kind), b), -1.0) < c:
-                out[a, int(kind), b] = c
-    return sorted(((-c, *key) for key, c in out.items()))
+def owned(start: int, n: int) -> tuple[int, int]:
+    """The characters of a text of n that this window sees most centrally; these ranges tile the text."""
+    side = (WINDOW - STEP) // 2
+    return start + side if start else 0, n if start + WINDOW - side >= n else start + WINDOW - side
+
+
+def missing(n: int, seen: dict[int, tuple[np.ndarray, np.ndarray]], reach: int) -> list[int]:
+    """Windows not decoded yet into which a span of the decoded ones may go on, ``reach`` of them at each end."""
+    out = set()
+    for s, (path, _) in seen.items():
+        lo, hi = owned(s, n)
+        if lo >= hi:
+            continue
+        if s and path[lo - s] and s - STEP not in seen:
+            out.update(range(s - STEP, max(s - reach * STEP, 0) - 1, -STEP))
+        if hi < n and path[hi - 1 - s] and s + STEP not in seen:
+            out.update(x for x in range(s + STEP, s + (reach + 1) * STEP, STEP) if owned(x, n)[0] < n)
+    return sorted(out - seen.keys())
+
+
+def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int, int, int]]:
+    """(confidence, start, kind, end) of the spans of the text's one path, each character of it from the window where it
+    is most central.  Spans of a kind that meet where the windows change are one."""
+    runs: list[list] = []  # start, kind, end, sum of margins
+    before = -1  # end of what was looked at
+    for s in sorted(seen):
+        lo, hi = owned(s, len(text))
+        path, margin = seen[s]
+        for at in (lo + np.flatnonzero(path[lo - s : hi - s])).tolist() if lo < hi else []:
+            tag = int(path[at - s])
+            kind = (tag - 1) // 2
+            if runs and runs[-1][2] == at and runs[-1][1] == kind and (tag % 2 == 0 or at == lo and before == lo):
+                runs[-1][2] += 1
+                runs[-1][3] += float(margin[at - s])
+            else:
+                runs.append([at, kind, at + 1, float(margin[at - s])])
+        before = hi
+    out = []
+    for a, kind, b, total_margin in runs:
+        c = total_margin / (b - a)
+        while a < b and text[a].isspace():
+            a += 1
+        while b > a and text[b - 1].isspace():
+            b -= 1
+        if a < b and c >= CONFIDENCE and plausible(kind, text[a:b]):
+            out.append((-c, a, kind, b))
+    return sorted(out)
 
 
 def reconciled(base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -375,26 +400,27 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def spans_of(p: dict, batch_texts: list[str], at_once: int = 2048) -> Iterator[tuple[list, list]]:
-    """Base spans and all spans of each text."""
-    queue: list[tuple[int, int]] = []
-    own = [window_starts(t) for t in batch_texts]
-    for i, starts in enumerate(own):
-        queue += [(i, s) for s in starts]
-    paths, margins = np.zeros((len(queue), WINDOW), np.int8), np.zeros((len(queue), WINDOW), np.float32)
-    for lo in range(0, len(queue), at_once):
-        part = queue[lo : lo + at_once]
-        xs = np.full((len(part), WINDOW), _SYMBOL["\n"], np.int64)
-        for j, (i, s) in enumerate(part):
-            x = symbols(batch_texts[i][s : s + WINDOW])
-            xs[j, : len(x)] = x
-        paths[lo : lo + len(part)], margins[lo : lo + len(part)] = decoded(p, xs)
-    at = 0
-    for t, starts in zip(batch_texts, own, strict=True):
+def spans_of(p: dict, batch_texts: list[str], at_once: int = 2048, starts: Callable[[str], list[int]] = window_starts) -> Iterator[tuple[list, list]]:
+    """Base spans and all spans of each text.  Windows round what a span must hold are decoded first, then, as far as a
+    span goes on, the next ones; so all spans are those that decoding every window would give."""
+    seen: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in batch_texts]
+    queue, reach = [(i, s) for i, t in enumerate(batch_texts) for s in starts(t)], 1
+    while queue:
+        for lo in range(0, len(queue), at_once):
+            part = queue[lo : lo + at_once]
+            xs = np.full((len(part), WINDOW), _SYMBOL["\n"], np.int64)
+            for j, (i, s) in enumerate(part):
+                x = symbols(batch_texts[i][s : s + WINDOW])
+                xs[j, : len(x)] = x
+            paths, margins = decoded(p, xs)
+            for (i, s), path, margin in zip(part, paths.astype(np.int8), margins, strict=True):
+                seen[i][s] = path, margin
+        touched = sorted({i for i, _ in queue})
+        queue = [(i, s) for i in touched for s in missing(len(batch_texts[i]), seen[i], reach)]
+        reach *= 2
+    for t, own in zip(batch_texts, seen, strict=True):
         base = base_spans(t)
-        n = len(starts)
-        yield base, reconciled(base, candidates(t, starts, paths[at : at + n], margins[at : at + n])) if n else base
-        at += n
+        yield base, reconciled(base, candidates(t, own)) if own else base
 
 
 OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
