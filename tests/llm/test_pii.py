@@ -153,6 +153,20 @@ def test_one_path_of_all_windows():
         assert [c for lo, hi in ranges for c in range(lo, hi)] == list(range(n))
 
 
+def test_spelled_out_and_other_scripts():
+    """Forms without an ASCII digit or an @, at every offset; with the trigger as many as when every window is decoded."""
+    p, prose = pii.trained(), "thin ered the and of erre onth nder hant stoue " * 6
+    forms = ["anre.hant [at] postin [dot] org", "anre.hant at postin dot org", "hanted (at) webon (dot) com", "（５５５） １２３-４５６７", "(٥٥٥) ١٢٣-٤٥٦٧", "five five five one two three four five six seven", "one nine two dot one six eight dot one dot two"]
+    for form in forms:
+        texts = [f"{prose[: 100 + at]} {form} {prose}" for at in range(pii.STEP)]
+        gated = [spans for _, spans in pii.spans_of(p, texts)]
+        assert gated == [spans for _, spans in pii.spans_of(p, texts, starts=every_window)]
+        found = [any(s <= 104 + at and e >= 98 + at + len(form) for s, _, e in spans) for at, spans in enumerate(gated)]
+        assert sum(found) >= 20, (form, sum(found))
+    no = ["they met at home. Then one of them sat", "two or three at the door, at nine. Point taken", "at last. Four or five of us at work"]
+    assert not any(spans for _, spans in pii.spans_of(p, no))
+
+
 def test_reconciliation():
     base = [(10, 0, 20), (15, 1, 30)]
     found = [(-3.0, 29, 3, 40), (-2.0, 31, 2, 45), (-1.0, 44, 3, 50), (-0.5, 45, 3, 50)]

@@ -2,11 +2,11 @@
 
 Patterns give the base spans of every whole text: email addresses, IPv4 addresses, card numbers (Luhn) and phone numbers
 with a country code.  The model adds spans that are written otherwise (phone numbers without a plus, cards that don't
-pass Luhn, spelled-out or masked addresses).  It is trained in numpy, on the driver, from labelled spans that a seeded
+pass Luhn, spelled-out or masked addresses, digits of other scripts or in words of four languages).  It is trained in numpy, on the driver, from labelled spans that a seeded
 generator sets into running text beside things that merely look alike.
 
-Every span holds a digit or an @ sign (what the model finds without one is dropped), so a text needs windows only where
-one of these is within reach and as far as a span goes on from there.  These windows overlap by half and are decoded each;
+Every span holds a digit of any script, an at sign or word, or number words in a row (what the model finds without one is
+dropped), so a text needs windows only where one of these is within reach and as far as a span goes on from there.  These windows overlap by half and are decoded each;
 a character's tag is that of the window where it is most central, which gives a text one path, so that neither a span's
 length nor its offset decides.  Base spans come first, then the candidates of most confidence that overlap nothing chosen
 before.
@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -38,7 +40,16 @@ STEPS, BATCH, SEED = 220, 32, 11
 #: A candidate's least mean margin of its path over leaving the span out, by character.
 CONFIDENCE = 0.5
 
-TRIGGER = re.compile(r"[0-9@]")
+#: Digits as words (English, French, German, Spanish), and the signs that addresses spell out.
+NUMBERS = "zero one two three four five six seven eight nine oh null eins zwei drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve".split()
+AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
+_NUMBER, _AT_WORD, _DOT_WORD = ("(?:" + "|".join(sorted(x, key=len, reverse=True)) + ")" for x in (NUMBERS, AT_WORDS, DOT_WORDS))
+_AT = re.compile(rf"[@＠]|[\[({{<]\s?{_AT_WORD}\s?[\])}}>]|(?<=\s){_AT_WORD}(?=\s)", re.I)
+_DOTTED = re.compile(rf"\w(?:\s?[.．]\s?|\s?[\[({{<]\s?(?:[.．]|{_DOT_WORD})\s?[\])}}>]\s?|\s{_DOT_WORD}\s)\w", re.I)
+_SPELLED = re.compile(rf"\b{_NUMBER}\b", re.I)
+#: What a span must hold one of: a digit of any script, an at sign or word, or a number word after which another one or a digit follows.
+TRIGGER = re.compile(rf"\d|{_AT.pattern}|\b{_NUMBER}\b(?=[\s,.()\-–]{{1,3}}(?:\W?{_DOT_WORD}\W{{1,2}})?(?:{_NUMBER}\b|\d))", re.I)
+_BASE = re.compile("[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -56,7 +67,7 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the patterns find, in that order."""
-    if not TRIGGER.search(text):
+    if not _BASE.search(text):
         return []
     out, done, at = [], 0, text.find("@")
     while at >= 0:  # every match of the address pattern holds one @, after as long a local part as is free
@@ -84,12 +95,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _SIGNS = " \n\t@.+-_%()[]<>/:,;'\"#*=|!$&"
 _SYMBOL = {**{c: 1 + i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}, **{c: 27 for c in "0123456789"}, **{c: 28 + i for i, c in enumerate(_SIGNS)}}
-N_SYMBOLS = 28 + len(_SIGNS) + 2
+N_SYMBOLS = 28 + len(_SIGNS) + 5
 _LETTER, _OTHER = N_SYMBOLS - 2, N_SYMBOLS - 1
+#: Letters of number, at and dot words have symbols of their own.
+_WORDS = re.compile(rf"\b(?:({_NUMBER})|({_AT_WORD})|({_DOT_WORD}))\b", re.I)
+_REACH = 1 + max(map(len, (*NUMBERS, *AT_WORDS, *DOT_WORDS)))
+
+
+@lru_cache(1 << 16)
+def symbol(c: str) -> int:
+    """Digits of any script are digits, full-width signs and letters are what they stand for."""
+    if c.isdecimal():
+        return 27
+    wide = unicodedata.normalize("NFKC", c) if "！" <= c <= "～" else c
+    return _SYMBOL.get(wide) or _SYMBOL.get(wide.lower()) or (_LETTER if c.isalpha() else _OTHER)
 
 
 def symbols(text: str) -> np.ndarray:
-    return np.array([_SYMBOL.get(c) or _SYMBOL.get(c.lower()) or (_LETTER if c.isalpha() else _OTHER) for c in text], np.int64)
+    out = np.array([symbol(c) for c in text], np.int64)
+    for m in _WORDS.finditer(text):
+        out[m.start() : m.end()] = N_SYMBOLS - 6 + m.lastindex
+    return out
 
 
 # -- labelled spans ----------------------------------------------------------------------------------------------------
@@ -107,11 +133,31 @@ def _word(rnd: random.Random) -> str:
 def _address(rnd: random.Random) -> str:
     name, host, top = _word(rnd).encode("ascii", "ignore").decode() or "an", rnd.choice(["mail", "post", "web", "corp"]) + rnd.choice(["", _digits(rnd, 1)]), rnd.choice(["com", "org", "net", "example.com", "de"])
     name += rnd.choice(["", "." + _digits(rnd, 2), "_" + _digits(rnd, 1), "." + _word(rnd).encode("ascii", "ignore").decode()])
-    if rnd.random() < 0.3:  # long ones, also of more than a window
+    if rnd.random() < 0.2:  # long ones, also of more than a window
         name, host = (".".join((_word(rnd) + _word(rnd)).encode("ascii", "ignore").decode() or "an" for _ in range(rnd.randint(1, 4))) for _ in range(2))
+    if rnd.random() < 0.25:
+        at, dot = rnd.choice(AT_WORDS[:1] * 4 + AT_WORDS[1:]), rnd.choice(DOT_WORDS[:1] * 4 + DOT_WORDS[1:])
+        at, dot = rnd.choice([(at, dot), (at, dot), (at.upper(), dot.upper())])
+        at = rnd.choice([f" {at} ", f" {at} ", f" [{at}] ", f"[{at}]", f" ({at}) ", f"({at})", f" <{at}> ", f" {{{at}}} "])
+        dot = "." if rnd.random() < 0.15 else rnd.choice([f" {dot} ", f" {dot} ", f" [{dot}] ", f"[{dot}]", f" ({dot}) ", f"({dot})"])
+        return name + at + (host + "." + top).replace(".", dot)
     return rnd.choice([f"{name}@{host}.{top}"] * 4 + [f"{name} @ {host}.{top}", f"{name}@{host} . {top}", f"{name}@{host} dot {top}", f"{name}@{host}[.]{top}"])
 
 
+def _aloud(rnd: random.Random, s: str) -> str:
+    """Digits as words of one language, dots of an address too."""
+    words = rnd.choice([NUMBERS[:10]] * 3 + [NUMBERS[11:21], ["zéro", *NUMBERS[22:27], "six", *NUMBERS[27:30]], NUMBERS[30:40]])
+    dot, between = rnd.choice(DOT_WORDS[:1] * 3 + DOT_WORDS[1:]), rnd.choice([" ", " ", " ", "-", ", "])
+    out = between.join(words[int(c)] if c.isdigit() else dot for c in s if c.isdigit() or c == ".")
+    return out.capitalize() if rnd.random() < 0.1 else out
+
+
+def _script(rnd: random.Random, s: str) -> str:
+    """Digits of another script; full-width ones come with full-width signs."""
+    zero = rnd.choice("０٠۰०")
+    return "".join(chr(ord(zero) + int(c)) if "0" <= c <= "9" else chr(ord(c) + 0xFEE0) if zero == "０" and "!" <= c <= "~" else c for c in s)
+
+
 def _ip(rnd: random.Random) -> str:
     p = [str(rnd.randint(0, 255)) for _ in range(4)]
     return rnd.choice([".".join(p)] * 4 + [" . ".join(p), "[.]".join(p)])
@@ -129,7 +175,17 @@ def _phone(rnd: random.Random) -> str:
 
 def _lookalike(rnd: random.Random) -> str:
     hexes = "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(16, 40)))
-    return rnd.choice([hexes, f'"{hexes}"', _digits(rnd, rnd.randint(1, 6)), _digits(rnd, rnd.randint(22, 30)), f"{rnd.randint(1, 28)}.{rnd.randint(1, 12)}.{rnd.randint(1900, 2030)}", f"version {rnd.randint(1, 9)}.{rnd.randint(0, 20)}", f"{rnd.randint(1, 9)},{_digits(rnd, 3)}", f"@{_word(rnd)}", f"{rnd.randint(1900, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", f"{rnd.randint(1, 23)}:{_digits(rnd, 2)}", "$" + _digits(rnd, 4), f"No. {_digits(rnd, 4)}"])
+    return rnd.choice([hexes, f'"{hexes}"', _digits(rnd, rnd.randint(1, 6)), _digits(rnd, rnd.randint(22, 30)), f"{rnd.randint(1, 28)}.{rnd.randint(1, 12)}.{rnd.randint(1900, 2030)}", f"version {rnd.randint(1, 9)}.{rnd.randint(0, 20)}", f"{rnd.randint(1, 9)},{_digits(rnd, 3)}", f"@{_word(rnd)}", f"{rnd.randint(1900, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", f"{rnd.randint(1, 23)}:{_digits(rnd, 2)}", "$" + _digits(rnd, 4), f"No. {_digits(rnd, 4)}"] + [f"{_word(rnd)} at {_word(rnd)}", f"at {_word(rnd)}. {_word(rnd)}", f"{_word(rnd)} at {_word(rnd)}, {_word(rnd)} at {_word(rnd)}. {_word(rnd)}", rnd.choice(NUMBERS), f"{rnd.choice(NUMBERS)} {_word(rnd)}", f"{rnd.choice(NUMBERS)} or {rnd.choice(NUMBERS)}", f"{rnd.choice(NUMBERS)} {rnd.choice(NUMBERS)}", f"{rnd.choice(DOT_WORDS)} {_word(rnd)}"])
+
+
+def spelled(rnd: random.Random, kind: int, s: str) -> str:
+    """The span as it is, in digits of another script or, but for addresses of mail, in words."""
+    r = rnd.random()
+    if r < 0.04:
+        return _script(rnd, s)
+    if kind and r < (0.08 if kind == 2 else 0.24):
+        return _aloud(rnd, s if kind == 1 and "[" not in s else "".join(c for c in s if c.isdigit()))
+    return s
 
 
 def labelled(rnd: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +196,8 @@ def labelled(rnd: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
         text, tags = "", []
         while len(text) < 2 * WINDOW:
             r = rnd.random()
-            kind = rnd.randrange(4) if r < 0.16 else -1
-            piece = make[kind](rnd) if kind >= 0 else _lookalike(rnd) if r < 0.24 else _word(rnd)
+            kind = rnd.randrange(4) if r < 0.18 else -1
+            piece = spelled(rnd, kind, make[kind](rnd)) if kind >= 0 else _lookalike(rnd) if r < 0.29 else _word(rnd)
             tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1) if kind >= 0 else [0] * len(piece)
             after = rnd.choice([" "] * 8 + [". ", ", ", ".\n", "$$$ ", "!! ", "### ", " | "])
             text, tags = text + piece + after, tags + [0] * len(after)
@@ -151,7 +207,7 @@ def labelled(rnd: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
             if t == 0 or t % 2:
                 break
             own[j] = t - 1 if j == 0 else t
-        xs[i], ys[i] = symbols(text[at : at + WINDOW]), own
+        xs[i], ys[i] = symbols(text)[at : at + WINDOW], own
     return xs, ys
 
 
@@ -269,7 +325,7 @@ def loss_and_slopes(p: dict, xs: np.ndarray, ys: np.ndarray) -> tuple[float, dic
 def trained(steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     """The model; the same numbers at each call."""
     rnd, p = random.Random(seed), initial(seed)
-    m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+    m, v, mean = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(3))  # the result is the mean of the last quarter of steps
     for step in range(1, steps + 1):
         xs, ys = labelled(rnd, BATCH)
         _, slopes = loss_and_slopes(p, xs, ys)
@@ -280,7 +336,8 @@ def trained(steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return {k: w.astype(np.float32) for k, w in p.items()}
+            mean[k] += (p[k] - mean[k]) / max(1, step - steps * 3 // 4)
+    return {k: w.astype(np.float32) for k, w in mean.items()}
 
 
 def decoded(p: dict, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,20 +372,22 @@ def window_starts(text: str) -> list[int]:
     return out
 
 
-_DOTTED = re.compile(r"\w(?: ?\[?\.\]? ?| dot )\w")
 _LEAST_DIGITS = {0: 0, 1: 4, 2: 13, 3: 7}
 _MOST_DIGITS = {0: 40, 1: 12, 2: 19, 3: 15}
 
 
 def plausible(kind: int, s: str) -> bool:
-    """What a span of the model must hold besides its tags."""
-    digits = sum("0" <= c <= "9" for c in s)
+    """What a span of the model must hold besides its tags and a trigger."""
+    digits = sum(c.isdecimal() for c in s) + (len(_SPELLED.findall(s)) if kind else 0)
     if not _LEAST_DIGITS[kind] <= digits <= _MOST_DIGITS[kind]:
         return False
     if kind == 0:
-        _, at, host = s.partition("@")
-        return s[0] != "@" and bool(at) and bool(_DOTTED.search(host))
-    return not any(c.isalpha() for c in s) or kind == 1 and "." in s
+        at = _AT.search(s)
+        return bool(at) and at.start() > 0 and bool(_DOTTED.search(s, at.end()))
+    rest = _SPELLED.sub("", s)
+    if kind == 1:
+        rest = re.sub(rf"\b{_DOT_WORD}\b", "", rest, flags=re.I)
+    return not any(c.isalpha() for c in rest) or kind == 1 and "." in s
 
 
 def owned(start: int, n: int) -> tuple[int, int]:
@@ -353,7 +412,8 @@ def missing(n: int, seen: dict[int, tuple[np.ndarray, np.ndarray]], reach: int)
 
 def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int, int, int]]:
     """(confidence, start, kind, end) of the spans of the text's one path, each character of it from the window where it
-    is most central.  Spans of a kind that meet where the windows change are one."""
+    is most central.  Spans of a kind (addresses of mail, or numbers) that meet where the windows change are one;
+    of cards and phones the digits' count decides where the model's kind can't be."""
     runs: list[list] = []  # start, kind, end, sum of margins
     before = -1  # end of what was looked at
     for s in sorted(seen):
@@ -362,33 +422,32 @@ def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> lis
         for at in (lo + np.flatnonzero(path[lo - s : hi - s])).tolist() if lo < hi else []:
             tag = int(path[at - s])
             kind = (tag - 1) // 2
-            if runs and runs[-1][2] == at and runs[-1][1] == kind and (tag % 2 == 0 or at == lo and before == lo):
+            seam = at == lo and before == lo
+            if runs and runs[-1][2] == at and (seam and bool(runs[-1][1]) == bool(kind) or runs[-1][1] == kind and tag % 2 == 0):
                 runs[-1][2] += 1
                 runs[-1][3] += float(margin[at - s])
             else:
                 runs.append([at, kind, at + 1, float(margin[at - s])])
         before = hi
-    out = []
+    out, triggers = [], [m.start() for m in TRIGGER.finditer(text)] if runs else []
     for a, kind, b, total_margin in runs:
         c = total_margin / (b - a)
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if a < b and c >= CONFIDENCE and plausible(kind, text[a:b]):
+        if a < b and kind >= 2 and not plausible(kind, text[a:b]):
+            kind = 5 - kind
+        if a < b and c >= CONFIDENCE and plausible(kind, text[a:b]) and (k := bisect_left(triggers, a)) < len(triggers) and triggers[k] < b:
             out.append((-c, a, kind, b))
     return sorted(out)
 
 
 def reconciled(base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
     """All base spans, and candidates by falling confidence that overlap none chosen before."""
-    from bisect import insort
-
     taken = sorted((s, e) for s, _, e in base)
     out = list(base)
     for _, s, kind, e in found:
-        from bisect import bisect_left
-
         i = bisect_left(taken, (e, -1))
         if all(b <= s for _, b in taken[max(0, i - 4) : i]):
             insort(taken, (s, e))
@@ -410,7 +469,8 @@ def spans_of(p: dict, batch_texts: list[str], at_once: int = 2048, starts: Calla
             part = queue[lo : lo + at_once]
             xs = np.full((len(part), WINDOW), _SYMBOL["\n"], np.int64)
             for j, (i, s) in enumerate(part):
-                x = symbols(batch_texts[i][s : s + WINDOW])
+                first = max(0, s - _REACH)  # words at the edges are seen whole
+                x = symbols(batch_texts[i][first : s + WINDOW + _REACH])[s - first : s - first + WINDOW]
                 xs[j, : len(x)] = x
             paths, margins = decoded(p, xs)
             for (i, s), path, margin in zip(part, paths.astype(np.int8), margins, strict=True):
