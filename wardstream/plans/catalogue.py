@@ -189,9 +189,9 @@ def classify_text(spark, table):
     return out.select("doc_id", "score", F.round("probability", 6).alias("probability"), "is_manipulation", F.round("oov_ratio", 9).alias("oov_ratio"), "tokens_matched", "tokens_total")
 
 
-@query("SELECT doc_id, 1.0::DOUBLE AS score, 47960 AS entropy, 65535 AS surprise, true AS has_bias FROM documents")
+@query(f"WITH {SQL_DOCS}, {sql_bias('doc_id')} SELECT doc_id, 1.0::DOUBLE AS score, greatest(47960, least(65535, total * 65535 // 9000)::INTEGER) AS entropy, 65535 AS surprise, true AS has_bias FROM b")
 def classify_fail_closed(spark, table):
-    out = C.sift(table("documents").select("doc_id", F.lit("plain text").alias("text")), C.fail_closed(spark), ["doc_id"])
+    out = C.sift(documents(table), C.fail_closed(spark), ["doc_id"])
     return out.select("doc_id", "score", "entropy", "surprise", "has_bias")
 
 
