@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import exp
 
+from .label_rules import LABEL_RULES  # noqa: F401 - the patterns of each label
+
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "authority": ("expert", "experts", "official", "officials", "government", "doctor", "doctors", "scientist", "scientists", "guaranteed", "certified", "proven"),
     "social_proof": ("everyone", "thousands", "millions", "trending", "viral", "bestseller", "bestsellers", "testimonials", "consensus", "majority", "crowd"),
@@ -39,18 +41,6 @@ ERROR_MESSAGES = {
 #: The logistic function at 256 places from -8 to 0, to six decimals.
 SIGMOID = tuple(round(1 / (1 + exp(8 - 8 * i / 255)), 6) for i in range(256))
 
-#: A rule for each label, any of which sets it: a small default; a full rule table is a parameter of the labeler.
-LABEL_RULES: dict[str, tuple[str, ...]] = {
-    "authority": (r"\bexpert[s]?\b", r"\bcertified\b", r"\bdoctor\b"),
-    "social_proof": (r"\btrending\b", r"\bmost\s+people\b"),
-    "scarcity": (r"\bexclusive\b", r"\brare\b"),
-    "urgency": (r"\bhurry\b", r"\bdeadline\b"),
-    "emotional_appeal": (r"\bincredible\b", r"\bfear\b"),
-    "expertise_signaling": (r"\bsophisticated\b", r"\bproprietary\b"),
-    "semantic_traps": (r"\binstead of\b", r"\brather than\b"),
-    "template_fitting": (r"\bas an ai\b", r"\bi cannot\b"),
-}
-
 
 def sql_list(values, of=lambda v: "'" + v.replace("'", "''") + "'") -> str:
     return ", ".join(of(v) for v in values)

@@ -212,7 +212,7 @@ def sift_best_per_conversation(spark, table):
     return C.sift_best(C.sift(turns(table), model(spark), ["conv_id", "turn"]), ["conv_id"], "turn")
 
 
-SQL_LABELS = ", ".join("regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in v) + f"')::INTEGER AS {n}" for n, v in L.LABEL_RULES.items())
+SQL_LABELS = ", ".join("regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in v).replace("'", "''") + f"')::INTEGER AS {n}" for n, v in L.LABEL_RULES.items())
 
 
 @query(f"WITH {SQL_DOCS} SELECT doc_id, {SQL_LABELS} FROM d")
