@@ -147,6 +147,14 @@ def test_license_lines(spark):
         assert (r.n_licenses > 0) == bool(lines.search(texts[r.doc_id]))
 
 
+def test_all_kinds_of_license_lines(spark):
+    at = "/root/testdata/sf0.01"
+    lines = re.compile("(?i)licensed? under|released under|all[^a-z0-9\x80-\U0010ffff]+rights[^a-z0-9\x80-\U0010ffff]+reserved")
+    texts = {r.doc_id: r.text for r in table(spark, at, "documents").collect()}
+    for r in licenses.op4_license_scan(spark, at).collect():
+        assert (r.n_licenses > 0) == bool(lines.search(texts[r.doc_id])), r
+
+
 # -- token counts ----------------------------------------------------------------------------------------------------
 
 

@@ -39,6 +39,7 @@ TEMPLATES: dict[str, str] = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-statement": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
+    "all-rights-reserved-statement": "All rights reserved.",
 }
 
 SEPARATOR = np.ones(256, bool)
