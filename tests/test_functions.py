@@ -1,6 +1,8 @@
 """Fixed cases of the functions and operators."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,10 +65,60 @@ def test_utility_and_drift(spark):
 
 
 def test_fail_closed(spark):
-    r = C.sift(spark.createDataFrame([(1, "anything"), (2, "")], "i int, text string"), C.fail_closed(spark), ["i"]).collect()
+    r = C.sift(spark.createDataFrame([(1, "anything"), (2, "")], "i int, text string"), C.fail_closed(spark)).collect()
     assert {(x.entropy, x.surprise, x.is_manipulation, round(x.probability, 6)) for x in r} == {(47960, 65535, True, 0.731829)}
 
 
+def test_classify_both_ways(spark, monkeypatch):
+    """In the row and by a join; repeated rows, equal and null keys count their own tokens only."""
+    texts_ = ["the cat the_cat", "The cat sat", "", None, "cat", "cat", "x y z", "CAT! the... é cat"]
+    df = spark.createDataFrame([(None if i == 4 else i // 2, t) for i, t in enumerate(texts_)] + [(0, "The cat sat")], "i int, text string")
+    model = C.Model(spark.createDataFrame([("cat", 1.5, 0.5), ("the", 1.0, -0.25), ("the_cat", 2.0, 1.0), ("cat_sat", 1.0, 0.125)], "token string, idf double, coef double"), 0.25, 1.0)
+    weights = {"cat": 0.75, "the": -0.25, "the_cat": 2.0, "cat_sat": 0.125}
+
+    def plain(t):
+        w = [x.lower() for x in re.findall("[A-Za-z0-9]+", t or "")]
+        every = w + [f"{a}_{b}" for a, b in zip(w, w[1:], strict=False)]
+        hits = [x for x in every if x in weights]
+        return 0.25 + sum(weights[x] for x in hits), len(hits), len(every)
+
+    want = sorted(((r.i, r.text, *plain(r.text)) for r in df.collect()), key=str)
+    for most in (1000, 2):
+        monkeypatch.setattr(C, "LITERALS", most)
+        got = C.classify(df, model).select("i", "text", "score", "tokens_matched", "tokens_total").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def plain_breakdown(text):
+    """The rules as written, token by token."""
+    words = [w.strip(T.PUNCTUATION) for w in re.split(L.SPACE_JAVA, text) if w]
+    fold = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+    live = [not any(f in L.NEGATIONS for f in fold[max(0, i - 6) : i]) for i in range(len(words))]
+    out = {n: 100 * sum(f in own and ok for f, ok in zip(fold, live, strict=True)) for n, own in L.CATEGORIES.items()}
+    for n, own in L.PHRASES.items():
+        out[n] = sum(100 for p in own if any(live[i] and fold[i : i + len(p.split())] == p.split() for i in range(len(fold))))
+    out["emphasis"] = 50 * sum(bool(re.fullmatch("[A-Z]{2,}", w)) and ok for w, ok in zip(words, live, strict=True))
+    return {n: min(65535, v) for n, v in out.items()}
+
+
+def test_breakdown_of_random_words(spark):
+    rnd = random.Random(4)
+    pool = [*L.NEGATIONS, "STOP", "expert", "Expert!", "hurry", "plain", "words", "\u212Aind", "...", "don't-wait", "é", *(w for p in L.PHRASES.values() for x in p for w in x.split())]
+    rows = [(i, "".join(rnd.choice(pool) + rnd.choice([" ", "  ", "\u00a0", "\n", ", "]) for _ in range(rnd.randint(0, 60)))) for i in range(300)]
+    got = T.bias_breakdown(spark.createDataFrame(rows, "i int, text string")).collect()
+    texts_ = dict(rows)
+    for r in got:
+        want = plain_breakdown(texts_[r.i])
+        assert {n: r[n] for n in want} == want and r.total == min(65535, sum(want.values()))
+
+
+def test_octets(spark):
+    import zlib
+
+    for t in ("", "a", "é\u20acx\U0001F600" * 50, "\x00b", "z" * 100_000):
+        assert one(spark, T.adler32(F.col("t")), t=t) == zlib.adler32(t.encode())
+
+
 def test_sift_best(spark):
     df = spark.createDataFrame([(1, 0, 5, 1, False), (1, 1, 9, 2, True), (1, 2, 9, 3, False), (2, 0, 0, 7, True)], "g int, pos int, entropy int, surprise int, has_bias boolean")
     assert sorted(map(tuple, C.sift_best(df, ["g"], "pos").collect())) == [(1, 9, 2, True, 1), (2, 65535, 0, False, None)]

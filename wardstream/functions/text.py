@@ -20,13 +20,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), L.SPACE_JAVA), lambda w: w != "")
 
 
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
 def trimmed(word: Column) -> Column:
     """Without ASCII punctuation at either end."""
-    return F.regexp_replace(word, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")
+    return F.btrim(word, F.lit(PUNCTUATION))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to all cores by ``keys``, if the table is too small to lie in as many row groups; a table of more
+    than ``SMALL`` bytes a core stays as it is read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n, *keys) if size < n * SMALL else df
 
 
-def _among(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+SMALL = 16 << 20
 
 
 def bias_breakdown(df: DataFrame, text: str = "text") -> DataFrame:
@@ -34,27 +44,46 @@ def bias_breakdown(df: DataFrame, text: str = "text") -> DataFrame:
 
     A token counts unless one of the six before it is a negation; lists score 100 an occurrence, phrases 100 each once,
     words of capitals 50.  Everything stops at 65535.
+
+    One pass over the words keeps the listed ones (a hash lookup each) and words of capitals; a fold over these few,
+    which carries the place of the last negation, counts them.  Only after a phrase's first word are the next ones read.
     """
-    df = df.withColumn("__w", F.transform(words(F.col(text)), trimmed)).withColumn("__f", F.transform("__w", ascii_fold))
-    df = df.withColumn("__neg", F.transform("__f", lambda w: F.array_contains(_among(L.NEGATIONS), w)))
-    reach = L.NEGATION_REACH
-    df = df.withColumn("__live", F.expr(f"transform(__neg, (x, i) -> NOT exists(slice(__neg, greatest(1, i - {reach - 1}), least({reach}, i)), y -> y))"))
-    out = {}
-    for name, values in L.CATEGORIES.items():
-        own = L.sql_list(values)
-        out[name] = F.expr(f"least({U16}, 100 * size(filter(arrays_zip(__f, __live), x -> x.__live AND x.__f IN ({own}))))")
-    for name, phrases in L.PHRASES.items():
-        tests = []
-        for p in phrases:
-            parts = p.split(" ")
-            same = " AND ".join(f"element_at(__f, i + {k}) = '{w}'" for k, w in enumerate(parts))
-            tests.append(f"CASE WHEN size(__f) >= {len(parts)} AND exists(sequence(1, greatest(1, size(__f) - {len(parts) - 1})), i -> element_at(__live, i) AND {same}) THEN 100 ELSE 0 END")
-        out[name] = F.expr(f"least({U16}, {' + '.join(tests)})")
-    out["emphasis"] = F.expr(f"least({U16}, 50 * size(filter(arrays_zip(__w, __live), x -> x.__live AND x.__w RLIKE '^[A-Z][A-Z]+$')))")
+    phrases = [p.split(" ") for own in L.PHRASES.values() for p in own]
+    listed = sorted({*L.NEGATIONS, *(w for own in L.CATEGORIES.values() for w in own), *(p[0] for p in phrases)})
+    df = df.withColumn("__w", words(F.col(text)))
+    capitals = lambda t: t.rlike("^[A-Z][A-Z]+$")
+    # lower() finds whatever ASCII folding finds, and is the faster one.
+    found = F.filter(F.transform("__w", lambda x, i: F.struct(i.alias("i"), trimmed(x).alias("t"))), lambda h: F.lower(h["t"]).isin(listed) | capitals(h["t"]))
+
+    def seen(h: Column) -> Column:
+        fold = ascii_fold(h["t"])
+        mask = F.lit(0)
+        for k, p in enumerate(phrases):
+            same = fold == p[0]
+            for j, w in enumerate(p[1:], 1):
+                same &= F.coalesce(ascii_fold(trimmed(F.get("__w", h["i"] + j))) == w, F.lit(False))
+            mask = mask.bitwiseOR(F.when(same, F.lit(1 << k)).otherwise(F.lit(0)))
+        return F.struct(h["i"].alias("i"), fold.alias("f"), capitals(h["t"]).alias("capitals"), mask.alias("mask"))
+
+    def count(a: Column, h: Column) -> Column:
+        live = h["i"] - a["last"] > L.NEGATION_REACH
+        one = lambda name, test: (a[name] + F.when(live & test, 1).otherwise(0)).alias(name)
+        return F.struct(
+            F.when(h["f"].isin(list(L.NEGATIONS)), h["i"]).otherwise(a["last"]).alias("last"), *(one(n, h["f"].isin(list(own))) for n, own in L.CATEGORIES.items()),
+            one("emphasis", h["capitals"]), a["mask"].bitwiseOR(F.when(live, h["mask"]).otherwise(0)).alias("mask"),
+        )
+
+    start = F.struct(F.lit(-100).alias("last"), *(F.lit(0).alias(n) for n in (*L.CATEGORIES, "emphasis", "mask")))
+    df = df.withColumn("__a", F.aggregate(F.transform(found, seen), start, count))
+    most = lambda c: F.least(F.lit(U16).cast("long"), c.cast("long")).cast("int")
+    out, at = {n: most(F.col(f"__a.{n}").cast("long") * 100) for n in L.CATEGORIES}, 0
+    for name, own in L.PHRASES.items():
+        out[name] = most(F.bit_count(F.col("__a.mask").bitwiseAND(((1 << len(own)) - 1) << at)) * 100)
+        at += len(own)
+    out["emphasis"] = most(F.col("__a.emphasis").cast("long") * 50)
     df = df.withColumns(out)
     total = F.least(F.lit(U16), sum((F.col(n) for n in out), F.lit(0)))
-    df = df.withColumn("total", total).withColumn("has_bias", F.col("total") > 0)
-    return df.drop("__w", "__f", "__neg", "__live")
+    return df.withColumn("total", total).withColumn("has_bias", F.col("total") > 0).drop("__w", "__a")
 
 
 def keyword_boost(total: Column) -> Column:
@@ -83,21 +112,17 @@ def drift_score(observation: Column, objective: Column) -> Column:
 
 
 def octets(text: Column) -> Column:
-    """The bytes of a text as integers."""
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
+    """The bytes of a text as integers: read as Latin-1, each byte is a character."""
+    own = F.transform(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(F.octet_length(text) > 0, own).otherwise(F.array().cast("array<bigint>"))
 
 
 def adler32(text: Column) -> Column:
-    """Closed form of the checksum: a plain and a weighted sum."""
+    """One fold: the sum of the bytes, and the sum of these sums; they stay below 2 ** 63 for texts of up to 2 GB."""
     zero = F.lit(0).cast("long")
-
-    def of(b):
-        n = F.size(b).cast("long")
-        plain = F.aggregate(b, zero, lambda s, x: s + x)
-        placed = F.aggregate(F.transform(b, lambda x, i: i * x), zero, lambda s, x: s + x)
-        return F.shiftleft((n + n * plain - placed) % 65521, 16).bitwiseOR((1 + plain) % 65521)
-
-    return bound(octets(text), of)
+    n = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+    sums = F.aggregate(octets(text), F.struct(zero.alias("a"), zero.alias("b")), lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + s["a"] + x).alias("b")))
+    return bound(F.struct(sums.alias("s"), n.alias("n")), lambda v: F.shiftleft((v["n"] + v["s"]["b"]) % 65521, 16).bitwiseOR((1 + v["s"]["a"]) % 65521))
 
 
 def anchor_hash(text: Column) -> Column:
@@ -129,7 +154,8 @@ def is_adversarial(text: Column, patterns: list[str]) -> Column:
 
 def tokens(text: Column) -> Column:
     """ASCII alphanumeric runs, lower-cased, at most 256 bytes of each."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: F.substring(ascii_fold(t), 1, 256))
+    runs = F.split(ascii_fold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
+    return F.transform(F.filter(runs, lambda t: t != ""), lambda t: F.substring(t, 1, 256))
 
 
 def items(text: Column) -> Column:

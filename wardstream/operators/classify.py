@@ -24,26 +24,61 @@ def fail_closed(spark: SparkSession) -> Model:
     return Model(spark.createDataFrame([], "token string, idf double, coef double"), 1.0, 0.5)
 
 
-#: Rows of a vocabulary up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def classify(df: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
-    """Adds score, probability, is_manipulation, oov_ratio, tokens_matched and tokens_total; ``keys`` name a row."""
-    vocabulary = model.vocabulary.select("token", (F.col("idf") * F.col("coef")).alias("weight"))
-    vocabulary = F.broadcast(vocabulary) if model.vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else vocabulary
-    df = df.withColumn("__items", T.items(F.col(text)))
-    hit = df.select(*keys, F.explode("__items").alias("token")).join(vocabulary, "token").groupBy(*keys).agg(F.sum(F.round("weight", 9).cast("decimal(20,9)")).cast("double").alias("__sum"), F.count("*").alias("tokens_matched"))
-    out = df.withColumn("tokens_total", F.size("__items").cast("long")).drop("__items").join(hit, keys, "left")
-    out = out.withColumn("tokens_matched", F.coalesce("tokens_matched", F.lit(0)))
-    out = out.withColumn("score", F.round(F.lit(model.intercept) + F.coalesce("__sum", F.lit(0.0)), 6)).drop("__sum")
+#: Entries up to which a vocabulary is part of the expression: rows are scored where they are, nothing is shuffled.
+LITERALS = 1_000
+#: Bytes up to which a larger vocabulary is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Weights are summed in these units, so that no order of additions matters.
+UNIT = 10**9
+
+
+def classify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds score, probability, is_manipulation, oov_ratio, tokens_matched and tokens_total, of each row by its own text;
+    repeated rows, and null or equal keys, make no difference."""
+    vocabulary = model.vocabulary.select("token", F.round(F.col("idf") * F.col("coef") * UNIT).cast("long").alias("weight")).where("token IS NOT NULL")
+    few = vocabulary.limit(LITERALS + 1).collect()
+    out = _in_rows(df, {r.token: r.weight for r in few}, text) if len(few) <= LITERALS and len({r.token for r in few}) == len(few) else _joined(df, vocabulary, text)
+    out = out.withColumn("score", F.round(F.lit(model.intercept) + F.col("__sum").cast("double") / UNIT, 6)).drop("__sum")
     oov = F.when(F.col("tokens_total") == 0, 1.0).otherwise(1 - F.col("tokens_matched") / F.col("tokens_total"))
     return out.withColumns({"probability": T.sigmoid(F.col("score")), "is_manipulation": F.col("score") > model.threshold, "oov_ratio": oov})
 
 
-def sift(df: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
+def _in_rows(df: DataFrame, weights: dict[str, int], text: str) -> DataFrame:
+    """__sum, tokens_matched and tokens_total by lookups in the row: tokens in a hash set, bigrams only after a token
+    that begins one."""
+    single, double = [t for t in weights if "_" not in t], [t for t in weights if "_" in t]
+    df = df.withColumn("__t", T.tokens(F.col(text)))
+    none = F.array().cast("array<string>")
+    found = F.filter("__t", lambda t: t.isin(single)) if single else none
+    if double:
+        first = sorted({t.split("_")[0] for t in double})
+        pairs = F.transform("__t", lambda t, i: F.when(t.isin(first), F.concat(t, F.lit("_"), F.get("__t", i + 1))))
+        found = F.concat(found, F.filter(pairs, lambda t: F.coalesce(t.isin(double), F.lit(False))))
+    df = df.withColumn("__hits", found)
+    table = F.create_map(*(F.lit(x) for t, w in weights.items() for x in (t, w))) if weights else F.create_map().cast("map<string, bigint>")
+    total = F.aggregate("__hits", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.try_element_at(table, t), F.lit(0)).cast("long"))
+    n = F.size("__t").cast("long")
+    return df.withColumns({"__sum": total, "tokens_matched": F.size("__hits").cast("long"), "tokens_total": F.greatest(F.lit(0), 2 * n - 1)}).drop("__t", "__hits")
+
+
+def _joined(df: DataFrame, vocabulary: DataFrame, text: str) -> DataFrame:
+    """The same by a join.  A text's sums depend on nothing but the text, so they are grouped by 128 bits of its hash
+    and divided by the number of its copies."""
+    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("token") + 32), F.lit(0))).first()[0]
+    vocabulary = F.broadcast(vocabulary) if size <= BROADCAST_BYTES else vocabulary
+    of = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"__a": F.xxhash64(of), "__b": F.xxhash64(F.lit(1), of)})
+    key = ["__a", "__b"]
+    copies = df.groupBy(*key).agg(F.count("*").alias("__n"))
+    hits = df.select(*key, F.explode(T.items(F.col(text))).alias("token")).join(vocabulary, "token").groupBy(*key).agg(F.sum("weight").alias("__all"), F.count("*").alias("__matched"))
+    own = hits.join(copies, key).select(*key, F.expr("__all div __n").alias("__sum"), F.expr("__matched div __n").alias("tokens_matched"))
+    out = df.withColumn("tokens_total", F.greatest(F.lit(0), 2 * F.size(T.tokens(F.col(text))).cast("long") - 1)).join(own, key, "left").drop(*key)
+    return out.withColumns({"__sum": F.coalesce("__sum", F.lit(0).cast("long")), "tokens_matched": F.coalesce("tokens_matched", F.lit(0).cast("long"))})
+
+
+def sift(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds entropy, surprise, has_bias, oov_byte, anchor and the classifier's and lists' columns."""
-    out = classify(T.bias_breakdown(df, text), model, keys, text)
+    out = classify(T.bias_breakdown(df, text), model, text)
     entropy = F.greatest(F.floor(F.col("probability") * T.U16).cast("int"), T.keyword_boost(F.col("total")))
     return out.withColumns({"entropy": entropy, "surprise": F.floor(F.col("oov_ratio") * T.U16).cast("int"), "oov_byte": F.floor(F.col("oov_ratio") * 255).cast("int"), "has_bias": F.col("is_manipulation") | (F.col("total") > 0), "anchor": T.anchor_hash(F.col(text))})
 

@@ -114,11 +114,11 @@ b AS (SELECT *, least(65535, {' + '.join(names)})::INTEGER AS total FROM c)"""
 
 
 def documents(table) -> DataFrame:
-    return table("documents").select("doc_id", F.expr(f"concat({overlaid('doc_id')}, coalesce(text, ''))").alias("text"))
+    return T.spread(table("documents").select("doc_id", "text"), "doc_id").select("doc_id", F.expr(f"concat({overlaid('doc_id')}, coalesce(text, ''))").alias("text"))
 
 
 def turns(table) -> DataFrame:
-    return table("conversations").select("conv_id", "turn", F.expr(f"concat({overlaid('(conv_id + turn)')}, coalesce(text, ''))").alias("text"))
+    return T.spread(table("conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", F.expr(f"concat({overlaid('(conv_id + turn)')}, coalesce(text, ''))").alias("text"))
 
 
 @query(f"WITH {SQL_DOCS}, {sql_bias('doc_id')} SELECT *, total > 0 AS has_bias FROM b")
@@ -185,13 +185,13 @@ def model(spark: SparkSession) -> C.Model:
 
 @query(f"WITH {SQL_DOCS}, {sql_classified('doc_id')} SELECT doc_id, score, round(probability, 6) AS probability, is_manipulation, round(oov_ratio, 9) AS oov_ratio, tokens_matched, tokens_total FROM k")
 def classify_text(spark, table):
-    out = C.classify(documents(table), model(spark), ["doc_id"])
+    out = C.classify(documents(table), model(spark))
     return out.select("doc_id", "score", F.round("probability", 6).alias("probability"), "is_manipulation", F.round("oov_ratio", 9).alias("oov_ratio"), "tokens_matched", "tokens_total")
 
 
 @query(f"WITH {SQL_DOCS}, {sql_bias('doc_id')} SELECT doc_id, 1.0::DOUBLE AS score, greatest(47960, least(65535, total * 65535 // 9000)::INTEGER) AS entropy, 65535 AS surprise, true AS has_bias FROM b")
 def classify_fail_closed(spark, table):
-    out = C.sift(documents(table), C.fail_closed(spark), ["doc_id"])
+    out = C.sift(documents(table), C.fail_closed(spark))
     return out.select("doc_id", "score", "entropy", "surprise", "has_bias")
 
 
@@ -203,13 +203,13 @@ sf AS (SELECT {', '.join(f'd.{x.strip()}' for x in keys.split(','))}, d.text, k.
 
 @query(f"WITH {SQL_DOCS}, {sql_sifted('doc_id')} SELECT doc_id, entropy, surprise, oov_byte, has_bias FROM sf")
 def sift_text(spark, table):
-    return C.sift(documents(table), model(spark), ["doc_id"]).select("doc_id", "entropy", "surprise", "oov_byte", "has_bias")
+    return C.sift(documents(table), model(spark)).select("doc_id", "entropy", "surprise", "oov_byte", "has_bias")
 
 
 @query(f"""WITH {SQL_TURNS}, {sql_sifted('conv_id, turn')}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY entropy DESC, turn) AS rn FROM sf)
 SELECT conv_id, CASE WHEN entropy > 0 THEN entropy ELSE 65535 END AS entropy, CASE WHEN entropy > 0 THEN surprise ELSE 0 END AS surprise, entropy > 0 AND has_bias AS has_bias, CASE WHEN entropy > 0 THEN turn END AS position FROM r WHERE rn = 1""")
 def sift_best_per_conversation(spark, table):
-    return C.sift_best(C.sift(turns(table), model(spark), ["conv_id", "turn"]), ["conv_id"], "turn")
+    return C.sift_best(C.sift(turns(table), model(spark)), ["conv_id"], "turn")
 
 
 SQL_LABELS = ", ".join("regexp_matches(lower(text), '" + "|".join(f"(?:{p})" for p in v).replace("'", "''") + f"')::INTEGER AS {n}" for n, v in L.LABEL_RULES.items())
@@ -229,7 +229,7 @@ def label_stats(spark, table):
 
 @query(f"WITH {SQL_DOCS}, {sql_sifted('doc_id')}, x AS (SELECT sf.doc_id, {sql_ladder('entropy', 'surprise', 'has_bias')} AS d FROM sf) SELECT split_part(d, '|', 1) AS label, quality, toxic, count(*) AS n FROM x JOIN labels USING (doc_id) GROUP BY ALL")
 def decision_vs_labels(spark, table):
-    df = C.sift(documents(table), model(spark), ["doc_id"]).select("doc_id", D.ladder(F.col("entropy"), F.col("surprise"), F.col("has_bias")).alias("d"))
+    df = C.sift(documents(table), model(spark)).select("doc_id", D.ladder(F.col("entropy"), F.col("surprise"), F.col("has_bias")).alias("d"))
     return df.join(table("labels"), "doc_id").groupBy(F.col("d.label").alias("label"), "quality", "toxic").agg(F.count("*").alias("n"))
 
 
@@ -431,7 +431,7 @@ SQL_SESSIONS = f"i AS (SELECT conv_id AS sess, turn AS seq, text, '{OBJECTIVE}'
 
 
 def sessions(spark, table) -> DataFrame:
-    out = C.sift(turns(table), model(spark), ["conv_id", "turn"])
+    out = C.sift(turns(table), model(spark))
     return out.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text", F.lit(OBJECTIVE).alias("objective"), "entropy", "surprise", "has_bias", "oov_byte")
 
 
