@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from wardstream.functions import decisions as D
 from wardstream.functions import lexicon as L
 from wardstream.functions import text as T
 from wardstream.operators import classify as C
-from wardstream.operators import resources, windows
+from wardstream.operators import pid, resources, windows
 from wardstream.plans.pipeline import Config, pipeline
 from wardstream.sources import texts
 
@@ -194,3 +195,58 @@ def test_configs():
     with pytest.raises(ValueError):
         D.Policy(dal="Z")
     assert len(L.SIGMOID) == 256 and L.SIGMOID[255] == 0.5
+
+
+def fnv64(data: bytes) -> int:
+    h = 0xCBF29CE484222325
+    for x in data:
+        h = (h ^ x) * 0x100000001B3 % (1 << 64)
+    return h
+
+
+def bigram64(a: str, b: str) -> int:
+    p = 0x100000001B3
+    return (((fnv64(a.encode()) ^ 0x5F) * p % (1 << 64)) ^ fnv64(b.encode())) * p % (1 << 64)
+
+
+def test_binary_model(spark, tmp_path):
+    """A model of hashes scores as the same one of tokens; broken files are refused."""
+    weights = {("cat",): (1.5, 0.5), ("the",): (1.0, -0.25), ("the", "cat"): (2.0, 1.0)}
+    hashed = sorted((bigram64(*k) if len(k) == 2 else fnv64(k[0].encode()), *v) for k, v in weights.items())
+    data = struct.pack("<Iff", len(hashed), 1.0, 0.25) + b"".join(struct.pack("<Qff", *e) for e in hashed)
+    (tmp_path / "m.bin").write_bytes(data)
+    by_hash = texts.read_binary_model(spark, str(tmp_path / "m.bin"))
+    assert (by_hash.intercept, by_hash.threshold) == (0.25, 1.0)
+    by_token = C.Model(spark.createDataFrame([("_".join(k), *v) for k, v in weights.items()], "token string, idf double, coef double"), 0.25, 1.0)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["The cat", "the the cat", "", None, "dog", "é CAT " + "x" * 300])], "i int, text string")
+    a, b = (sorted(map(tuple, C.classify(df, m).collect()), key=str) for m in (by_hash, by_token))
+    assert a == b and any(r[2] > 0.25 for r in a)
+    twice = struct.pack("<Iff", 2, 1.0, 0.25) + 2 * struct.pack("<Qff", 7, 1.0, 1.0)
+    for bad in (data[:-1], data[:4], twice, data[:-4] + struct.pack("<f", float("nan"))):
+        (tmp_path / "bad.bin").write_bytes(bad)
+        with pytest.raises(ValueError):
+            texts.read_binary_model(spark, str(tmp_path / "bad.bin"))
+
+
+def test_fold_both_ways(spark):
+    """One aggregate, or a stream of sorted rows; sessions that cross batches, null keys and null signals."""
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", None]), i, *(rnd.choice([None, rnd.random() * 1.2]) for _ in range(5)), rnd.choice([None, rnd.uniform(-9e4, 9e4)]), rnd.choice([0, 40, 99, None]), rnd.randrange(64)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, seq long, e_sift double, e_body double, e_mem double, e_kernel double, prob double, trend double, pressure int, flags int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    a, b = ({(r.k, r.seq): (r.risk, r.fast, r.slow, r.prev_pressure) for r in pid.fold(df, ["k"], most=most).collect()} for most in (100, None))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert a.keys() == b.keys() and len(a) == 400 and all(abs(x - y) < 1e-12 for k in a for x, y in zip(a[k], b[k], strict=True))
+
+
+def test_host_sample(spark):
+    r = resources.host_sample(spark).first()
+    assert r.rss > 0 and r.total > r.rss and r.load >= 0 and min(r.user, r.idle, r.iowait) >= 0
+    again = spark.createDataFrame([(0, *r[3:]), (1, *(x + 10 for x in r[3:]))], "seq int, user long, nice long, system long, idle long, iowait long").withColumn("host", F.lit("h"))
+    got = resources.cpu_deltas(again, ["host"], ["seq"]).where("seq = 1").first()
+    assert (got.cpu_load, got.iowait_ratio) == (60.0, 0.2)
+
+
+def test_guard_bounds(spark):
+    code = lambda t: one(spark, T.guard_code(F.col("t")), t=t)
+    assert code("a" * 10_485_760) == 0 and code("a" * 10_485_761) == -9 and code("") == -9

@@ -1,6 +1,7 @@
 """Decisions as CASE ladders over columns.
 
-A decision is a struct of label, severity (0 to 4), code, reason and cooldown_ms.
+A decision is a struct of label, severity (0 to 4), code, reason and cooldown_ms.  Besides the ladders there is ``exit_now``,
+which callers make themselves.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import ERROR_CODES
+from .lexicon import ERROR_CODES, ERROR_MESSAGES
 
 LEVELS = ("Nominal", "Elevated", "Critical", "Emergency")
 DALS = "ABCDE"
@@ -55,18 +56,87 @@ def halt(error: str, cooldown: Column | int = 30000) -> Column:
     return decision("halt", 3, ERROR_CODES[error], error, cooldown)
 
 
+def exit_now(error: str) -> Column:
+    """The process is to end: severity 4, a code of its own, no cooldown."""
+    return decision("exit", 4, -8, error, 0)
+
+
+def can_proceed(d: Column) -> Column:
+    return d["severity"] <= 1
+
+
+def must_halt(d: Column) -> Column:
+    return d["severity"] == 3
+
+
+def is_blocking(d: Column) -> Column:
+    return d["severity"] >= 2
+
+
+def should_exit(d: Column) -> Column:
+    return d["severity"] == 4
+
+
+def halt_reason(d: Column) -> Column:
+    """The error of a halt or an exit; else null."""
+    return F.when(d["severity"] >= 3, d["reason"])
+
+
+def error_message(code: Column) -> Column:
+    """The message of an error's code; null for other codes."""
+    out = F.lit(None).cast("string")
+    for k, text in ERROR_MESSAGES.items():
+        out = F.when(code == k, text).otherwise(out)
+    return out
+
+
+def code_name(code: Column) -> Column:
+    """The decision that a code stands for."""
+    return F.when(code == 0, "Proceed").when(code == 1, "Warn").when(code == 2, "Escalate").when(code.between(-8, -1), "Halt").when(code == -9, "Invalid").otherwise("Unknown")
+
+
+def code_severity(code: Column) -> Column:
+    """Severity by the code alone: an exit can't be told from a halt, and unknown codes are the severest."""
+    return F.when(code.between(0, 2), code).when(code.between(-8, -1), 3).otherwise(4).cast("int")
+
+
+def dal_of(code: Column) -> Column:
+    """The assurance level that a control code configures; whatever isn't 0 to 3 is the least one."""
+    return F.when(code == 0, "A").when(code == 1, "B").when(code == 2, "C").when(code == 3, "D").otherwise("E")
+
+
+def requires_action(percent: Column) -> Column:
+    return pressure_ordinal(percent) >= 2
+
+
+def is_stable(entropy: Column, threshold: Column | int) -> Column:
+    return entropy <= threshold
+
+
+def zone_of_monitor(state: Column) -> Column:
+    """The stability that a monitor's state means."""
+    return F.when(state == "Stable", "Stable").otherwise("Unstable")
+
+
+def any_detected(stuck: Column, drifting: Column, low: Column, decaying: Column, n_patterns: Column) -> Column:
+    return stuck | drifting | low | decaying | (n_patterns > 0)
+
+
+def is_high_risk(risk: Column) -> Column:
+    return risk > 0.7
+
+
+#: What an assurance level makes of decisions: from and to which severity, and what they become.
+DOWNGRADES = {"A": (), "B": (3, 3, "escalate", "DAL B: Halt downgraded"), "C": (2, 3, "warning", "DAL C: Escalation downgraded"), "D": (2, 4, "warning", "DAL D: Capped at Warn"), "E": (0, 4, "safe", "")}
+
+
 def downgraded(d: Column, dal: str) -> Column:
     """What an assurance level makes of a decision."""
-    severity = d["severity"]
-    if dal == "A":
+    if not DOWNGRADES[dal]:
         return d
-    if dal == "B":
-        return F.when(severity == 3, escalate("DAL B: Halt downgraded", d["cooldown_ms"])).otherwise(d)
-    if dal == "C":
-        return F.when(severity.isin(2, 3), warn("DAL C: Escalation downgraded")).otherwise(d)
-    if dal == "D":
-        return F.when(severity >= 2, warn("DAL D: Capped at Warn")).otherwise(d)
-    return proceed()
+    low, high, label, reason = DOWNGRADES[dal]
+    less = {"escalate": escalate(reason, d["cooldown_ms"]), "warning": warn(reason), "safe": proceed()}[label]
+    return F.when(d["severity"].between(low, high), less).otherwise(d)
 
 
 def ladder(entropy: Column, surprise: Column, has_bias: Column, p: Policy = Policy()) -> Column:

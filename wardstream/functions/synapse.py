@@ -44,3 +44,47 @@ def reserved(flags: Column, oov: Column) -> Column:
 
 def combined_risk_bits(reserved_bits: Column) -> Column:
     return reserved_bits.bitwiseAND(0x3FFF)
+
+
+def detection_flags(reserved_bits: Column) -> Column:
+    return reserved_bits.bitwiseAND(0x3F)
+
+
+def oov_byte(reserved_bits: Column) -> Column:
+    return F.shiftright(reserved_bits, 6).bitwiseAND(0xFF)
+
+
+def with_detection_flags(reserved_bits: Column, flags: Column) -> Column:
+    """The other bits stay."""
+    return reserved_bits.bitwiseAND(0xFFFFFC0).bitwiseOR(flags.cast("long").bitwiseAND(0x3F))
+
+
+def with_oov(reserved_bits: Column, byte: Column) -> Column:
+    return reserved_bits.bitwiseAND(0xFFFC03F).bitwiseOR(F.shiftleft(byte.cast("long").bitwiseAND(0xFF), 6))
+
+
+def without_detection(reserved_bits: Column) -> Column:
+    """Flags and OOV byte cleared, the upper bits kept."""
+    return reserved_bits.bitwiseAND(0xFFFC000)
+
+
+def _hex(half: Column) -> Column:
+    """The 8 bytes of a half, the least significant first."""
+    digits = F.lpad(F.hex(half), 16, "0")
+    return F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(8)))
+
+
+def as_bytes(low: Column, high: Column) -> Column:
+    """The record as 16 bytes, the least significant first."""
+    return F.unhex(F.concat(_hex(low), _hex(high)))
+
+
+def from_bytes(data: Column) -> tuple[Column, Column]:
+    """The halves of 16 bytes; of 8 bytes the high half is 0."""
+    def half(at: int) -> Column:
+        digits = F.hex(data)
+        # conv() reads up to 64 bits; the signed value is that of the same bits.
+        big_endian = F.concat(*(F.substring(digits, 2 * (at + 7 - i) + 1, 2) for i in range(8)))
+        return F.conv(big_endian, 16, -10).cast("long")
+
+    return half(0), F.when(F.octet_length(data) >= 16, half(8)).otherwise(F.lit(0).cast("long"))

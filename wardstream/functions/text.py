@@ -112,7 +112,7 @@ def drift_score(observation: Column, objective: Column) -> Column:
 
 
 def octets(text: Column) -> Column:
-    """The bytes of a text as integers: read as Latin-1, each byte is a character."""
+    """The bytes of a text (null: none) as integers: read as Latin-1, each byte is a character."""
     own = F.transform(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda x: F.ascii(x).cast("long"))
     return F.when(F.octet_length(text) > 0, own).otherwise(F.array().cast("array<bigint>"))
 
@@ -134,6 +134,48 @@ def fnv32(text: Column) -> Column:
     return F.aggregate(octets(text), F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 16777619).bitwiseAND(0xFFFFFFFF))
 
 
+def fnv32_folded(text: Column) -> Column:
+    """The same with ASCII capitals read as small letters."""
+    return fnv32(ascii_fold(text))
+
+
+def _prime_step(s: Column, x: Column) -> Column:
+    """(s xor x) times 2 ** 40 + 435, in halves of 32 bits that no product overflows; x is below 2 ** 32."""
+    lo = s["lo"].bitwiseXOR(x)
+    return F.struct((s["hi"] * 435 + F.shiftright(lo * 435, 32) + F.shiftleft(lo, 8)).bitwiseAND(0xFFFFFFFF).alias("hi"), (lo * 435).bitwiseAND(0xFFFFFFFF).alias("lo"))
+
+
+def _whole(s: Column) -> Column:
+    return F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"])
+
+
+def fnv64(text: Column) -> Column:
+    """64-bit FNV-1a, as the long of the same bits."""
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    return _whole(F.aggregate(octets(F.coalesce(text, F.lit(""))), start, _prime_step))
+
+
+def bigram_hash(first: Column, second: Column) -> Column:
+    """Of two tokens' hashes: the first, an underscore and the second, each multiplied in."""
+    def halves(h: Column) -> Column:
+        return F.struct(F.shiftrightunsigned(h, 32).alias("hi"), h.bitwiseAND(0xFFFFFFFF).alias("lo"))
+
+    def both(s: Column, h: Column) -> Column:
+        return F.struct(s["hi"].bitwiseXOR(F.shiftrightunsigned(h, 32)).alias("hi"), s["lo"].bitwiseXOR(h.bitwiseAND(0xFFFFFFFF)).alias("lo"))
+
+    return bound(_prime_step(halves(first), F.lit(0x5F).cast("long")), lambda s: _whole(_prime_step(both(s, second), F.lit(0).cast("long"))))
+
+
+def item_hashes(text: Column) -> Column:
+    """The hashes of items(), in the same order."""
+    def after(t):
+        before = F.concat(F.array(F.lit(None).cast("bigint")), t)
+        pairs = F.zip_with(before, t, lambda b, x: F.when(x.isNull(), F.array().cast("array<bigint>")).when(b.isNull(), F.array(x)).otherwise(F.array(bigram_hash(b, x), x)))
+        return F.flatten(pairs)
+
+    return bound(F.transform(tokens(text), fnv64), after)
+
+
 def substring_mask(text: Column) -> Column:
     """A bit for each adversarial substring in the first 64 KiB, whatever the case of ASCII letters."""
     t = F.coalesce(text, F.lit(""))

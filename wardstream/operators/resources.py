@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import decisions as D
+
 
 def rss_ratio(rss: Column, ceiling: Column) -> Column:
     return F.when(ceiling > 0, rss / ceiling)
@@ -23,6 +25,34 @@ def check_code(rss: Column, ceiling: Column) -> Column:
     return F.when((ceiling == 0) | (rss >= ceiling), -5).otherwise(0)
 
 
+def ceiling_of(total: Column, fraction: float) -> Column:
+    """The ceiling that is a share of the memory; 0 where that can't be measured."""
+    return F.when(total > 0, F.floor(total * F.lit(float(fraction)))).otherwise(0).cast("long")
+
+
+def check_with_entropy(rss: Column, ceiling: Column, entropy: Column) -> Column:
+    """A struct of code and, where memory allows, the fresh record's entropy; unmeasured memory counts as exhausted."""
+    code = F.when((ceiling == 0) | rss.isNull(), -5).otherwise(check_code(rss, ceiling))
+    return F.struct(code.alias("code"), F.when(code == 0, entropy).alias("entropy"))
+
+
+def admission(df: DataFrame, keys: list[str], order: list[str], policy: D.Policy = D.Policy(), retries: int = 3) -> DataFrame:
+    """What a gate that samples the host before each batch decides, from a table of samples (entropy, pressure, rss,
+    ceiling): of the first ``retries`` samples of a key the first that may proceed is admitted, if its memory allows.
+
+    One row a key: attempts, code (0, -5 or, if none may proceed, -7) and waited_ms, the cooldowns before.  Where the code
+    isn't 0 the caller takes the path under pressure.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = D.with_pressure(F.col("entropy"), F.lit(0), F.lit(False), F.col("pressure"), policy)
+    df = df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= retries).withColumn("__d", d)
+    df = df.withColumn("__code", F.when(D.can_proceed(F.col("__d")), check_with_entropy(F.col("rss"), F.col("ceiling"), F.col("entropy"))["code"]))
+    first = F.min(F.when(F.col("__code").isNotNull(), F.struct("__n", "__code")))
+    out = df.groupBy(*keys).agg(first.alias("f"), F.max("__n").alias("n"), F.collect_list(F.struct("__n", F.greatest(F.lit(1), F.col("__d.cooldown_ms")).alias("ms"))).alias("waits"))
+    waited = F.aggregate("waits", F.lit(0).cast("long"), lambda s, x: s + F.when(F.col("f").isNull() | (x["__n"] < F.col("f.__n")), x["ms"]).otherwise(0))
+    return out.select(*keys, F.coalesce("f.__n", "n").alias("attempts"), F.coalesce("f.__code", F.lit(-7)).alias("code"), waited.alias("waited_ms"))
+
+
 def cpu_deltas(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """cpu_load (percent) and iowait_ratio between consecutive samples of counters user, nice, system, idle and iowait."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -48,3 +78,11 @@ def host_sample(spark) -> DataFrame:
     n = [int(x) for x in cpu[:5]] + [None] * (5 - len(cpu[:5]))
     kb = lambda d, k: int(d[k][0]) * 1024 if k in d else None
     return spark.createDataFrame([(kb(own, "VmRSS"), kb(mem, "MemTotal"), float(load) if load else None, *n)], "rss long, total long, load double, user long, nice long, system long, idle long, iowait long")
+
+
+def control_signals(e_sift: Column, e_body: Column, mean: Column, e_mem: Column, e_kernel: Column) -> Column:
+    """An array of structs (stage, error, setpoint): errors in [0, 1]; only the memory keeps a reference, its mean."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double")))
+    zero = F.lit(0.0)
+    stages = (("sifter", e_sift, zero), ("memory", e_mem, mean / 65535), ("kernel", e_kernel, zero), ("body", e_body, zero))
+    return F.array(*(F.struct(F.lit(n).alias("stage"), unit(e).alias("error"), s.cast("double").alias("setpoint")) for n, e, s in stages))

@@ -75,17 +75,27 @@ def msb(v: Column) -> Column:
     return F.length(F.bin(v)) - 1
 
 
-def monitor(df: DataFrame, value: str, keys: list[str], order: list[str], k: int) -> DataFrame:
-    """state against the envelope of all earlier rows' magnitudes, and the thresholds that the envelope gives after the row."""
+UNSEEN = 4294967295
+
+
+def thresholds(top: Column, bottom: Column) -> dict[str, Column]:
+    """The high, low and warning threshold that an envelope of magnitudes gives; before any row (null) the high one is
+    out of reach."""
+    high = F.when(top.isNull(), F.lit(UNSEEN)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(top, F.lit(31)) + 1) - 1)
+    low = F.when(bottom > 0, F.call_function("shiftleft", F.lit(1).cast("long"), bottom)).otherwise(0)
+    return {"threshold_high": high.cast("long"), "threshold_low": low.cast("long"), "threshold_warn": F.when(top.isNull(), 0).otherwise(F.floor(high * 4 / F.lit(5))).cast("long")}
+
+
+def monitor(df: DataFrame, value: str, keys: list[str], order: list[str], k: int, after: bool = True) -> DataFrame:
+    """state against the envelope of all earlier rows' magnitudes, and the thresholds that the envelope gives after the
+    row, or before it."""
     w = session(keys, order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__m", msb(F.col(value).cast("long"))).withColumn("__hi", F.max("__m").over(before)).withColumn("__lo", F.min("__m").over(before))
     state = F.when(F.col("__m") > F.col("__hi") + k, "High").when((F.col("__lo") > k) & (F.col("__m") < F.col("__lo") - k), "Low").otherwise("Stable")
-    hi, lo = F.max("__m").over(w), F.min("__m").over(w)
-    high = F.expr("shiftleft(1L, __top + 1) - 1")
-    df = df.withColumn("state", state).withColumn("__top", hi).withColumn("__bottom", lo)
-    low = F.expr("CASE WHEN __bottom > 0 THEN shiftleft(1L, __bottom) ELSE 0L END")
-    return df.withColumn("threshold_high", high).withColumn("threshold_low", low).withColumn("threshold_warn", F.expr("threshold_high * 4 div 5")).drop("__m", "__hi", "__lo", "__top", "__bottom")
+    top, bottom = (F.max("__m").over(w), F.min("__m").over(w)) if after else (F.col("__hi"), F.col("__lo"))
+    df = df.withColumn("state", state).withColumn("__top", top).withColumn("__bottom", bottom)
+    return df.withColumns(thresholds(F.col("__top"), F.col("__bottom"))).drop("__m", "__hi", "__lo", "__top", "__bottom")
 
 
 def kernel_depth(df: DataFrame, admitted: str, keys: list[str], order: list[str], most: int) -> DataFrame:

@@ -139,19 +139,30 @@ def utility_and_drift(spark, table):
     return turns(table).select("conv_id", "turn", T.utility(F.col("text"), F.lit(OBJECTIVE)).alias("utility"), T.drift_score(F.col("text"), F.lit(OBJECTIVE)).alias("drift_score"))
 
 
-SQL_BYTES = "list_transform(range(0, octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)"
+#: CTE from d: the bytes of each text, from one hex string.
+SQL_BYTES = "b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d)"
 
 
-@query(f"""WITH b AS (SELECT item_id, {SQL_BYTES} AS b FROM benchmark), u AS (SELECT item_id, unnest(b) AS x, generate_subscripts(b, 1) AS i, len(b) AS n FROM b),
-s AS (SELECT item_id, (1 + sum(x)) % 65521 AS lo, (max(n) + sum((n - i + 1) * x)) % 65521 AS hi FROM u GROUP BY item_id)
-SELECT item_id, (hi * 65536 + lo)::BIGINT AS adler32, ((hi * 65536 + lo)::BIGINT & 2147483647) AS anchor FROM s""")
+@query(f"""WITH {SQL_DOCS}, {SQL_BYTES}, u AS (SELECT doc_id, unnest(b) AS x, generate_subscripts(b, 1) AS i, len(b) AS n FROM b),
+s AS (SELECT doc_id, (1 + sum(x)) % 65521 AS lo, (max(n) + sum((n - i + 1) * x)) % 65521 AS hi FROM u GROUP BY doc_id)
+SELECT doc_id, coalesce(hi * 65536 + lo, 1)::BIGINT AS adler32, (coalesce(hi * 65536 + lo, 1)::BIGINT & 2147483647) AS anchor FROM d LEFT JOIN s USING (doc_id)""")
 def adler32_anchor(spark, table):
-    return table("benchmark").select("item_id", T.adler32(F.col("text")).alias("adler32"), T.anchor_hash(F.col("text")).alias("anchor"))
+    return documents(table).select("doc_id", T.adler32(F.col("text")).alias("adler32"), T.anchor_hash(F.col("text")).alias("anchor"))
 
 
-@query(f"SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, {SQL_BYTES}), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS fnv32 FROM benchmark")
+def sql_fnv32(of: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::BIGINT, {of}), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
+
+
+@query(f"WITH {SQL_DOCS}, {SQL_BYTES} SELECT doc_id, {sql_fnv32('b')} AS fnv32, {sql_fnv32('list_transform(b, lambda x: CASE WHEN x BETWEEN 65 AND 90 THEN x + 32 ELSE x END)')} AS fnv32_folded FROM b")
 def fnv32(spark, table):
-    return table("benchmark").select("item_id", T.fnv32(F.col("text")).alias("fnv32"))
+    return documents(table).select("doc_id", T.fnv32(F.col("text")).alias("fnv32"), T.fnv32_folded(F.col("text")).alias("fnv32_folded"))
+
+
+@query(f"""WITH {SQL_DOCS}, {SQL_BYTES}, h AS (SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(b, lambda x: x::HUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM b)
+SELECT doc_id, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS fnv64 FROM h""")
+def fnv64(spark, table):
+    return documents(table).select("doc_id", T.fnv64(F.col("text")).alias("fnv64"))
 
 
 @query(f"WITH {SQL_DOCS}, m AS (SELECT doc_id, ({' + '.join(f'CASE WHEN contains(lower(text), {p!r}) THEN {1 << i} ELSE 0 END' for i, p in enumerate(L.SUBSTRINGS))})::INTEGER AS mask, text FROM d) SELECT doc_id, mask, bit_count(mask)::DOUBLE / 10 AS score, lower(text) LIKE 'while processing data%' AND length(text) = 21 AS is_adversarial FROM m")
@@ -189,6 +200,22 @@ def classify_text(spark, table):
     return out.select("doc_id", "score", F.round("probability", 6).alias("probability"), "is_manipulation", F.round("oov_ratio", 9).alias("oov_ratio"), "tokens_matched", "tokens_total")
 
 
+@query(f"WITH {SQL_DOCS}, {sql_classified('doc_id')} SELECT doc_id, score, round(probability, 6) AS probability, is_manipulation, round(oov_ratio, 9) AS oov_ratio, tokens_matched, tokens_total FROM k")
+def classify_hashed(spark, table):
+    """The same texts by a vocabulary of hashes, as a binary model has it."""
+    by_token, part = model(spark), F.split("token", "_")
+    key = F.when(F.size(part) == 2, T.bigram_hash(T.fnv64(F.get(part, 0)), T.fnv64(F.get(part, 1)))).otherwise(T.fnv64(F.col("token")))
+    hashed = C.Model(by_token.vocabulary.select(key.alias("hash"), "idf", "coef"), by_token.intercept, by_token.threshold)
+    out = C.classify(documents(table), hashed)
+    return out.select("doc_id", "score", F.round("probability", 6).alias("probability"), "is_manipulation", F.round("oov_ratio", 9).alias("oov_ratio"), "tokens_matched", "tokens_total")
+
+
+@query(f"WITH {SQL_DOCS}, {sql_classified('doc_id')} SELECT doc_id, round(probability, 6) AS error, floor(probability * 65535)::INTEGER AS entropy, is_manipulation AS has_bias, floor(oov_ratio * 255)::INTEGER AS oov_byte FROM k")
+def sift_from_classification(spark, table):
+    out = C.from_classification(C.classify(documents(table), model(spark)))
+    return out.select("doc_id", F.round("error", 6).alias("error"), "entropy", "has_bias", "oov_byte")
+
+
 @query(f"WITH {SQL_DOCS}, {sql_bias('doc_id')} SELECT doc_id, 1.0::DOUBLE AS score, greatest(47960, least(65535, total * 65535 // 9000)::INTEGER) AS entropy, 65535 AS surprise, true AS has_bias FROM b")
 def classify_fail_closed(spark, table):
     out = C.sift(documents(table), C.fail_closed(spark))
@@ -291,6 +318,27 @@ def decide_from_detection(spark, table):
     return flat(events(table).select("event_id", d.alias("decision")))
 
 
+SQL_MESSAGES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in L.ERROR_MESSAGES.items())
+
+
+@query(f"""WITH {SQL_EVENTS}, x AS (SELECT event_id, CASE WHEN event_id % 47 = 0 THEN 'exit|4|-8|ResourceExhaustion|0' ELSE {sql_ladder('entropy', 'surprise', 'has_bias')} END AS d FROM e),
+y AS (SELECT event_id, {sql_flat('d')} FROM x)
+SELECT event_id, severity <= 1 AS can_proceed, severity = 3 AS must_halt, severity >= 2 AS is_blocking, severity = 4 AS should_exit, CASE WHEN severity >= 3 THEN reason END AS halt_reason, cooldown_ms, CASE code {SQL_MESSAGES} END AS message,
+  CASE WHEN code = 0 THEN 'Proceed' WHEN code = 1 THEN 'Warn' WHEN code = 2 THEN 'Escalate' ELSE 'Halt' END AS code_name, CASE WHEN code >= 0 THEN code ELSE 3 END AS code_severity, CASE WHEN severity >= 2 THEN 'warning' ELSE label END AS capped FROM y""")
+def decision_helpers(spark, table):
+    d = F.when(F.col("event_id") % 47 == 0, D.exit_now("ResourceExhaustion")).otherwise(D.ladder(F.col("entropy"), F.col("surprise"), F.col("has_bias")))
+    df, d, code = events(table).select("event_id", d.alias("d")), F.col("d"), F.col("d.code")
+    return df.select("event_id", D.can_proceed(d).alias("can_proceed"), D.must_halt(d).alias("must_halt"), D.is_blocking(d).alias("is_blocking"), D.should_exit(d).alias("should_exit"), D.halt_reason(d).alias("halt_reason"), "d.cooldown_ms", D.error_message(code).alias("message"), D.code_name(code).alias("code_name"), D.code_severity(code).alias("code_severity"), D.downgraded(d, "D")["label"].alias("capped"))
+
+
+@query(f"""WITH {SQL_EVENTS} SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END AS dal, pressure > 50 AS requires_action, entropy <= 9000 AS is_stable,
+  event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 3 = 0 OR event_id % 31 = 0 AS any_detected, event_id % 10 > 7 AS is_high_risk FROM e""")
+def control_codes(spark, table):
+    i = F.col("event_id")
+    detected = D.any_detected(i % 7 == 0, i % 5 == 0, i % 3 == 0, F.lit(False), F.when(i % 31 == 0, 2).otherwise(0))
+    return events(table).select("event_id", D.dal_of(i % 6).alias("dal"), D.requires_action(F.col("pressure")).alias("requires_action"), D.is_stable(F.col("entropy"), 9000).alias("is_stable"), detected.alias("any_detected"), D.is_high_risk((i % 10) / 10.0).alias("is_high_risk"))
+
+
 @query(f"WITH {SQL_EVENTS}, g AS (SELECT user_id, max(entropy) AS max_entropy, max(surprise) AS max_surprise, bool_or(has_bias) AS any_bias, count(*) AS observations FROM e GROUP BY user_id), x AS (SELECT *, {sql_ladder('max_entropy', 'max_surprise', 'any_bias')} AS d FROM g) SELECT user_id, max_entropy, max_surprise, any_bias, observations, {sql_flat('d')} FROM x")
 def safety_context_by_user(spark, table):
     g = events(table).groupBy("user_id").agg(F.max("entropy").alias("max_entropy"), F.max("surprise").alias("max_surprise"), F.bool_or("has_bias").alias("any_bias"), F.count("*").alias("observations"))
@@ -311,6 +359,29 @@ def synapse_pack_unpack(spark, table):
     return df.select("event_id", *(c.alias(n) for n, c in fields.items()), S.combined_risk_bits(fields["reserved"]).alias("combined_risk_bits"))
 
 
+def sql_byte(bits: str) -> str:
+    return f"(list_sum(list_transform(range(8), lambda k: substr({bits}, k::INTEGER + 1, 1)::INTEGER << (7 - k)::INTEGER)))"
+
+
+SQL_BITS = " || ".join(f"lpad(bin(({FIELD_SQL[n]})::BIGINT), {w}, '0')" for n, _, w in reversed(S.FIELDS))
+RESERVED = "((event_id * 31) % 268435456)"
+
+
+@query(f"""WITH {SQL_EVENTS}, b AS (SELECT event_id, {SQL_BITS} AS bits, {RESERVED}::BIGINT AS r FROM e),
+h AS (SELECT *, array_to_string(list_transform(range(16), lambda i: lpad(upper(to_hex({sql_byte('substr(bits, 121 - 8 * i::INTEGER, 8)')}::BIGINT)), 2, '0')), '') AS hex FROM b)
+SELECT event_id, hex, substr(hex, 1, 16) AS low_hex, true AS round_trip, r & 63 AS flags, (r >> 6) & 255 AS oov, (r & 268435392) | (event_id % 64) AS with_flags, (r & 268419135) | ((event_id % 256) << 6) AS with_oov, r & 268419072 AS cleared FROM h""")
+def synapse_bytes_and_flags(spark, table):
+    values = {n: F.expr(v.replace("::INTEGER", "")).cast("long") for n, v in FIELD_SQL.items()}
+    low, high = S.packed(values)
+    i = F.col("event_id")
+    df = events(table).select("event_id", low.alias("low"), high.alias("high"), F.expr(RESERVED).alias("r"))
+    df = df.withColumn("bytes", S.as_bytes(F.col("low"), F.col("high")))
+    back, half = S.from_bytes(F.col("bytes")), S.from_bytes(F.substring("bytes", 1, 8))
+    same = (back[0] == F.col("low")) & (back[1] == F.col("high")) & (half[0] == F.col("low")) & (half[1] == 0)
+    r = F.col("r")
+    return df.select("event_id", F.hex("bytes").alias("hex"), F.hex(F.substring("bytes", 1, 8)).alias("low_hex"), same.alias("round_trip"), S.detection_flags(r).alias("flags"), S.oov_byte(r).alias("oov"), S.with_detection_flags(r, i % 64).alias("with_flags"), S.with_oov(r, i % 256).alias("with_oov"), S.without_detection(r).alias("cleared"))
+
+
 # -- windows --------------------------------------------------------------------------------------------------------------
 
 
@@ -354,6 +425,12 @@ def stability_monitor(spark, table):
     return windows.monitor(events(table), "entropy", ["user_id"], ORDER, 1).select("event_id", "state", "threshold_high", "threshold_low", "threshold_warn")
 
 
+@query(f"""WITH {SQL_EVENTS}, o AS (SELECT event_id, max(length(bin(entropy)) - 1) OVER w AS hi, min(length(bin(entropy)) - 1) OVER w AS lo FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN hi IS NULL THEN 4294967295 ELSE (1::BIGINT << (hi + 1)::INTEGER) - 1 END::BIGINT AS threshold_high, CASE WHEN lo > 0 THEN 1::BIGINT << lo::INTEGER ELSE 0 END AS threshold_low, CASE WHEN hi IS NULL THEN 0 ELSE ((1::BIGINT << (hi + 1)::INTEGER) - 1) * 4 // 5 END::BIGINT AS threshold_warn FROM o""")
+def monitor_thresholds_before(spark, table):
+    return windows.monitor(events(table), "entropy", ["user_id"], ORDER, 1, after=False).select("event_id", "threshold_high", "threshold_low", "threshold_warn")
+
+
 @query(f"""WITH {SQL_EVENTS}, a AS (SELECT *, NOT has_bias AND entropy <= 40000 AND surprise <= 58000 AS ok FROM e), r AS (SELECT *, sum(ok::INTEGER) {OVER} AS n FROM a)
 SELECT event_id, ok AND n > 10 AS depth_exceeded, least(10, n)::BIGINT AS step_count FROM r""")
 def kernel_depth(spark, table):
@@ -494,3 +571,31 @@ def resource_pressure(spark, table):
 SELECT event_id, round(CASE WHEN total > 0 THEN (u + n + s)::DOUBLE / total * 100 ELSE 0 END, 6)::DOUBLE AS cpu_load, round(CASE WHEN total > 0 THEN w::DOUBLE / total ELSE 0 END, 6)::DOUBLE AS iowait_ratio FROM t""")
 def cpu_load_delta(spark, table):
     return resources.cpu_deltas(metrics(table), ["user_id"], ORDER).select("event_id", F.round("cpu_load", 6).alias("cpu_load"), F.round("iowait_ratio", 6).alias("iowait_ratio"))
+
+
+@query(f"""WITH {SQL_METRICS}, c AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN rss END AS rss, ceiling, event_id % 1001 AS entropy FROM m),
+k AS (SELECT *, CASE WHEN ceiling = 0 OR rss IS NULL OR rss >= ceiling THEN -5 ELSE 0 END AS code FROM c)
+SELECT event_id, coalesce(CASE WHEN rss > 0 THEN floor(rss * 0.75)::BIGINT END, 0)::BIGINT AS ceiling_of, code, CASE WHEN code = 0 THEN entropy END AS entropy FROM k""")
+def resource_checks(spark, table):
+    df = metrics(table).select("event_id", F.when(F.col("event_id") % 11 > 0, F.col("rss")).alias("rss"), "ceiling", (F.col("event_id") % 1001).alias("entropy"))
+    checked = resources.check_with_entropy(F.col("rss"), F.col("ceiling"), F.col("entropy"))
+    return df.select("event_id", resources.ceiling_of(F.col("rss"), 0.75).alias("ceiling_of"), checked["code"].alias("code"), checked["entropy"].alias("entropy"))
+
+
+@query(f"""WITH {SQL_EVENTS}, s AS (SELECT user_id, entropy, pressure, (event_id * 37) % 1200 AS rss, row_number() {OVER} AS n FROM e),
+d AS (SELECT *, CASE WHEN entropy >= 50000 THEN 30000 WHEN pressure > 50 THEN 5000 WHEN entropy >= 40000 THEN 5000 ELSE 0 END AS wait FROM s WHERE n <= 3),
+f AS (SELECT user_id, min(CASE WHEN wait = 0 THEN n END) AS f, max(n) AS n FROM d GROUP BY user_id)
+SELECT d.user_id, coalesce(any_value(f.f), any_value(f.n)) AS attempts, coalesce(max(CASE WHEN d.n = f.f THEN CASE WHEN rss >= 1000 THEN -5 ELSE 0 END END), -7) AS code, coalesce(sum(greatest(1, wait)) FILTER (f.f IS NULL OR d.n < f.f), 0)::BIGINT AS waited_ms
+FROM d JOIN f USING (user_id) GROUP BY d.user_id""")
+def admission_by_user(spark, table):
+    df = events(table).withColumns({"rss": (F.col("event_id") * 37) % 1200, "ceiling": F.lit(1000)})
+    return resources.admission(df, ["user_id"], ORDER)
+
+
+@query(f"""WITH {SQL_EVENTS}, l AS (SELECT event_id, entropy, pressure, surprise, list_sum(list(entropy::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 63 PRECEDING))::DOUBLE / 64 AS mean FROM e)
+SELECT event_id, unnest(['sifter', 'memory', 'kernel', 'body']) AS stage, round(unnest([surprise::DOUBLE / 65535, least(1, abs(entropy - mean) / 65535)::DOUBLE, entropy::DOUBLE / 65535, pressure::DOUBLE / 101]), 9) AS error, round(unnest([0::DOUBLE, mean / 65535, 0, 0]), 9) AS setpoint FROM l""")
+def control_signals(spark, table):
+    df = windows.ring_stats(events(table), "entropy", ["user_id"], ORDER)
+    mean, unit = F.col("mean"), F.col("entropy") / 65535
+    signals = resources.control_signals(F.col("surprise") / 65535, F.col("pressure") / 101, mean, F.abs(F.col("entropy") - mean) / 65535, unit)
+    return df.select("event_id", F.explode(signals).alias("s")).select("event_id", "s.stage", F.round("s.error", 9).alias("error"), F.round("s.setpoint", 9).alias("setpoint"))

@@ -1,24 +1,31 @@
 """The whole pipeline over sessions: sift, memory, kernel, detection, risk, monitor, decision, without a loop.
 
+A session's rows are taken in the order of seq; rows of equal seq are observations each, in the order of text, entropy,
+surprise, has_bias and the other columns.  Null signals of the sifter are not expected.
+
 Input rows: session_id, seq, text, objective, entropy, surprise, has_bias, probability, oov_byte; optionally
-body_entropy and pressure (both null: no pressure path) and control (reset_detectors or reset_full, which takes effect
-before its own row).  All windows share the session's partitioning, so there is one shuffle besides the fold's.
+body_entropy and pressure (both null: no pressure path) and control (reset_detectors or reset_full, which take effect
+before their own row, or end, after which the session begins anew).  All windows share the session's partitioning, so there is one shuffle besides the fold's and the join of its results.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
 from ..functions import text as T
+from ..functions.lexicon import ERROR_MESSAGES
 from ..operators import pid, windows
 
 SIFT, MEMORY, KERNEL, DETECTION, MONITOR, BODY = 0x01, 0x02, 0x04, 0x08, 0x10, 0x20
 
 
+TOLERANCE = 0.15
+
+
 @dataclass(frozen=True)
 class Config:
     policy: D.Policy = field(default_factory=D.Policy)
@@ -39,30 +46,43 @@ class Config:
         if not (0 <= self.drift_threshold <= 1 and 0 <= self.min_confidence <= 1):
             raise ValueError("shares must lie in [0, 1]")
 
+    def warnings(self) -> list[str]:
+        """Thresholds of the policy that lie more than ``TOLERANCE`` off those of the risk; both may be wanted so."""
+        out, g = [], self.gains
+        for name, other, want in (("halt_entropy", "halt_gain", g.halt_gain), ("escalate_entropy", "0.8 halt_gain", 0.8 * g.halt_gain), ("warn_entropy", "warn_gain", g.warn_gain)):
+            own = getattr(self.policy, name) / T.U16
+            off = abs(own / want - 1) if min(own, want) > 1.2e-7 else abs(own - want)
+            if off > TOLERANCE:
+                out.append(f"{name} is a risk of {own:.4f}, {other} is {want:.4f}: {100 * off:.1f} % apart")
+        return out
+
 
 def pipeline(df: DataFrame, c: Config = Config()) -> DataFrame:
     """session_id, seq, decision, stages, flags, oov_byte, entropy, surprise, monitor, body_pressure, step_count, risk."""
     for name, kind in (("body_entropy", "int"), ("pressure", "int"), ("control", "string")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    w = Window.partitionBy("session_id").orderBy("seq")
-    df = df.withColumn("full_epoch", F.sum(F.coalesce((F.col("control") == "reset_full").cast("int"), F.lit(0))).over(w))
-    df = df.withColumn("det_epoch", F.sum(F.coalesce(F.col("control").isin("reset_full", "reset_detectors").cast("int"), F.lit(0))).over(w))
+    total_order = ["seq", "text", "entropy", "surprise", "has_bias", "objective", "body_entropy", "pressure", "control", "oov_byte"]
+    df = df.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*total_order)))
+    w = Window.partitionBy("session_id").orderBy("place")
+    resets = lambda *names: F.sum(F.coalesce(F.col("control").isin(*names).cast("int"), F.lit(0))).over(w)
+    ended = F.coalesce(F.sum(F.coalesce((F.col("control") == "end").cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumns({"full_epoch": resets("reset_full") + ended, "det_epoch": resets("reset_full", "reset_detectors") + ended})
     df = df.withColumn("pressed", F.col("pressure").isNotNull())
     df = df.withColumn("gated", F.coalesce(D.pressure_ordinal(F.col("pressure")) >= 2, F.lit(False)) & F.col("pressed"))
     df = df.withColumn("e_body", F.when(F.col("pressed"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("body_entropy") / 1000))).otherwise(0.0))
     df = df.withColumn("error", D.admission_code(F.col("entropy"), F.col("surprise"), F.col("has_bias"), c.surprise_threshold))
     df = df.withColumn("admitted", F.col("error").isNull() & ~F.col("gated"))
-    df = windows.kernel_depth(df, "admitted", ["session_id", "full_epoch"], ["seq"], c.max_steps)
+    df = windows.kernel_depth(df, "admitted", ["session_id", "full_epoch"], ["place"], c.max_steps)
     df = df.withColumn("class", F.when(~F.col("admitted"), 0).when(F.col("depth_exceeded"), 1).otherwise(2))
 
-    df = windows.ring_stats(df, "entropy", ["session_id", "full_epoch", "admitted"], ["seq"])
+    df = windows.ring_stats(df, "entropy", ["session_id", "full_epoch", "admitted"], ["place"])
     detector = ["session_id", "full_epoch", "det_epoch", "class"]
     df = df.withColumn("confidence", F.col("entropy") / T.U16)
-    df = windows.repetition(df, "text", detector, ["seq"], c.max_repetitions)
-    df = windows.confidence(df, "confidence", detector, ["seq"], c.min_confidence, c.decay_threshold)
-    df = windows.cusum(df, "entropy", detector, ["seq"], 0, 50, 200)
-    df = windows.monitor(df, "entropy", detector, ["seq"], c.monitor_k)
+    df = windows.repetition(df, "text", detector, ["place"], c.max_repetitions)
+    df = windows.confidence(df, "confidence", detector, ["place"], c.min_confidence, c.decay_threshold)
+    df = windows.cusum(df, "entropy", detector, ["place"], 0, 50, 200)
+    df = windows.monitor(df, "entropy", detector, ["place"], c.monitor_k)
     drift = T.drift_score(F.col("text"), F.col("objective"))
     tests = ((pid.STUCK, F.col("is_stuck")), (pid.DRIFTING, F.coalesce(drift > c.drift_threshold, F.lit(False))), (pid.LOW_CONFIDENCE, F.col("is_low")), (pid.DECAYING, F.col("is_decaying")), (pid.ANOMALY, F.col("anomaly")), (pid.ADVERSARIAL, T.is_adversarial(F.col("text"), list(c.patterns))))
     df = df.withColumn("flags", sum((F.when(t, bit).otherwise(0) for bit, t in tests), F.lit(0)))
@@ -72,9 +92,9 @@ def pipeline(df: DataFrame, c: Config = Config()) -> DataFrame:
     df = df.withColumn("stopped", (F.col("class") == 2) & F.lit(c.use_gate) & (F.col("gate.severity") == 3))
 
     unit = F.col("entropy") / T.U16
-    signals = df.where((F.col("class") == 2) & ~F.col("stopped")).select("session_id", "full_epoch", "seq", unit.alias("e_sift"), "e_body", F.least(F.lit(1.0), F.abs(F.col("entropy") - F.col("mean")) / T.U16).alias("e_mem"), unit.alias("e_kernel"), unit.alias("prob"), "trend", F.floor(F.col("e_body") * 100).alias("pressure"), "flags")
-    risks = pid.fold(signals, ["session_id", "full_epoch"], gains=c.gains).select("session_id", "seq", F.col("risk").alias("pure_risk"))
-    df = df.join(risks, ["session_id", "seq"], "left")
+    signals = df.where((F.col("class") == 2) & ~F.col("stopped")).select("session_id", "full_epoch", "place", unit.alias("e_sift"), "e_body", F.least(F.lit(1.0), F.abs(F.col("entropy") - F.col("mean")) / T.U16).alias("e_mem"), unit.alias("e_kernel"), unit.alias("prob"), "trend", F.floor(F.col("e_body") * 100).alias("pressure"), "flags")
+    risks = pid.fold(signals, ["session_id", "full_epoch"], "place", c.gains, c.max_steps).select("session_id", "place", F.col("risk").alias("pure_risk"))
+    df = df.join(risks, ["session_id", "place"], "left")
     risk = D.overridden(F.col("pure_risk"), F.lit(False), F.col("e_body") > 0.9, F.col("state") != "Stable", c.gains.halt_gain)
     df = df.withColumn("risk", F.when((F.col("class") == 2) & ~F.col("stopped"), risk))
     level = F.col("pressure")
@@ -90,5 +110,41 @@ def pipeline(df: DataFrame, c: Config = Config()) -> DataFrame:
     )
 
 
-def is_safe(decision):
+def is_safe(decision: Column) -> Column:
     return decision["severity"] == 0
+
+
+def passed(decided: DataFrame) -> DataFrame:
+    """The gate before a consumer: rows that may proceed."""
+    return decided.where(D.can_proceed(F.col("decision")))
+
+
+class HaltedError(Exception):
+    """A row was halted; ``code`` and ``reason`` say why."""
+
+    def __init__(self, code: int, reason: str):
+        super().__init__(f"{reason} ({code}): {ERROR_MESSAGES.get(code, 'exit')}")
+        self.code, self.reason = code, reason
+
+
+class BiasError(HaltedError):
+    pass
+
+
+class InstabilityError(HaltedError):
+    pass
+
+
+class ResourceError(HaltedError):
+    pass
+
+
+ERRORS = {-3: BiasError, -2: InstabilityError, -5: ResourceError, -7: ResourceError}
+
+
+def strict(decided: DataFrame) -> DataFrame:
+    """The rows as they are, if none is halted or ends the process; else the first such row's error is raised."""
+    worst = decided.where(F.col("decision.severity") >= 3).orderBy("session_id", "seq").select("decision.code", "decision.reason").first()
+    if worst:
+        raise ERRORS.get(worst.code, HaltedError)(worst.code, worst.reason)
+    return decided

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +39,35 @@ def checked_model(vocabulary: DataFrame, intercept: float, threshold: float) ->
     return Model(rounded, intercept, threshold)
 
 
-def read_binary_model(spark: SparkSession, path: str) -> tuple[DataFrame, float, float]:
-    """hash, idf and coef, threshold and intercept of a binary model: a count, two floats, then entries sorted by hash."""
-    data = bytes(spark.read.format("binaryFile").load(path).first().content)
-    n, threshold, intercept = struct.unpack_from("<Iff", data)
-    if len(data) != 12 + 16 * n:
-        raise ValueError("the model's length doesn't fit its count")
-    rows = [struct.unpack_from("<qff", data, 12 + 16 * i) for i in range(n)]
-    hashes = [h & 0xFFFFFFFFFFFFFFFF for h, _, _ in rows]
-    if any(a >= b for a, b in zip(hashes, hashes[1:], strict=False)) or any(x != x or abs(x) == float("inf") for r in rows for x in (*r[1:], threshold, intercept)):
-        raise ValueError("entries must be sorted, distinct and finite")
-    return spark.createDataFrame(rows, "hash long, idf float, coef float"), threshold, intercept
+ENTRY = np.dtype([("hash", "<u8"), ("idf", "<f4"), ("coef", "<f4")])
+
+
+def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for blob in b.column("content"):
+            e = np.frombuffer(blob.as_buffer(), ENTRY, offset=12)
+            yield pa.RecordBatch.from_arrays([pa.array(e["hash"].astype(np.int64)), pa.array(np.round(e["idf"].astype(float), 5)), pa.array(np.round(e["coef"].astype(float), 5))], ["hash", "idf", "coef"])
+
+
+def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a file: whether its length fits its count, and entries are sorted, distinct and finite."""
+    for b in batches:
+        out = []
+        for blob in b.column("content"):
+            data = blob.as_buffer()
+            ok = len(data) >= 12 and len(data) == 12 + ENTRY.itemsize * int(np.frombuffer(data, "<u4", 1)[0])
+            if ok:
+                e = np.frombuffer(data, ENTRY, offset=12)
+                ok = bool(np.isfinite(np.frombuffer(data, "<f4", 2, 4)).all() and (e["hash"][1:] > e["hash"][:-1]).all() and np.isfinite(e["idf"]).all() and np.isfinite(e["coef"]).all())
+            out.append(ok)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.bool_())], ["ok"])
+
+
+def read_binary_model(spark: SparkSession, path: str) -> Model:
+    """A model of a count, threshold and intercept, then entries (hash, idf, coef) sorted by hash.  Only the first 12 bytes
+    come to the driver; ``classify`` looks its texts' items up by their hashes."""
+    file = spark.read.format("binaryFile").load(path).select("content")
+    if not all(r.ok for r in file.mapInArrow(sound, "ok boolean").collect()):
+        raise ValueError("a model's length must fit its count, and its entries must be sorted, distinct and finite")
+    _, threshold, intercept = struct.unpack("<Iff", bytes(file.select(F.substring("content", 1, 12)).first()[0]))
+    return Model(file.mapInArrow(entries, "hash long, idf double, coef double"), intercept, threshold)
