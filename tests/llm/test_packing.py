@@ -1,5 +1,6 @@
 """Packing: ids against the full tokenizer, every id in one piece, gapless sequences, little padding."""
 
+import json
 import random
 import zlib
 
@@ -14,6 +15,7 @@ from wardstream.llm import packing
 from wardstream.llm.common import table
 
 FULL = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+FAST = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(text):
@@ -55,7 +57,7 @@ def frame(spark, rows):
 
 
 def test_edge_rows(spark):
-    rows = [(1, None), (2, ""), (3, "a"), (4, "word " * 9000), (5, "<|endoftexts|>"), (6, "é\n\n  x"), (7, "dup of it"), (7, "dup of it"), (None, "no id")]
+    rows = [(1, None), (2, ""), (3, "a"), (4, "word " * 9000), (5, "<|endoftext|>"), (8, "a <|endoftext|><|endoftext|> b<|endoftext|>c"), (9, "<|endoftexts|>"), (10, "x<|endoftext|>" * 3000), (6, "é\n\n  x"), (7, "dup of it"), (7, "dup of it"), (None, "no id")]
     check(rows, packing.pack(spark, frame(spark, rows)).collect())
     assert packing.pack(spark, frame(spark, [])).collect() == []
 
@@ -72,10 +74,21 @@ def test_table(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=200) | st.text("ab 1\n'.é​İſ", max_size=200))
+@given(st.text(max_size=200) | st.text("ab 1\n'.é​İſ", max_size=200) | st.lists(st.sampled_from(["<|endoftext|>", "<|endoftexts|>", "<|endof", "text|>", " ", "a", "\n", "é", "<|"]), max_size=20).map("".join))
 def test_ids(text):
-    t = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
-    assert t(text).tolist() == ids_of(text)
+    assert FAST(text).tolist() == ids_of(text)
+
+
+def test_ids_of_special_strings(tmp_path):
+    assert FAST("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995, 1]
+    # What the faster library can't do as a description says goes to the description.
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        other = json.load(f)
+    other["added_tokens"] = [other["added_tokens"][0] | {"lstrip": True}]
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    t, full = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    for text in ("a <|endoftext|> b", "plain"):
+        assert t(text).tolist() == [*full.encode(text, add_special_tokens=False).ids, 1]
 
 
 @given(st.binary(max_size=300), st.binary(min_size=1, max_size=300))

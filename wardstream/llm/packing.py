@@ -11,13 +11,16 @@
 The checksum of a piece that a cut makes follows from checksums at every ``CUT`` tokens, so no ids are kept.
 
 Null and empty texts are a document of the closing id alone.  Repeated rows and rows of equal or null doc_id are documents
-each.  A sequence's length is padded to ``LENGTH`` unless it is a power of two.  Other columns are not read.  An empty
+each.  A special token's string in a text is that token.  Very long texts are tokenized whole, in memory of about 30 bytes a
+character.  Ties between patterns go to the first found; they change which tail stands where, not the padding.
+A sequence's length is padded to ``LENGTH`` unless it is a power of two.  Other columns are not read.  An empty
 table gives no sequences.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +39,8 @@ UNITS = LENGTH // UNIT
 END_ID = 1
 #: What a cut costs, in sequences; and the gap to the bound, as a share, at which patterns are good enough.
 CUT_PRICE, GAP = 0.01, 2e-4
+#: Columns generated at most; a plan that stops there is feasible all the same, only with more padding (a few hundred
+#: suffice for 256 classes).
 MOST_COLUMNS = 6000
 
 DOCS = pa.schema([("part", pa.int32()), ("idx", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("chunks", pa.int64()), ("class", pa.int32()), ("checks", pa.binary())])
@@ -43,7 +48,8 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE by its ranks, and by its full description where the ranks' library gives up on a text."""
+    """Ids of a byte-level BPE as its full description gives them, special tokens' strings in a text included: by its
+    ranks in a faster library, and by the description itself where that library gives up on a text."""
 
     def __init__(self, ranks: str, full: str):
         import public_tokenizers
@@ -51,23 +57,30 @@ class Tokenizer:
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        with open(full) as f:
+            special = json.load(f)["added_tokens"]
+        # What the faster library can't do as the description says goes to the description.
+        plain = len(special) < 2 and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in special)
+        self.not_here = () if plain else tuple(t["content"] for t in special)
+        self.special = {t["content"]: t["id"] for t in special} if plain else {}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=self.special)
         self.full = full
 
     @lru_cache(1)  # noqa: B019
     def slow(self):
         from tokenizers import Tokenizer as Full
 
-        t = Full.from_file(self.full)
-        t.encode_special_tokens = True
-        return t
+        return Full.from_file(self.full)
 
     def __call__(self, text: str) -> np.ndarray:
-        try:
-            ids = self.encoding.encode_ordinary(text)
-        except BaseException as e:  # its pattern engine gives up on some very long runs, by an error outside Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
+        ids = None
+        if not any(t in text for t in self.not_here):
+            try:
+                ids = self.encoding.encode(text, allowed_special="all") if any(t in text for t in self.special) else self.encoding.encode_ordinary(text)
+            except BaseException as e:  # its pattern engine gives up on some very long runs, by an error outside Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        if ids is None:
             ids = self.slow().encode(text, add_special_tokens=False).ids
         out = np.empty(len(ids) + 1, "<u4")
         out[:-1] = ids
