@@ -139,14 +139,6 @@ def test_license_rows(spark):
     assert licenses.license_scan(spark, frame(spark, [])).collect() == []
 
 
-def test_license_lines(spark):
-    at = "/root/testdata/sf0.01"
-    lines = re.compile("(?i)licensed? under|released under")
-    texts = {r.doc_id: r.text for r in table(spark, at, "documents").collect()}
-    for r in licenses.op4_license_scan(spark, at).collect():
-        assert (r.n_licenses > 0) == bool(lines.search(texts[r.doc_id]))
-
-
 def test_all_kinds_of_license_lines(spark):
     at = "/root/testdata/sf0.01"
     lines = re.compile("(?i)licensed? under|released under|all[^a-z0-9\x80-\U0010ffff]+rights[^a-z0-9\x80-\U0010ffff]+reserved")
@@ -159,12 +151,12 @@ def test_all_kinds_of_license_lines(spark):
 
 
 def plain_count(model, word):
-    best = [(0.0, 0)]
+    best, longest = [(0.0, 0)], max(map(len, model.pieces))
     text = "▁" + word
     for end in range(1, len(text) + 1):
         n = len(text[end - 1].encode())
         options = [(best[-1][0] + n * model.byte, best[-1][1] + n)]
-        options += [(best[s][0] + model.pieces[text[s:end]], best[s][1] + 1) for s in range(end) if text[s:end] in model.pieces]
+        options += [(best[s][0] + model.pieces[text[s:end]], best[s][1] + 1) for s in range(max(0, end - longest), end) if text[s:end] in model.pieces]
         best.append(max(options, key=lambda x: (x[0], -x[1])))
     return best[-1][1]
 
@@ -182,15 +174,28 @@ def test_counts(words):
 
 
 def test_prefixes_are_shared():
+    """Within a batch and between batches."""
     counter = token_counts.Counter(MODEL)
     counter([b"the then them thenx"])
-    assert counter.nodes == len("▁the") + len("n") + len("m") + len("x")
+    assert counter.nodes == counter.kept == len("▁the") + len("n") + len("m") + len("x")
+    counter([b"thenxx the"])
+    assert counter.nodes == counter.kept == len("▁thenxx") + len("m")
 
 
 def test_forgetting(monkeypatch):
-    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
+    monkeypatch.setattr(token_counts, "MOST_NODES", 2)
     counter = token_counts.Counter(MODEL)
-    assert counter([b"the and thing"]) == counter([b"the and thing"])
+    assert counter([b"the and thing"] * 2) == counter([b"the and thing"] * 2) and counter.kept < 20
+
+
+def test_long_words(monkeypatch):
+    """Prefixes beyond the depth are computed, not kept."""
+    word = "theandinga" * 30
+    want = plain_count(MODEL, word)
+    for depth in (0, 1, 7, 64):
+        monkeypatch.setattr(token_counts, "DEPTH", depth)
+        counter = token_counts.Counter(MODEL)
+        assert counter([word.encode()]) == ([1], [want]) and counter.kept == depth
 
 
 def test_token_rows(spark):

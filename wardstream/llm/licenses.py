@@ -7,7 +7,9 @@ tokens of that offset gives the matched share of the template and the matched sp
 
 The result has a row for every document: the licenses found (least share ``COVERAGE``; where spans overlap, the one
 with more matched tokens), as name:start:end:share with code points, end exclusive.  Null and empty texts hold none.
-Repeated rows and null or equal ids are rows each; other columns are not read.
+Repeated rows and null or equal ids are rows each; other columns are not read; an empty table gives an empty result.  Very
+long texts are scanned whole, in memory linear in them.  Of overlapping licenses with as many matched tokens
+the one of the higher share stays, then the earlier one.
 """
 
 from __future__ import annotations

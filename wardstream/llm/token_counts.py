@@ -1,14 +1,17 @@
 """Token counts by a unigram model, with the dynamic program shared along a trie.
 
 A pre-token is a word (``[^\\x20\\x09-\\x0D]+``) after a word mark.  Its best segmentation has the highest sum of the
-pieces' log-probabilities (of equal ones the fewest pieces); characters that no piece holds are spelled in bytes.  The
-best score of a prefix depends on the prefix only, so the distinct pre-tokens of a task are walked in trie order and a
-prefix that several share is computed once; what a pre-token ends on is its count.  A document's count is the sum
-over its words.
+pieces' log-probabilities (of equal ones the fewest pieces); characters that no piece holds are spelled in bytes.
+
+Distinct pre-tokens are inserted in a trie that a task keeps for all its batches.  A node stands for a prefix and holds its
+forward score (best sum and number of pieces) and the pieces that are open there: what began at an earlier prefix and may
+still go on, as a place in the trie of pieces.  A child follows from its parent alone, so a prefix that several
+pre-tokens share is computed once; a pre-token's last node holds its count.  A document's count is the sum over its words.
 
 The pieces come from a public vocabulary that lists them by rank; a piece's probability is that of its rank under
 Zipf's law.  Null and empty texts count 0.  Repeated rows and null or equal ids are rows each; other columns are not
-read.  Long words cost time linear in their length.
+read; an empty table gives an empty result.  Time is linear in a text; beyond ``DEPTH`` characters a word's prefixes are
+computed but not kept, and a trie of ``MOST_NODES`` nodes is begun anew, so memory is bounded by these and by the text.
 """
 
 from __future__ import annotations
@@ -23,15 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import batch, prepare, public_vocabulary, table, texts
 
 MARK = "▁"
-#: Pre-tokens whose counts a task remembers; beyond, it forgets them and computes anew.
-REMEMBERED = 1 << 20
+#: Characters of a pre-token whose prefixes are kept as nodes, and nodes that a task keeps.
+DEPTH, MOST_NODES = 64, 1 << 18
 #: Log-probability of a byte below that of the rarest piece.
 BYTE_PENALTY = 10.0
 
 
 class Model(NamedTuple):
     pieces: dict[str, float]
-    longest: int
     byte: float
 
 
@@ -39,7 +41,7 @@ def zipf(ranked: list[str]) -> Model:
     """Pieces from the most to the least common."""
     norm = log(sum(1 / (i + 1) for i in range(len(ranked))))
     pieces = {p: -log(i + 1) - norm for i, p in enumerate(ranked)}
-    return Model(pieces, max(map(len, pieces), default=1), min(pieces.values(), default=0.0) - BYTE_PENALTY)
+    return Model(pieces, min(pieces.values(), default=0.0) - BYTE_PENALTY)
 
 
 def public_model(path: str | None = None) -> Model:
@@ -49,46 +51,83 @@ def public_model(path: str | None = None) -> Model:
     return zipf([sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))])
 
 
+class Pieces:
+    """The pieces as a trie: children by character and, where a piece ends, its log-probability."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.children: list[dict[str, int]] = [{}]
+        self.weight: list[float | None] = [None]
+        for piece, p in pieces.items():
+            at = 0
+            for c in piece:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.weight.append(None)
+                at = self.children[at][c]
+            if piece:
+                self.weight[at] = p
+
+
+class Node:
+    __slots__ = ("children", "count", "open", "score")
+
+    def __init__(self, score: float, count: int, opened: list):
+        self.score, self.count, self.open, self.children = score, count, opened, {}
+
+
 class Counter:
-    """Counts of pieces by pre-token, kept between batches."""
+    """Counts of pieces by pre-token, over a trie that is kept between batches."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.nodes = model, {}, 0
-
-    def learn(self, words: set[bytes]) -> None:
-        """The trie of the words, depth first: in sorted order each word keeps the part of the path that it shares with
-        the one before; a node's value is the best score of its prefix and how many pieces that takes."""
-        pieces, longest, byte = self.model
-        path, chars = [(0.0, 0)], ""
-        for text, word in sorted((MARK + w.decode("utf-8", "replace"), w) for w in words):
-            shared, most = 0, min(len(chars), len(text))
-            while shared < most and chars[shared] == text[shared]:
-                shared += 1
-            del path[shared + 1 :]
-            chars = text
-            for end in range(shared + 1, len(text) + 1):
-                score, n = path[end - 1]
-                spelled = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                best, count = score + spelled * byte, n + spelled
-                for start in range(max(0, end - longest), end):
-                    p = pieces.get(text[start:end])
-                    if p is not None:
-                        score, n = path[start]
-                        if (score := score + p) > best or (score == best and n + 1 < count):
-                            best, count = score, n + 1
-                path.append((best, count))
-            self.nodes += len(text) - shared
-            self.known[word] = path[len(text)][1]
+        self.byte, self.pieces, self.nodes = model.byte, Pieces(model.pieces), 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.root, self.kept, self.known = Node(0.0, 0, []), 0, {}
+
+    def after(self, node: Node, c: str) -> Node:
+        """The node of the prefix with one more character."""
+        children, weight = self.pieces.children, self.pieces.weight
+        spelled = len(c.encode("utf-8", "surrogatepass"))
+        best, count, opened = node.score + spelled * self.byte, node.count + spelled, []
+        for score, n, at in (*node.open, (node.score, node.count, 0)):
+            to = children[at].get(c)
+            if to is None:
+                continue
+            if children[to]:
+                opened.append((score, n, to))
+            if (p := weight[to]) is not None and ((total := score + p) > best or (total == best and n + 1 < count)):
+                best, count = total, n + 1
+        self.nodes += 1
+        return Node(best, count, opened)
+
+    def learn(self, word: bytes) -> int:
+        node, text = self.root, MARK + word.decode("utf-8", "replace")
+        for c in text[:DEPTH]:
+            child = node.children.get(c)
+            if child is None:
+                child = node.children[c] = self.after(node, c)
+                self.kept += 1
+            node = child
+        for c in text[DEPTH:]:
+            node = self.after(node, c)
+        self.known[word] = node.count
+        return node.count
 
     def __call__(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [t.split() for t in texts]  # of bytes: at \x20 and \x09 to \x0D only
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            self.learn(new)
-        return [len(ws) for ws in split], [sum(map(known.__getitem__, ws)) for ws in split]
+        known, n_words, n_tokens = self.known, [], []
+        for t in texts:
+            if self.kept > MOST_NODES:
+                self.forget()
+                known = self.known
+            own = t.split()  # of bytes: at \x20 and \x09 to \x0D only
+            for w in set(own):
+                if w not in known:
+                    self.learn(w)
+            n_words.append(len(own))
+            n_tokens.append(sum(map(known.__getitem__, own)))
+        return n_words, n_tokens
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
