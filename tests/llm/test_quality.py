@@ -64,6 +64,14 @@ def test_policies(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, t in rows if not plain(t)[-1]}
 
 
+def test_kept_documents_with_any_columns(spark):
+    rows = [(1, "w " * 5, 1, 2), (2, " ".join(f"word{i}" for i in range(40)), 3, 4), (None, None, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, `a``b.c` long").withColumnRenamed("n_words", "c0")
+    out = quality.kept_documents(spark, df)
+    assert out.dtypes == df.dtypes and [r.doc_id for r in out.collect()] == [2]
+    assert quality.kept_documents(spark, df.limit(0)).collect() == []
+
+
 def test_labels(spark):
     """Hardly a clean document is rejected, and nearly all bad ones are."""
     at = "/root/testdata/sf0.01"
