@@ -1,16 +1,17 @@
 """Sharding by sampled splitters.
 
 Rows are ordered by (hash of the text, doc_id), so equal texts stand together.  Size-weighted samples of that key give
-splitters at even shares of the bytes; rows are range-partitioned by them.  A text that is drawn for more than one
+splitters at quantiles of the bytes; rows are range-partitioned by them.  A text that is drawn for more than one
 splitter has a range of its own.  A range that came out too full is subdivided: by its keys, or, where it has a single
-one (a group of equal texts may be larger than a shard), by doc_id.  Exact sums over the ranges then give every row its
-place in the whole order, and a shard is an equal share of all bytes: law ``bytes``.  No two shards differ by more
-than two of the largest sizes.
+one (a group of equal texts may be larger than a shard), by doc_id.  A shard is the run of ranges that lie in its share
+of the bytes, by the ranges' exact sums; a range that two shards would share is overfull for the first and subdivided
+at the row where its share ends.  Law ``bytes``: no two shards differ by more than two of the largest sizes.  A group of
+equal texts lies in one shard unless such a cut falls into it; then it lies in consecutive ones.
 
 Size is the UTF-8 bytes of the text (null: none) plus ``OVERHEAD``.  Null texts are a group of their own and have
 the checksum of the empty text.  A null doc_id comes first among equal texts; repeated rows take places next to each
 other.  Other columns are not read.  An empty table gives an empty result; with fewer rows than shards some shards stay
-empty.
+empty.  Very long texts are one row of their size; a shard that holds one may be larger by it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -90,9 +91,17 @@ def shards(spark: SparkSession, documents: DataFrame, n_shards: int) -> DataFram
     piece = F.when(F.col("pieces") <= 1, 0).when(F.col("low") < F.col("high"), place("key", "low", "high")).otherwise(F.coalesce(place("doc_id", "first", "last"), F.lit(0)))
     rows = rows.select("doc_id", "size", "text_crc32", "key", F.struct("part", piece.cast("long").alias("piece")).alias("part"), F.lit(1).cast("long").alias("one"), F.lit(0).alias("whole"))
     placed = running(rows, ["whole"], "part", [F.col("key"), F.col("doc_id"), F.col("size")], {"bytes_before": "size", "rows_before": "one"})
-    # A row belongs to the shard in whose share of the bytes its middle lies.
-    shard = F.least(F.lit(n_shards - 1), F.expr(f"(2 * bytes_before + size) * {n_shards}L div {max(1, 2 * total)}L")).cast("int")
-    placed = placed.withColumn("shard", shard)
+    # What lies before a range and in it, in exact sums; a row's middle decides only where a range meets two shards.
+    pieces = rows.groupBy("part").agg(F.sum("size").alias("piece_bytes"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece of a range
+    pieces = pieces.select(F.col("part").alias("piece"), F.coalesce(F.sum("piece_bytes").over(before), F.lit(0)).alias("piece_before"), "piece_bytes")
+    placed = placed.join(F.broadcast(pieces), F.col("part") == F.col("piece"))
+
+    def shard_at(doubled: str):
+        return F.least(F.lit(n_shards - 1), F.expr(f"({doubled}) * {n_shards}L div {max(1, 2 * total)}L")).cast("int")
+
+    low, high = shard_at("2 * piece_before"), shard_at("2 * (piece_before + piece_bytes) - 1")
+    placed = placed.withColumn("shard", F.when(low == high, low).otherwise(shard_at("2 * bytes_before + size")))
     first = placed.groupBy("shard").agg(F.min("rows_before").alias("first_row")).withColumnRenamed("shard", "shard__s")  # n_shards rows
     out = placed.join(F.broadcast(first), F.col("shard") == F.col("shard__s"))
     return out.select("doc_id", "size", "text_crc32", "key", "shard", (F.col("rows_before") - F.col("first_row")).alias("slot"))
