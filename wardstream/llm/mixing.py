@@ -14,7 +14,8 @@ all sources together have due by then are its position.  Documents are range-sor
 Size is the number of words of the text (null: 0).  The document at which the demand ends is cut there, so a source's
 taken words are its target, rounded down.  A null doc_id has a place by the hash of the empty string; equal ids are
 ordered by size and repeated rows take their turns one after another.  Sources of no words get nothing.  Other columns
-don't matter to the mix.  An empty table gives an empty result.
+don't matter to the mix.  A very long text is a document of its size, cut at most once.  The table of sources, a row for
+each, is put in order by one task.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WEIGHTS = 3
 MOST = 3
 #: Quarters by which a source's weight is tilted, by its weight: early, level, late.
 TILT_QUARTERS = {1: 1, 2: 0, 3: -1}
-#: A source's rows are cut into 16 ** this many ranges of their order.
+#: A source's rows are cut into 16 ** this many ranges of their order, besides those without an id.
 HEX_DIGITS = 3
 
 
@@ -59,7 +60,10 @@ def mix(documents: DataFrame, scratch: Scratch | None = None, carry: list[str] |
     if scratch:
         own = scratch.keep(own, "sizes")
     per = targets(own)
-    own = own.withColumn("range", F.substring("place", 1, HEX_DIGITS))
+    # Rows without an id have one place, and may be many: theirs is cut by size, which is their order.
+    nowhere = F.md5(F.lit("").cast("binary"))
+    side = F.when(F.col("place") < nowhere, 0).when(F.col("place") == nowhere, 1).otherwise(2)
+    own = own.withColumn("range", F.struct(F.substring("place", 1, HEX_DIGITS).alias("a"), side.alias("b"), F.when(side == 1, F.col("size")).otherwise(0).alias("c")))
     own = running(own, ["source"], "range", [F.col("place"), F.col("size")], {"before": "size"})
     quarter = F.create_map(*(F.lit(x) for k, v in TILT_QUARTERS.items() for x in (k, v)))
     per = per.withColumn("tilt", F.element_at(quarter, F.col("weight").cast("int")).cast("long"))
