@@ -139,6 +139,15 @@ def test_license_rows(spark):
     assert licenses.license_scan(spark, frame(spark, [])).collect() == []
 
 
+def test_copies_next_to_each_other(spark):
+    line = "Released under the MIT License."
+    rows = [(1, f"{line}\n{line}"), (2, "\n".join([line] * 5)), (3, f"{line} All rights reserved. All rights reserved. {line}")]
+    out = {r.doc_id: r.licenses.split(",") for r in licenses.license_scan(spark, frame(spark, rows)).collect()}
+    assert [len(out[i]) for i in (1, 2, 3)] == [2, 5, 4]
+    for i, t in rows:
+        assert [t[int(a) : int(b)] for _, a, b, _ in (x.split(":") for x in out[i])] == re.findall(r"Released under the MIT License|All rights reserved", t)
+
+
 def test_all_kinds_of_license_lines(spark):
     at = "/root/testdata/sf0.01"
     lines = re.compile("(?i)licensed? under|released under|all[^a-z0-9\x80-\U0010ffff]+rights[^a-z0-9\x80-\U0010ffff]+reserved")

@@ -6,7 +6,8 @@ are looked up in it; hits of a template at about the same offset make a candidat
 tokens of that offset gives the matched share of the template and the matched span of the text.
 
 The result has a row for every document: the licenses found (least share ``COVERAGE``; where spans overlap, the one
-with more matched tokens), as name:start:end:share with code points, end exclusive.  Null and empty texts hold none.
+with more matched tokens), as name:start:end:share with code points, end exclusive.  Copies next to each other are one each;
+a notice cut by more than ``BAND`` other tokens counts by its parts.  Null and empty texts hold none.
 Repeated rows and null or equal ids are rows each; other columns are not read; an empty table gives an empty result.  Very
 long texts are scanned whole, in memory linear in them.  Of overlapping licenses with as many matched tokens
 the one of the higher share stays, then the earlier one.
@@ -123,6 +124,24 @@ def aligned(template: np.ndarray, text: np.ndarray, offset: int) -> tuple[int, i
     return best[1:]
 
 
+def copies(template: np.ndarray, text: np.ndarray, offsets: list[int]) -> list[tuple[int, int, int]]:
+    """Matched tokens, first and last token of each copy of the template near these offsets, none of them shared: what is
+    found is cut out, and what lies before and after it is aligned again."""
+    out, todo = [], [(0, len(text), offsets)]
+    while todo:
+        lo, hi, own = todo.pop()
+        if not own:
+            continue
+        middle = own[len(own) // 2]
+        a = max(lo, middle - 2 * BAND)
+        n, first, last = aligned(template, text[a : max(a, min(hi, middle + len(template) + 2 * BAND))], middle - a)
+        if first >= 0 and n >= COVERAGE * len(template):
+            out.append((n, a + first, a + last))
+            todo.append((lo, a + first, [o for o in own if o + len(template) // 2 < a + first]))
+            todo.append((a + last + 1, hi, [o for o in own if o + len(template) // 2 > a + last]))
+    return out
+
+
 def scan(ix: Index, h: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(first token, last token, template, share) of the licenses in a text's tokens, by place."""
     g = windows(h, GRAM, 0)
@@ -141,11 +160,7 @@ def scan(ix: Index, h: np.ndarray) -> list[tuple[int, int, int, float]]:
                 group.append(o)
                 continue
             own = ix.tokens[t]
-            middle = group[len(group) // 2]
-            low = max(0, middle - 2 * BAND)
-            n, first, last = aligned(own, h[low : middle + len(own) + 2 * BAND], middle - low)
-            if first >= 0 and n >= COVERAGE * len(own):
-                found.append((n, low + first, low + last, t, n / len(own)))
+            found += [(n, first, last, t, n / len(own)) for n, first, last in copies(own, h, group)]
             group = [o] if o is not None else []
     found.sort(key=lambda x: (-x[0], -x[4], x[1], x[3]))
     chosen: list[tuple[int, int, int, float]] = []
