@@ -173,6 +173,23 @@ def test_reconciliation():
     assert pii.reconciled(base, found) == [(10, 0, 20), (15, 1, 30), (31, 2, 45), (45, 3, 50)]
 
 
+def test_reconciliation_by_brute_force():
+    """Candidates against all spans chosen before, however long and many these are."""
+    assert pii.reconciled([(0, 0, 100), *((10 * i, 1, 10 * i + 5) for i in range(1, 6))], [(-9.0, 60, 3, 70)]) == sorted([(0, 0, 100), *((10 * i, 1, 10 * i + 5) for i in range(1, 6))])
+    rnd = random.Random(8)
+    for _ in range(500):
+        def span():
+            s = rnd.randrange(60)
+            return s, rnd.randrange(4), s + rnd.randint(1, rnd.choice([3, 30]))
+
+        base, found = sorted({span() for _ in range(rnd.randint(0, 8))}), sorted((-rnd.random(), *span()) for _ in range(rnd.randint(0, 12)))
+        want = list(base)
+        for _, s, k, e in found:
+            if not any(a < e and s < b for a, _, b in want):
+                want.append((s, k, e))
+        assert pii.reconciled(base, found) == sorted(want)
+
+
 def test_masked(spark):
     assert pii.masked("call a@b.c or 1.2.3.4 now", [(5, 0, 10), (14, 1, 21)]) == "call [EMAIL] or [IP] now"
     assert pii.masked("abcdefgh", [(1, 0, 4), (2, 1, 6)]) == "a[EMAIL]gh"
@@ -186,3 +203,10 @@ def test_table(spark):
     rows = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
     for r in pii.op2_personal_data(spark, "/root/testdata/sf0.001").collect():
         assert r.base_sha256 == hashlib.sha256(pii.written(plain(rows[r.doc_id])).encode()).hexdigest()
+
+
+def test_masked_with_any_columns(spark):
+    df = spark.createDataFrame([(1, "call +1 (017) 555-7713 now", 1, 5), (2, None, 2, None), (2, None, 2, None)], "doc_id long, text string, c0 int, n_chars long").withColumnRenamed("c0", "a`b.c")
+    out = pii.masked_documents(spark, df)
+    assert out.dtypes == df.dtypes and sorted((r[0], r[1], r[3]) for r in out.collect() if r[1]) == [(1, "call [PHONE] now", 16)] and out.count() == 3
+    assert pii.masked_documents(spark, df.limit(0)).collect() == []

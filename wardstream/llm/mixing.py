@@ -55,7 +55,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, scratch: Scratch | None = None, carry: list[str] | None = None) -> DataFrame:
     """The documents with size, source_size, target, taken, full (whole passes), part (words of the last, partial one)
     and position (of the first pass; null if nothing is taken)."""
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *((F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"),) if carry else ()))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *((F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in carry)).alias("carried"),) if carry else ()))
     own = own.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     if scratch:
         own = scratch.keep(own, "sizes")
@@ -102,7 +102,7 @@ def mixed_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
             return text.alias(c)
         if c == "n_chars":
             return F.when(cut, F.length(text)).otherwise(F.col("carried.n_chars")).cast(kind[c]).alias(c)
-        return F.col(f"carried.`{c}`").alias(c)
+        return F.col("carried.`" + c.replace("`", "``") + "`").alias(c)
 
     return out.orderBy("position", "doc_id", "words").select(*(column(c) for c in names))
 

@@ -11,8 +11,11 @@ a character's tag is that of the window where it is most central, which gives a
 length nor its offset decides.  Base spans come first, then the candidates of most confidence that overlap nothing chosen
 before.
 
-Null and empty texts have no spans.  Repeated rows and null or equal ids are rows each; other columns are not read.  Time
-and memory are linear in a text's length, also for long runs of digits.
+A number of the model must have as many digits as its kind can (``_LEAST_DIGITS`` to ``_MOST_DIGITS``).
+
+Null and empty texts have no spans.  Repeated rows and null or equal ids are rows each; other columns are not read; an empty
+table gives an empty result.  Candidates of equal confidence go by start, then kind.  Whole texts are read, a span may be
+longer than a window, and time and memory are linear in a text's length, also for long runs of digits.
 """
 
 from __future__ import annotations
@@ -445,11 +448,16 @@ def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> lis
 
 def reconciled(base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
     """All base spans, and candidates by falling confidence that overlap none chosen before."""
-    taken = sorted((s, e) for s, _, e in base)
+    taken: list[tuple[int, int]] = []  # disjoint, so only the last one before a candidate's end can overlap it
+    for s, _, e in sorted(base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(e, taken[-1][1])
+        else:
+            taken.append((s, e))
     out = list(base)
     for _, s, kind, e in found:
         i = bisect_left(taken, (e, -1))
-        if all(b <= s for _, b in taken[max(0, i - 4) : i]):
+        if not i or taken[i - 1][1] <= s:
             insort(taken, (s, e))
             out.append((s, kind, e))
     return sorted(out)
@@ -520,10 +528,13 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def masked_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The documents with their own columns, personal data masked in the text (and n_chars as it is then)."""
+    """The documents with their own columns, whatever these are called, personal data masked in the text (and n_chars, if
+    there is one, as it is then).  Null texts stay null; every row stays, repeated ones too; very long texts are masked
+    whole; an empty table stays empty."""
     prepare(spark)
     model = spark.sparkContext.broadcast(trained())
-    names = documents.columns
+    names, own = documents.columns, [f"c{i}" for i in range(len(documents.columns))]
+    documents = documents.toDF(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
@@ -538,7 +549,7 @@ def masked_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
                 cols[k] = pa.array([n if t == o else len(t) for n, t, o in zip(cols[k].to_pylist(), new, old, strict=True)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema).toDF(*names)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
