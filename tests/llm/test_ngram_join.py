@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from wardstream.llm import ngram_join
 from wardstream.llm.common import table
 
@@ -94,3 +95,56 @@ def test_sizes():
 def test_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def near_copies(seed, n):
+    """One large group: copies of a text with a few to many words replaced, so that some link with most, some with few."""
+    rnd = random.Random(seed)
+    base, rows = [f"b{rnd.randrange(500)}" for _ in range(60)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            w[rnd.randrange(len(w))] = rnd.choice(["q", "r", f"u{i}"])
+        if rnd.random() < 0.2:
+            w = w[: rnd.randint(40, 59)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_by_differences(spark, monkeypatch):
+    """Few rounds or none: what the lists hold is left to the last step, near members and others."""
+    for short, rounds, near in ((2, 0, True), (16, 0, False), (16, 1, False)):
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "SHORT", short)
+            m.setattr(ngram_join, "ROUNDS", rounds)
+            if near:
+                m.setattr(ngram_join, "least_shared", lambda s, t: s * 0)
+            rows = near_copies(10 * short + rounds, 150)
+            want = brute(rows)
+            assert 3 < len({r[2] for r in want}) < 100
+            assert run(spark, rows) == want
+            if near:
+                rows = corpus(5)
+                assert run(spark, rows) == brute(rows)
+
+
+def test_entries_of_use():
+    """The bound by reach against the places and sizes of all pairs."""
+    rnd = np.random.default_rng(1)
+    for n in (1, 2, 3, 16, 17, 60):
+        for _ in range(30):
+            size = rnd.integers(1, 60, n)
+            pos = (rnd.random(n) * np.array([ngram_join.prefix(int(s)) for s in size])).astype(int)
+            want = [any(j != i and min(size[i] - pos[i], size[j] - pos[j]) >= ngram_join.needed(size[i], size[j]) for j in range(n)) for i in range(n)]
+            assert ngram_join.of_use(size, pos, np.array([0]), np.array([n])).tolist() == want
+
+
+def test_lexical_clash(spark):
+    """Own columns named as the operator's, of any kind."""
+    text = " ".join(f"a{i}" for i in range(30))
+    names = ["node", "_node", "key", "KNOWN", "doc", "kept", "kept_id", "is_known", "label", "root", "least_doc", "own__node", "kept__id", "a`b.c"]
+    rows = [(i, t, *range(len(names))) for i, t in ((1, text), (2, text + " x"), (3, "other words here"), (3, None))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = ngram_join.one_of_each(spark, df)
+    assert out.columns == df.columns and sorted((r[0], r[1]) for r in out.collect() if r[1]) == [(1, text), (3, "other words here")] and out.count() == 3
+    assert run(spark, [(r[0], r[1]) for r in rows]) == brute([(r[0], r[1]) for r in rows])

@@ -64,13 +64,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="checkpoints-")
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        at = tempfile.mkdtemp(prefix="checkpoints-")  # one machine: every task sees it
         spark.sparkContext.setCheckpointDir(at)
+    if not at:
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -84,19 +84,24 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def path(self, name: str) -> str:
         self.n += 1
-        path = f"{self.at}/{self.n:03d}-{name}"
+        return f"{self.at}/{self.n:03d}-{name}"
+
+    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = self.path(name)
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
+    def remove(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self.remove(t._scratch_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

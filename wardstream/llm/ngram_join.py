@@ -10,21 +10,34 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
 3. Nodes of at most ``boundary`` shingles are listed under every subset of the size that a partner of each
    possible size must share with them; larger ones under the first shingles of their order that any partner
    must share one of.  ``boundary`` minimises the postings of both kinds, from the histogram of sizes.
-4. In each list one member is compared with those of other components; links make components.  Rounds with other
-   members follow while they connect more, so that a large group of near copies becomes one component without its
-   pairs being made.  What lists then still hold of different components is compared exhaustively.  So a pair that
-   is in no list together cannot link, and every pair within a list is compared or already connected.
-5. Before sets are sent for a comparison, the number of shared first shingles must reach what a link needs.
+4. Members of one subset's list link with its smallest member or with none.  In each other list a few central members
+   are compared with those of other components; links make components; two or three such rounds make one component
+   of a large group of near copies without making its pairs.
+5. Lists that still hold several components have the pairs across them looked at, by sizes and places first.  In
+   lists of more than ``SHORT`` entries that goes only for members unlike the list's member p of most links; those like it, by
+   how many lists they share, are taken apart by *differences* from p: with D(x) the symmetric difference of x and p,
+   and E(x) = 7 |D(x)| - |x|, sets x and y link exactly if E(x) + E(y) <= 14 |D(x) & D(y)|.  The member of least E settles all
+   pairs with a sum of 0 or less; others must share a difference, so each is listed under the first differences of its own
+   (rare ones first), and only pairs of different components in such a list, at places that still allow it, are
+   compared.  What all members have in common is in no such list.  So a pair that is in no list together cannot link, and
+   every pair within a list is compared, excluded by a bound or already connected.
+
+The sets of listed nodes are written once, in buckets by node; all comparisons read these, not the texts, and move
+only the pairs.
 
 Nulls, empty texts and texts without words: an empty set, linked with nothing, component_id is the own doc_id.
 Fewer than five words: the whole sequence is the only shingle.  Repeated rows and equal ids: each row is a row of the
 result; equal sets share a component.  A null doc_id takes its component's least id, if there is one.  Other columns are
-not read.  An empty table gives an empty result.
+not read.  Ties in all choices go to a hash or the lesser id and don't change the result.  A very long text is one set of
+8 bytes a shingle, handled whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -48,10 +61,14 @@ HOT = 1 << 10
 #: Bits of the filter of documents whose sets are sent; of fixed size as well.
 FILTER = 1 << 24
 LARGEST_BOUNDARY = 24
-#: Rounds that compare one member of each list, at most; they end when one adds less than this share of all links.
-ROUNDS, WORTH = 8, 0.02
+#: Rounds that compare members of each list with the rest, at most; they end when one adds less than this share of all links.
+ROUNDS, WORTH = 4, 0.02
 #: Members that a round compares with the rest, in lists of more than so many entries.
 PICKS, LONG = 4, 8
+#: Up to so many entries of a list are looked at pair by pair, which costs an entry about as much as its differences do.
+SHORT = 1024
+#: Bytes of sets in a file of their table.
+SET_BYTES = 32 << 20
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("slots", pa.binary())])
 POSTS = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("posts", pa.binary())])
@@ -233,15 +250,42 @@ def posts_of(blob) -> np.ndarray:
     return out
 
 
+#: Lists of up to so many entries are compared in blocks of lists, all pairs at once.
+BLOCKS = 16
+
+
+def of_use(size: np.ndarray, pos: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which entries have another one in their list that sizes and places allow to link: a place i in a set of size s
+    leaves a reach of 4s - 7i, and each one's reach must be 3 times the other's size."""
+    reach, keep = 4 * size.astype(np.int64) - 7 * pos, np.zeros(len(size), bool)
+    for m in range(2, min(BLOCKS, int(n.max(initial=0))) + 1):
+        at = first[n == m]
+        for lo in range(0, len(at), step := max(1, (1 << 22) // m**2)):
+            i = at[lo : lo + step, None] + np.arange(m)
+            one = reach[i][:, :, None] >= 3 * size[i][:, None, :]
+            one &= one.transpose(0, 2, 1) & ~np.eye(m, dtype=bool)
+            keep[i] = one.any(2)
+    for f, m in zip(first[n > BLOCKS], n[n > BLOCKS], strict=True):
+        i = f + np.argsort(size[f : f + m], kind="stable")
+        s, v = size[i], reach[i]
+        most = np.maximum.accumulate(v)  # among the first, by size; and the second of these
+        second = np.r_[np.iinfo(np.int64).min, np.maximum.accumulate(np.minimum(v[1:], most[:-1]))]
+        last = np.searchsorted(s, v // 3, "right") - 1
+        best = np.where((np.arange(m) <= last) & (v == most[last]), second[last], most[last])
+        keep[i] = (last >= 0) & (best >= 3 * s)
+    return keep
+
+
 def lists(t: pa.Table) -> pa.Table:
-    """The lists of one bucket that hold two nodes or more."""
+    """The lists of one bucket, without entries that no other one of their list can link with."""
     p = np.concatenate([posts_of(x) for x in t.column("posts")])
     p = p[np.lexsort((p["pos"], p["node"], p["key"]))]
     same = (p["key"][1:] == p["key"][:-1]) & (p["node"][1:] == p["node"][:-1])
     p = p[np.r_[True, ~same]]  # a node that several tasks met
     first = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]])
     n = np.diff(np.r_[first, len(p)])
-    p = p[np.repeat(n > 1, n)]
+    subsets = p["pos"] < 0
+    p = p[np.repeat(n > 1, n) & (subsets | of_use(p["size"], p["pos"], first, n))]
     return pa.Table.from_arrays([pa.array(np.ascontiguousarray(p[f]).astype(np.int64 if f == "key" else p[f].dtype)) for f in POST.names], schema=FLAT)
 
 
@@ -252,19 +296,20 @@ def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[f]).astype(np.int64 if f == "key" else p[f].dtype)) for f in POST.names], schema=FLAT)
 
 
+def least_both(s: Column, t: Column) -> Column:
+    return F.ceil(NUM * (s + t) / F.lit(DEN + NUM))
+
+
 def may_link(a: str, b: str, boundary: int) -> Column:
-    """What a list's kind, and sizes and places in the order of two of its entries (structs), still allow."""
+    """What sizes and places in the order of two entries of a list (structs) still allow; two small sets meet by subsets."""
     s, t, i, j = (F.col(f"{x}.{f}") for f in ("size", "pos") for x in (a, b))
-    need = F.ceil(NUM * (s + t) / F.lit(DEN + NUM))
-    by_subset = (i < 0) & (j < 0) & (i == -need)
-    by_prefix = (i >= 0) & (j >= 0) & (F.greatest(s, t) > boundary) & (F.least(s - i, t - j) >= need)
-    return by_subset | by_prefix
+    return (F.greatest(s, t) > boundary) & (F.least(s - i, t - j) >= least_both(s, t))
 
 
 def least_shared(s: Column, t: Column) -> Column:
     """So many of their first shingles two linked sets share: the one whose last such shingle comes first in the order
     has no more than its other shingles to share besides."""
-    return F.ceil(NUM * (s + t) / F.lit(DEN + NUM)) - F.ceil(NUM * F.greatest(s, t) / F.lit(DEN)) + 1
+    return least_both(s, t) - F.ceil(NUM * F.greatest(s, t) / F.lit(DEN)) + 1
 
 
 def marks(t: pa.Table) -> pa.Table:
@@ -306,19 +351,38 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
-def linked(spark: SparkSession, docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes whose sets link, by the sets themselves: those of one document of each node."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(spark: SparkSession, docs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes' sets, from one document of each, in one pass over the texts."""
     slot = F.col("doc_id").bitwiseAND(FILTER - 1)
     parts = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select(F.shiftright(slot, 13).alias("part"), slot.bitwiseAND((1 << 13) - 1).alias("slot")).distinct()
     bits = np.zeros(FILTER >> 3, np.uint8)
     for r in parts.groupBy("part").applyInArrow(marks, "part long, bits binary").toLocalIterator():  # FILTER bits at most
         bits[r.part << 10 : (r.part + 1) << 10] = np.frombuffer(r.bits, np.uint8)
     sets = docs.mapInArrow(blobs(spark.sparkContext.broadcast(bits.tobytes())), "node long, shingles binary")
-    sets = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+@contextmanager
+def bucketed(sets: DataFrame, total: int, scratch: Scratch) -> Iterator[DataFrame]:
+    """The sets as a table in the shared folder, dealt by node, so that joins with it move the other side only."""
+    spark, name, path = scratch.spark, f"sets_{uuid.uuid4().hex}", scratch.path("listed")
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SET_BYTES))
+    sets.repartition(files, "node").write.format("parquet").bucketBy(files, "node").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.remove(path)
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    both = pairs.join(sets.select(F.col("node").alias(a), F.col("shingles").alias("sa")), a)
+    return both.join(sets.select(F.col("node").alias(b), F.col("shingles").alias("sb")), b).select(*pairs.columns, "sa", "sb")
+
+
+def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes whose sets link, by the sets themselves."""
+    return with_sets(pairs.select("a", "b"), sets, "a", "b").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -343,75 +407,151 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def placed(found: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The lists' entries as structs, with their component so far."""
-    out = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots else found.withColumn("root", F.col("node"))
-    return out.select("key", F.struct("root", "node", "size", "pos").alias("x"))
+def by_subsets(found: DataFrame) -> DataFrame:
+    """Links (a, b) in the lists of subsets: who shares c shingles links if they need no more, and needs least with
+    the smallest."""
+    small = found.where("pos < 0")
+    least = small.groupBy("key").agg(F.min(F.struct("size", "node")).alias("m"))
+    pairs = small.join(least, "key").where((F.col("node") != F.col("m.node")) & (least_both(F.col("size"), F.col("m.size")) <= -F.col("pos")))
+    return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+
 
+def placed(found: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries of lists of prefixes as structs, with their component and number of links so far."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    out = found.where("pos >= 0").join(roots.join(ends, "node", "left"), "node", "left")
+    return out.select("key", F.struct(F.coalesce("root", "node").alias("root"), "node", "size", "pos", F.coalesce("n_links", F.lit(0)).alias("n_links")).alias("x"))
 
-def unsettled(entries: DataFrame, picks: list[Column]) -> DataFrame:
-    """Entries (x) of the lists that hold several components, each with the one of least ``picks[0]`` (p); in long lists
-    also with those of least other picks, one row for each."""
+
+def unsettled(entries: DataFrame, picks: list[Column], scratch: Scratch) -> DataFrame:
+    """Entries (x) of the lists that hold several components, each with the one of least ``picks[0]`` (p) and the length of
+    the list (n); in long lists also with those of least other picks, one row for each."""
     least = [F.min(F.struct(k.alias("by"), F.col("x"))).alias(f"p{i}") for i, k in enumerate(picks)]
     ends = entries.groupBy("key").agg(*least, F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.count("*").alias("n")).where("low < high")
     every = F.array_distinct(F.array(*(F.col(f"p{i}.x") for i in range(len(picks)))))
-    ends = ends.select("key", F.explode(F.when(F.col("n") > LONG, every).otherwise(F.array("p0.x"))).alias("p"))
+    ends = scratch.keep(ends.select("key", "n", F.explode(F.when(F.col("n") > LONG, every).otherwise(F.array("p0.x"))).alias("p")), "ends")
     return entries.join(ends, "key")
 
 
-def one_against_all(entries: DataFrame, turn: int, boundary: int) -> DataFrame:
+def one_against_all(entries: DataFrame, turn: int, boundary: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of a few members of each list, others in each turn, with those of other components, if the lists
-    in which they meet so are half as many as a link needs."""
-    picks = [F.xxhash64(F.col("x.node"), F.lit(turn * PICKS + i)) for i in range(PICKS)] if turn else [F.col("x.node")]
-    pairs = unsettled(entries, picks).where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
+    in which they meet so are half as many as a link needs.  Members that have linked most come first, or those that
+    have few rare shingles before the list's own: they are most like the others."""
+    hashed = [F.xxhash64(F.col("x.node"), F.lit(turn * PICKS + i)) for i in range(PICKS - 2)]
+    picks = [-F.col("x.n_links"), F.col("x.pos") / F.col("x.size"), *hashed] if turn else [F.col("x.pos") / F.col("x.size"), F.col("x.pos") - F.col("x.size"), *hashed]
+    pairs = unsettled(entries, picks, scratch).where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
     # Two picks of a list meet twice in it.
     pairs = pairs.groupBy(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b")).agg(F.count("*").alias("n"), F.first(F.col("x.size")).alias("s"), F.first(F.col("p.size")).alias("t"))
-    return pairs.where((2 * F.col("n") >= least_shared(F.col("s"), F.col("t"))) | (F.greatest("s", "t") <= boundary)).select("a", "b")
+    return pairs.where(2 * F.col("n") >= least_shared(F.col("s"), F.col("t"))).select("a", "b")
+
 
+def across(both: DataFrame, boundary: int) -> DataFrame:
+    """All pairs (a, b) of different components that are in a list together and may link, but those of two members near p."""
+    other = both.where(F.col("x.root") != F.col("p.root")).select("key", F.col("x").alias("y"), F.col("near").alias("y_near"))
+    pairs = other.join(both.select("key", "x", "near", (F.col("x.root") == F.col("p.root")).alias("main")), "key")
+    pairs = pairs.where((F.col("x.root") != F.col("y.root")) & (F.col("main") | (F.col("x.node") < F.col("y.node"))) & ~(F.col("near") & F.col("y_near")) & may_link("x", "y", boundary))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-def across(entries: DataFrame, boundary: int) -> DataFrame:
-    """All pairs (a, b) of different components that are in a list together and may link, with what they must share."""
-    both = unsettled(entries, [F.col("x.node")])
-    other = both.where(F.col("x.root") != F.col("p.root")).select("key", F.col("x").alias("y"))
-    pairs = other.join(both.select("key", "x", (F.col("x.root") == F.col("p.root")).alias("main")), "key")
-    pairs = pairs.where((F.col("x.root") != F.col("y.root")) & (F.col("main") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y", boundary))
-    shared = F.when(F.greatest("x.size", "y.size") > boundary, least_shared(F.col("x.size"), F.col("y.size"))).otherwise(0)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), shared.cast("int").alias("shared")).distinct()
 
+def near_pivots(both: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds near: whether x is in so many of the long lists of their member p as makes it worth looking at its differences."""
+    shared = both.where(F.col("n") > SHORT).groupBy(F.col("p.node").alias("near_p"), F.col("x.node").alias("near_x")).agg(F.count("*").alias("lists"), F.first("x.size").alias("s"), F.first("p.size").alias("t"))
+    shared = scratch.keep(shared.where(2 * F.col("lists") >= least_shared(F.col("s"), F.col("t"))).select("near_p", "near_x"), "near")
+    long = both.where(F.col("n") > SHORT).join(shared, (F.col("p.node") == F.col("near_p")) & (F.col("x.node") == F.col("near_x")), "left")
+    long = long.select(*both.columns, F.col("near_p").isNotNull().alias("near"))
+    return scratch.keep(both.where(F.col("n") <= SHORT).withColumn("near", F.lit(False)).union(long), "unsettled")
 
-def enough_shared(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs that share as many of their first shingles as a link needs."""
-    keys = found.where("pos >= 0").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    out = pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a", "left").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b", "left")
-    return out.where((F.col("shared") <= 1) | (F.size(F.array_intersect("ka", "kb")) >= F.col("shared"))).select("a", "b", "shared")
+
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node in a group: its set's size and how many shingles it and the group's member p don't share."""
+    for b in batches:
+        size, far = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+        for i, (x, p) in enumerate(zip(b.column("sb"), b.column("sa"), strict=True)):
+            x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
+            size[i], far[i] = len(x), len(x) + len(p) - 2 * len(np.intersect1d(x, p, assume_unique=True))
+        yield pa.RecordBatch.from_arrays([b.column("p"), b.column("node"), pa.array(size), pa.array(far)], ["p", "node", "size", "far"])
+
+
+def first_differences(weights):
+    """A function that lists a node under its first differences from p, as many as hold one that a partner must share:
+    rare ones of its own first, then what p has of common ones; last what p alone has or lacks."""
+    names = ["key", "node", "root", "main", "e", "far", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        for b in batches:
+            rows: list[np.ndarray] = []
+            keys: list[np.ndarray] = []
+            for i, (x, p) in enumerate(zip(b.column("sb"), b.column("sa"), strict=True)):
+                x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
+                more, less = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                wp = w[(p & U(SLOTS - 1)).astype(np.int64)].max(initial=0).astype(np.int64)
+                rank = np.r_[w[(more & U(SLOTS - 1)).astype(np.int64)].astype(np.int64), 1 + wp - w[(less & U(SLOTS - 1)).astype(np.int64)]]
+                both = np.r_[more, less]
+                both = both[np.lexsort((both, rank))][: len(both) - b.column("need")[i].as_py() + 1]
+                keys.append(mix(both ^ mix(np.array([b.column("p")[i].as_py()]).view(np.uint64), 5), 6))
+                rows.append(np.stack([np.full(len(both), i), np.arange(len(both))]))
+            if not rows:
+                continue
+            row, pos = np.concatenate(rows, axis=1)
+            taken = [b.column(c).take(pa.array(row)) for c in names[1:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *taken, pa.array(pos)], names)
+
+    return run
+
+
+def by_differences(both: DataFrame, sets: DataFrame, links: DataFrame, weights, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect what is in a list together (x, with its member p), found by differences from p."""
+    groups = both.select(F.col("p.node").alias("p"), F.col("x.node").alias("node")).distinct()
+    far = scratch.keep(with_sets(groups, sets, "p", "node").mapInArrow(apart, "p long, node long, size long, far long"), "apart").withColumn("e", 7 * F.col("far") - F.col("size"))
+    least = far.groupBy("p").agg(F.min(F.struct("e", "node")).alias("m"))
+    free = far.join(least, "p").where((F.col("e") + F.col("m.e") <= 0) & (F.col("node") != F.col("m.node")))
+    free = scratch.keep(free.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct(), "free")
+    roots = components(links.union(free), scratch)
+
+    far = scratch.keep(far.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = far.groupBy("p").agg(F.min(F.struct("e", "node", "root")).alias("m"))
+    other = far.join(least, "p").where(F.col("root") != F.col("m.root")).groupBy("p").agg(F.min("e").alias("o"), F.first("m").alias("m"))
+    far = far.join(scratch.keep(other, "others"), "p").withColumn("main", F.col("root") == F.col("m.root"))
+    far = far.withColumn("need", F.ceil((F.col("e") + F.when(F.col("main"), F.col("o")).otherwise(F.col("m.e"))) / F.lit(14))).where("need <= far")
+    posts = with_sets(far.select("p", "node", "root", "main", "e", "far", "need"), sets, "p", "node")
+    posts = scratch.keep(posts.mapInArrow(first_differences(weights), "key long, node long, root long, main boolean, e long, far long, pos long"), "differences")
+    x, y = posts.alias("x"), posts.where("not main").alias("y")
+    room = F.least(F.col("x.far") - F.col("x.pos"), F.col("y.far") - F.col("y.pos"))
+    pairs = y.join(x, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & (F.col("x.main") | (F.col("x.node") < F.col("y.node"))) & (room >= F.ceil((F.col("x.e") + F.col("y.e")) / F.lit(14))))
+    pairs = scratch.keep(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "candidates")
+    return free.union(linked(sets, pairs))
 
 
 def jaccard_join(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (the set's signature, null for empty sets) and component_id of every document."""
-    labelled = classes(spark, documents)
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_doc"))
-    out = labelled.join(least, "label", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("least_doc", "doc_id").alias("component_id"))
+    own, labels, scratch = classes(spark, documents)
+    least = labels.groupBy("label").agg(F.min("least_doc").alias("component_id"))
+    least = scratch.keep(labels.join(least, "label").select("node", "component_id"), "classes")
+    out = own.where("node is not null").join(least, "node").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.union(own.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")))
 
 
-def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node and label, the component's least node, of every document."""
+def classes(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
+    """doc_id, n_shingles and node of every document; least_doc and label, the component's least node, of every node."""
     prepare(spark)
     docs, scratch = texts(documents), Scratch(spark, "ngram-join")
     sets = scratch.keep(docs.mapInArrow(signatures, "doc_id long, n_shingles long, node long, slots binary"), "sets")
     own = sets.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
+    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_doc"))
 
     histogram = own.where(F.col("n_shingles") > 0).groupBy(F.least("n_shingles", F.lit(4 * LARGEST_BOUNDARY)).alias("s")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t")).collect()
     if not histogram:
-        return own.withColumn("label", F.col("node"))
+        return own, nodes.withColumn("label", F.col("node")), scratch
     boundary = best_boundary({r.s: r.n for r in histogram})
     weights = np.zeros(SLOTS, np.uint8)
     heavy = sets.where("slots is not null").select("slots").mapInArrow(slot_weights, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 4")
     for b in heavy.select("slot", F.ceil(F.log2("n")).cast("byte").alias("w")).toArrow().to_batches():  # SLOTS rows at most
         weights[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    weights = spark.sparkContext.broadcast(weights)
     buckets = 1 << max(4, (sum(r.t for r in histogram) // 1_000_000).bit_length())
 
-    posted = scratch.keep(docs.mapInArrow(postings(spark.sparkContext.broadcast(weights), boundary, buckets), "bucket long, hot boolean, posts binary"), "posts")
+    posted = scratch.keep(docs.mapInArrow(postings(weights, boundary, buckets), "bucket long, hot boolean, posts binary"), "posts")
     entry = "key long, node long, size int, pos int"
     cold = posted.where("not hot").select("bucket", "posts").groupBy("bucket").applyInArrow(lists, entry)
     rows = posted.where("hot").select("posts").mapInArrow(flat, entry).distinct()
@@ -419,43 +559,55 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
     found = scratch.keep(cold.union(rows.join(more, "key", "left_semi").select(*cold.columns)), "lists")
     scratch.drop(posted)
 
-    links, roots, tried = None, None, None
-    for turn in range(ROUNDS):
-        pairs = one_against_all(placed(found, roots), turn, boundary)
-        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-        if turn and not pairs.take(1):
-            break
-        new = scratch.keep(linked(spark, docs, own, pairs), "links")
-        tried = scratch.keep(tried.union(pairs), "tried") if tried else pairs
-        links = scratch.keep(links.union(new), "links") if links else new
+    members = found.where("pos >= 0").groupBy("node").agg(F.first("size").alias("size"))
+    total = 8 * (members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    links, tried = scratch.keep(by_subsets(found), "links"), None
+    with bucketed(sets_of(spark, docs, own, members.select("node")), total, scratch) as listed:
         roots = components(links, scratch)
-        if new.count() < WORTH * links.count() or not links.take(1):
-            break
-    rest = across(placed(found, roots), boundary).join(tried, ["a", "b"], "left_anti")
-    rest = scratch.keep(enough_shared(rest, found).select("a", "b"), "rest")
-    if rest.take(1):
-        roots = components(links.union(linked(spark, docs, own, rest)), scratch)
-    scratch.drop(found, tried, rest)
-
-    return own.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).select("doc_id", "n_shingles", "node", "label")
+        for turn in range(ROUNDS):
+            pairs = one_against_all(placed(found, roots, links), turn, boundary, scratch)
+            pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+            if not pairs.take(1):
+                break
+            new = scratch.keep(linked(listed, pairs), "links")
+            tried = scratch.keep(tried.union(pairs), "tried") if tried else pairs
+            links = scratch.keep(links.union(new), "links")
+            roots = components(links, scratch)
+            if new.count() < WORTH * links.count():
+                break
+        both = near_pivots(unsettled(placed(found, roots, links), [F.struct(-F.col("x.n_links"), F.xxhash64("x.node"))], scratch), scratch)
+        rest = across(both, boundary)
+        rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti") if tried else rest, "rest")
+        last = [links, scratch.keep(linked(listed, rest), "links")]
+        if both.where("near").take(1):
+            last.append(scratch.keep(by_differences(both.where("near"), listed, links, weights, scratch), "links"))
+        roots = components(reduce(DataFrame.union, last), scratch)
+    scratch.drop(found, both)
+
+    return own, scratch.keep(nodes.join(roots, "node", "left").select("node", "least_doc", F.coalesce("root", "node").alias("label")), "nodes"), scratch
 
 
 def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The documents with their own columns, of each component one: that of least doc_id (of several such rows that of
-    least node, then of least text).  Documents without words stay."""
-    labelled = classes(spark, documents).where("label is not null")
-    keep = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(F.col("k.node").alias("kept__node"), F.col("k.doc_id").alias("kept__id"))
-    names, at = documents.columns, documents.columns.index("text")
-    schema = documents.withColumn("own__node", F.lit(None).cast("long")).schema
+    least node, then of least text; a null doc_id only if there is no other).  Documents without words stay, and so do
+    columns of any name and kind; repeated rows are one document; a very long text is handled whole; an empty table
+    stays empty."""
+    _, labels, scratch = classes(spark, documents)
+    keep = labels.groupBy("label").agg(F.min(F.struct(F.col("least_doc").isNull().alias("unknown"), "least_doc", "node")).alias("k"))
+    keep = scratch.keep(keep.select(F.col("k.node").alias("kept"), F.coalesce("k.least_doc", F.lit(0)).alias("kept_doc"), F.col("k.unknown").alias("kept_unknown")), "kept")
+    names, own = documents.columns, [f"c{i}" for i in range(len(documents.columns))]  # whatever they are called
+    doc_id, text = own[names.index("doc_id")], own[names.index("text")]
+    docs = documents.toDF(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = [signature(x) if len(x) else None for _, x in shingle_sets(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*names, "own__node"])
-
-    # Rows without words meet nothing, but must not all meet in one task either.
-    docs = documents.mapInArrow(run, schema).withColumn("own__key", F.coalesce("own__node", F.xxhash64("doc_id")))
-    same = (F.col("own__key") == F.col("kept__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept__id")) & F.col("own__node").isNotNull()
-    docs = docs.join(keep, same, "left").where(F.col("own__node").isNull() | F.col("kept__node").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("own__key", "doc_id").orderBy("text"))
-    return docs.withColumn("own__turn", turn).where(F.col("own__node").isNull() | (F.col("own__turn") == 1)).select(*(F.col(f"`{c}`") for c in names))
+            nodes = [signature(x) if len(x) else None for _, x in shingle_sets(b.column(text))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*own, "node"])
+
+    # Rows without words meet nothing, but must not all meet in one task either; nor must copies.
+    docs = docs.mapInArrow(run, docs.withColumn("node", F.lit(None).cast("long")).schema)
+    docs = docs.withColumns({"key": F.coalesce("node", F.xxhash64(doc_id)), "doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "unknown": F.col(doc_id).isNull()})
+    same = (F.col("key") == F.col("kept")) & (F.col("doc") == F.col("kept_doc")) & (F.col("unknown") == F.col("kept_unknown"))
+    docs = docs.join(keep, same, "left").where(F.col("node").isNull() | F.col("kept").isNotNull())
+    turn = F.row_number().over(Window.partitionBy("key", "doc", "unknown").orderBy(text))
+    return docs.withColumn("turn", turn).where(F.col("node").isNull() | (F.col("turn") == 1)).select(*own).toDF(*names)
