@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from wardstream.llm import ngram_join
 from wardstream.llm.common import table
 
@@ -139,6 +140,25 @@ def test_entries_of_use():
             assert ngram_join.of_use(size, pos, np.array([0]), np.array([n])).tolist() == want
 
 
+def test_parities():
+    """A bound: no pair that links is ruled out; most others are."""
+    rng = np.random.default_rng(3)
+    out = {True: 0, False: 0}
+    for _ in range(300):
+        s = int(rng.integers(1, 400))
+        x = rng.integers(0, 2**63, s).astype(np.uint64)
+        y = np.unique(np.r_[x[: int(s * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(s * rng.uniform(0, 0.5))).astype(np.uint64)])
+        if not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        links = 100 * both >= 75 * (len(x) + len(y) - both)
+        t = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([ngram_join.parities(x)]), pa.array([ngram_join.parities(y)])], ["a", "b", "sa", "sb"])
+        kept = sum(len(b) for b in ngram_join.possible([t]))
+        assert kept or not links
+        out[links] += kept == 0
+    assert out[False] > 100
+
+
 def test_lexical_clash(spark):
     """Own columns named as the operator's, of any kind."""
     text = " ".join(f"a{i}" for i in range(30))

@@ -22,8 +22,9 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
    compared.  What all members have in common is in no such list.  So a pair that is in no list together cannot link, and
    every pair within a list is compared, excluded by a bound or already connected.
 
-The sets of listed nodes are written once, in buckets by node; all comparisons read these, not the texts, and move
-only the pairs.
+The sets of listed nodes are written once, in buckets by node, with the parities of their slots; all comparisons read
+these, not the texts, and move only the pairs: with the parities first, which rule out most that don't link, and with
+whole sets where these allow a link.
 
 Nulls, empty texts and texts without words: an empty set, linked with nothing, component_id is the own doc_id.
 Fewer than five words: the whole sequence is the only shingle.  Repeated rows and equal ids: each row is a row of the
@@ -73,7 +74,7 @@ SET_BYTES = 32 << 20
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("slots", pa.binary())])
 POSTS = pa.schema([("bucket", pa.int64()), ("hot", pa.bool_()), ("posts", pa.binary())])
 FLAT = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
-BLOBS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+BLOBS = pa.schema([("node", pa.int64()), ("bits", pa.binary()), ("shingles", pa.binary())])
 POST = np.dtype([("key", np.uint64), ("node", np.int64), ("size", np.int32), ("pos", np.int32)])
 
 
@@ -320,6 +321,27 @@ def marks(t: pa.Table) -> pa.Table:
     return pa.table({"part": [part], "bits": [np.packbits(bits).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("bits", pa.binary())]))
 
 
+def parities(x: np.ndarray) -> bytes:
+    """A set's size, and for each of two to four times as many slots whether it holds an odd number of shingles."""
+    n = 1 << (2 * len(x) - 1).bit_length()
+    odd = np.bincount((x & U(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.uint32(len(x)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose parities allow a link: each slot in which they differ holds a shingle that one set lacks, and linked
+    sets of s and t shingles have at most (s + t) / 7 of these."""
+    for b in batches:
+        ok = np.zeros(len(b), bool)
+        for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            s, t = (int(z[:4].view(np.uint32)[0]) for z in (x, y))
+            u, v = sorted((np.unpackbits(z[4:]) for z in (x, y)), key=len)
+            v = np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0) if len(v) > len(u) else v
+            ok[i] = 7 * int((u != v).sum()) <= s + t
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+
+
 def blobs(bits):
     """A function that gives the sets of the documents that the filter lets pass, once a task; only these are hashed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,11 +350,12 @@ def blobs(bits):
             ids = b.column("doc_id")
             slot = ids.fill_null(0).to_numpy() & (FILTER - 1)
             b = b.filter(pa.array(inside[slot] | ids.is_null().to_numpy(zero_copy_only=False)))
-            rows: dict = {"node": [], "shingles": []}
+            rows: dict = {"node": [], "bits": [], "shingles": []}
             for _, x in shingle_sets(b.column("text")):
                 if len(x) and (node := signature(x)) not in seen:
                     seen.add(node)
                     rows["node"].append(node)
+                    rows["bits"].append(parities(x))
                     rows["shingles"].append(x.tobytes())
             if rows["node"]:
                 yield batch(rows, BLOBS)
@@ -352,14 +375,14 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(spark: SparkSession, docs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes' sets, from one document of each, in one pass over the texts."""
+    """The nodes' sets and their parities, from one document of each, in one pass over the texts."""
     slot = F.col("doc_id").bitwiseAND(FILTER - 1)
     parts = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select(F.shiftright(slot, 13).alias("part"), slot.bitwiseAND((1 << 13) - 1).alias("slot")).distinct()
     bits = np.zeros(FILTER >> 3, np.uint8)
     for r in parts.groupBy("part").applyInArrow(marks, "part long, bits binary").toLocalIterator():  # FILTER bits at most
         bits[r.part << 10 : (r.part + 1) << 10] = np.frombuffer(r.bits, np.uint8)
-    sets = docs.mapInArrow(blobs(spark.sparkContext.broadcast(bits.tobytes())), "node long, shingles binary")
-    return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = docs.mapInArrow(blobs(spark.sparkContext.broadcast(bits.tobytes())), "node long, bits binary, shingles binary")
+    return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("shingles").alias("shingles"))
 
 
 @contextmanager
@@ -375,14 +398,15 @@ def bucketed(sets: DataFrame, total: int, scratch: Scratch) -> Iterator[DataFram
         scratch.remove(path)
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    both = pairs.join(sets.select(F.col("node").alias(a), F.col("shingles").alias("sa")), a)
-    return both.join(sets.select(F.col("node").alias(b), F.col("shingles").alias("sb")), b).select(*pairs.columns, "sa", "sb")
+def with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str, what: str = "shingles") -> DataFrame:
+    both = pairs.join(sets.select(F.col("node").alias(a), F.col(what).alias("sa")), a)
+    return both.join(sets.select(F.col("node").alias(b), F.col(what).alias("sb")), b).select(*pairs.columns, "sa", "sb")
 
 
-def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes whose sets link, by the sets themselves."""
-    return with_sets(pairs.select("a", "b"), sets, "a", "b").mapInArrow(compare, "a long, b long")
+def linked(sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs of nodes whose sets link: by the sets themselves, where their parities allow it."""
+    left = scratch.keep(with_sets(pairs.select("a", "b"), sets, "a", "b", "bits").mapInArrow(possible, "a long, b long"), "possible")
+    return scratch.keep(with_sets(left, sets, "a", "b").mapInArrow(compare, "a long, b long"), "links")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -419,30 +443,32 @@ def by_subsets(found: DataFrame) -> DataFrame:
 def placed(found: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
     """The entries of lists of prefixes as structs, with their component and number of links so far."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = found.where("pos >= 0").join(roots.join(ends, "node", "left"), "node", "left")
+    out = found.join(roots.join(ends, "node", "left"), "node", "left")
     return out.select("key", F.struct(F.coalesce("root", "node").alias("root"), "node", "size", "pos", F.coalesce("n_links", F.lit(0)).alias("n_links")).alias("x"))
 
 
 def unsettled(entries: DataFrame, picks: list[Column], scratch: Scratch) -> DataFrame:
     """Entries (x) of the lists that hold several components, each with the one of least ``picks[0]`` (p) and the length of
-    the list (n); in long lists also with those of least other picks, one row for each."""
+    the list (n); in long lists also with those of least other picks, one row for each, not ``first``."""
     least = [F.min(F.struct(k.alias("by"), F.col("x"))).alias(f"p{i}") for i, k in enumerate(picks)]
     ends = entries.groupBy("key").agg(*least, F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.count("*").alias("n")).where("low < high")
     every = F.array_distinct(F.array(*(F.col(f"p{i}.x") for i in range(len(picks)))))
-    ends = scratch.keep(ends.select("key", "n", F.explode(F.when(F.col("n") > LONG, every).otherwise(F.array("p0.x"))).alias("p")), "ends")
-    return entries.join(ends, "key")
+    ends = ends.select("key", "n", F.posexplode(F.when(F.col("n") > LONG, every).otherwise(F.array("p0.x"))).alias("turn", "p"))
+    ends = scratch.keep(ends.select("key", "n", (F.col("turn") == 0).alias("first"), "p"), "ends")
+    return scratch.keep(entries.join(ends, "key"), "unsettled")
 
 
-def one_against_all(entries: DataFrame, turn: int, boundary: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of a few members of each list, others in each turn, with those of other components, if the lists
-    in which they meet so are half as many as a link needs.  Members that have linked most come first, or those that
-    have few rare shingles before the list's own: they are most like the others."""
+def chosen(turn: int) -> list[Column]:
+    """Which members of a list a round compares with the others, other ones in each: those that have linked most, or that
+    have few rare shingles before the list's own; they are most like the others."""
     hashed = [F.xxhash64(F.col("x.node"), F.lit(turn * PICKS + i)) for i in range(PICKS - 2)]
-    picks = [-F.col("x.n_links"), F.col("x.pos") / F.col("x.size"), *hashed] if turn else [F.col("x.pos") / F.col("x.size"), F.col("x.pos") - F.col("x.size"), *hashed]
-    pairs = unsettled(entries, picks, scratch).where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
-    # Two picks of a list meet twice in it.
-    pairs = pairs.groupBy(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b")).agg(F.count("*").alias("n"), F.first(F.col("x.size")).alias("s"), F.first(F.col("p.size")).alias("t"))
-    return pairs.where(2 * F.col("n") >= least_shared(F.col("s"), F.col("t"))).select("a", "b")
+    return [-F.col("x.n_links"), F.col("x.pos") / F.col("x.size"), *hashed] if turn else [F.col("x.pos") / F.col("x.size"), F.col("x.pos") - F.col("x.size"), *hashed]
+
+
+def one_against_all(both: DataFrame, boundary: int) -> DataFrame:
+    """Pairs (a, b) of the chosen members of each list with those of other components."""
+    pairs = both.where(F.col("x.root") != F.col("p.root")).where(may_link("x", "p", boundary))
+    return pairs.select(F.least("x.node", "p.node").alias("a"), F.greatest("x.node", "p.node").alias("b")).distinct()
 
 
 def across(both: DataFrame, boundary: int) -> DataFrame:
@@ -520,7 +546,7 @@ def by_differences(both: DataFrame, sets: DataFrame, links: DataFrame, weights,
     room = F.least(F.col("x.far") - F.col("x.pos"), F.col("y.far") - F.col("y.pos"))
     pairs = y.join(x, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & (F.col("x.main") | (F.col("x.node") < F.col("y.node"))) & (room >= F.ceil((F.col("x.e") + F.col("y.e")) / F.lit(14))))
     pairs = scratch.keep(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "candidates")
-    return free.union(linked(sets, pairs))
+    return free.union(linked(sets, pairs, scratch))
 
 
 def jaccard_join(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -559,26 +585,30 @@ def classes(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataF
     found = scratch.keep(cold.union(rows.join(more, "key", "left_semi").select(*cold.columns)), "lists")
     scratch.drop(posted)
 
-    members = found.where("pos >= 0").groupBy("node").agg(F.first("size").alias("size"))
-    total = 8 * (members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     links, tried = scratch.keep(by_subsets(found), "links"), None
+    lists_left = found.where("pos >= 0")
+    members = lists_left.groupBy("node").agg(F.first("size").alias("size"))
+    total = 8 * members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     with bucketed(sets_of(spark, docs, own, members.select("node")), total, scratch) as listed:
         roots = components(links, scratch)
         for turn in range(ROUNDS):
-            pairs = one_against_all(placed(found, roots, links), turn, boundary, scratch)
+            both = unsettled(placed(lists_left, roots, links), chosen(turn), scratch)
+            # A settled list stays so, and one of two members has had its pair compared.
+            lists_left = both.where("first and n > 2").select("key", "x.node", "x.size", "x.pos")
+            pairs = one_against_all(both, boundary)
             pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
             if not pairs.take(1):
                 break
-            new = scratch.keep(linked(listed, pairs), "links")
+            new = linked(listed, pairs, scratch)
             tried = scratch.keep(tried.union(pairs), "tried") if tried else pairs
             links = scratch.keep(links.union(new), "links")
             roots = components(links, scratch)
             if new.count() < WORTH * links.count():
                 break
-        both = near_pivots(unsettled(placed(found, roots, links), [F.struct(-F.col("x.n_links"), F.xxhash64("x.node"))], scratch), scratch)
+        both = near_pivots(unsettled(placed(lists_left, roots, links), [F.struct(-F.col("x.n_links"), F.xxhash64("x.node"))], scratch), scratch)
         rest = across(both, boundary)
         rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti") if tried else rest, "rest")
-        last = [links, scratch.keep(linked(listed, rest), "links")]
+        last = [links, linked(listed, rest, scratch)]
         if both.where("near").take(1):
             last.append(scratch.keep(by_differences(both.where("near"), listed, links, weights, scratch), "links"))
         roots = components(reduce(DataFrame.union, last), scratch)
