@@ -8,6 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from wardstream import api
 from wardstream.functions import decisions as D
 from wardstream.functions import lexicon as L
 from wardstream.functions import text as T
@@ -250,3 +251,17 @@ def test_host_sample(spark):
 def test_guard_bounds(spark):
     code = lambda t: one(spark, T.guard_code(F.col("t")), t=t)
     assert code("a" * 10_485_760) == 0 and code("a" * 10_485_761) == -9 and code("") == -9
+
+
+def test_surface(spark):
+    assert len(api.FUNCTIONS) + len(api.RESULTS) == 24  # the pipeline itself among them
+    rows = [(1, 1, "a", "b", 100, 0, False, 7, 0.25)]
+    out = pipeline(spark.createDataFrame(rows, "session_id long, seq long, text string, objective string, entropy int, surprise int, has_bias boolean, oov_byte int, score double"), details=True)
+    assert {c for own in api.RESULTS.values() for c in own} <= set(out.columns)
+    halo = api.calculate_halo(spark.createDataFrame([(1, "expert"), (2, ""), (3, None)], "i int, text string"), C.fail_closed(spark)).collect()
+    assert {r.i: r.halo for r in halo} == {1: 47960, 2: 65535, 3: 65535}
+    legacy = api.calculate_halo_signal_legacy(spark.createDataFrame([("expert STOP",)], "text string")).first()
+    assert legacy.halo == 150
+    stats = api.memory_stats(series(spark, [64, 6400]), "v", ["k"], ["seq"]).orderBy("seq").collect()
+    assert [(r["mean"], r.is_drifting) for r in stats] == [(1.0, False), (101.0, False)]
+    assert one(spark, api.get_stability(F.col("x"), F.lit(0).cast("long")), x=45000) == "Pressure"

@@ -190,5 +190,24 @@ def overridden(risk: Column, bias: Column, exhausted: Column, unstable: Column,
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), r))
 
 
+#: Bits of the overrides.
+OVERRIDES = {"bias": 1, "exhausted": 2, "unstable": 4}
+
+
+def override_bits(bits: Column) -> Column:
+    """The known bits of a mask."""
+    return bits.bitwiseAND(7)
+
+
+def contains(bits: Column, other: Column | int) -> Column:
+    """Whether all of the other's bits are set."""
+    return bits.bitwiseAND(other) == other
+
+
+def overridden_by(risk: Column, bits: Column, halt_gain: float = 1.0) -> Column:
+    """The risk after the overrides of a mask."""
+    return overridden(risk, *(contains(bits, b) for b in OVERRIDES.values()), halt_gain)
+
+
 def from_risk(risk: Column, warn_gain: float = 0.5, halt_gain: float = 1.0) -> Column:
     return F.when(F.isnan(risk), halt("CognitiveInstability", 0)).when(risk >= halt_gain, halt("CognitiveInstability")).when(risk >= warn_gain, escalate("PID risk elevated")).otherwise(proceed())

@@ -36,6 +36,15 @@ def check_with_entropy(rss: Column, ceiling: Column, entropy: Column) -> Column:
     return F.struct(code.alias("code"), F.when(code == 0, entropy).alias("entropy"))
 
 
+def body_output(rss: Column, ceiling: Column) -> Column:
+    """A struct of code, error (the share of the ceiling), pressure and exhausted; all of memory where it isn't measured
+    or there is no ceiling."""
+    code = check_with_entropy(rss, ceiling, F.lit(0))["code"]
+    ok = code == 0
+    share = rss.cast("double") / F.when(ok, ceiling)
+    return F.struct(code.alias("code"), F.when(ok, share).otherwise(1.0).alias("error"), F.when(ok, F.floor(share * 100)).otherwise(100).cast("int").alias("pressure"), (~ok).alias("exhausted"))
+
+
 def admission(df: DataFrame, keys: list[str], order: list[str], policy: D.Policy = D.Policy(), retries: int = 3) -> DataFrame:
     """What a gate that samples the host before each batch decides, from a table of samples (entropy, pressure, rss,
     ceiling): of the first ``retries`` samples of a key the first that may proceed is admitted, if its memory allows.

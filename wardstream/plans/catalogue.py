@@ -228,6 +228,13 @@ sf AS (SELECT {', '.join(f'd.{x.strip()}' for x in keys.split(','))}, d.text, k.
        FROM d JOIN b USING ({keys}) JOIN k USING ({keys}))"""
 
 
+@query(f"WITH {SQL_DOCS}, {sql_sifted('doc_id')} SELECT doc_id, CASE WHEN text = '' OR octet_length(encode(text)) > 10485760 THEN 65535 ELSE entropy END AS halo FROM sf")
+def calculate_halo(spark, table):
+    from ..api import calculate_halo as halo
+
+    return halo(documents(table), model(spark)).drop("text")
+
+
 @query(f"WITH {SQL_DOCS}, {sql_sifted('doc_id')} SELECT doc_id, entropy, surprise, oov_byte, has_bias FROM sf")
 def sift_text(spark, table):
     return C.sift(documents(table), model(spark)).select("doc_id", "entropy", "surprise", "oov_byte", "has_bias")
@@ -425,10 +432,10 @@ def stability_monitor(spark, table):
     return windows.monitor(events(table), "entropy", ["user_id"], ORDER, 1).select("event_id", "state", "threshold_high", "threshold_low", "threshold_warn")
 
 
-@query(f"""WITH {SQL_EVENTS}, o AS (SELECT event_id, max(length(bin(entropy)) - 1) OVER w AS hi, min(length(bin(entropy)) - 1) OVER w AS lo FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_id, CASE WHEN hi IS NULL THEN 4294967295 ELSE (1::BIGINT << (hi + 1)::INTEGER) - 1 END::BIGINT AS threshold_high, CASE WHEN lo > 0 THEN 1::BIGINT << lo::INTEGER ELSE 0 END AS threshold_low, CASE WHEN hi IS NULL THEN 0 ELSE ((1::BIGINT << (hi + 1)::INTEGER) - 1) * 4 // 5 END::BIGINT AS threshold_warn FROM o""")
+@query(f"""WITH {SQL_EVENTS}, o AS (SELECT event_id, length(bin(entropy)) - 1 AS m, max(length(bin(entropy)) - 1) OVER w AS hi, min(length(bin(entropy)) - 1) OVER w AS lo FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN hi IS NULL THEN 4294967295 ELSE (1::BIGINT << (hi + 1)::INTEGER) - 1 END::BIGINT AS threshold_high, CASE WHEN lo > 0 THEN 1::BIGINT << lo::INTEGER ELSE 0 END AS threshold_low, CASE WHEN hi IS NULL THEN 0 ELSE ((1::BIGINT << (hi + 1)::INTEGER) - 1) * 4 // 5 END::BIGINT AS threshold_warn, CASE WHEN m > hi + 1 OR (lo > 1 AND m < lo - 1) THEN 'Unstable' ELSE 'Stable' END AS zone FROM o""")
 def monitor_thresholds_before(spark, table):
-    return windows.monitor(events(table), "entropy", ["user_id"], ORDER, 1, after=False).select("event_id", "threshold_high", "threshold_low", "threshold_warn")
+    return windows.monitor(events(table), "entropy", ["user_id"], ORDER, 1, after=False).select("event_id", "threshold_high", "threshold_low", "threshold_warn", D.zone_of_monitor(F.col("state")).alias("zone"))
 
 
 @query(f"""WITH {SQL_EVENTS}, a AS (SELECT *, NOT has_bias AND entropy <= 40000 AND surprise <= 58000 AS ok FROM e), r AS (SELECT *, sum(ok::INTEGER) {OVER} AS n FROM a)
@@ -458,10 +465,10 @@ PID_SIGNALS = {"e_body": "(event_id % 1001) / 1000D", "e_sift": "entropy / 65535
 
 @query(f"""WITH RECURSIVE {SQL_EVENTS}, o AS (SELECT event_id, user_id AS sess, row_number() {OVER} AS rn, entropy::DOUBLE / 65535 AS x, (event_id % 1001)::DOUBLE / 1000 AS b, (event_id % 500)::DOUBLE / 1000 AS m, entropy::DOUBLE / 131070 AS q, surprise::DOUBLE / 65535 AS f, abs(((event_id % 4001) - 2000)::DOUBLE * 4 / 65535) AS t, least(1, pressure::DOUBLE / 100) AS p, (event_id % 64)::INTEGER AS flags FROM e),
 {sql_pid('o', 's')},
-x AS (SELECT o.event_id, s.risk, s.a, s.c, CASE WHEN event_id % 13 = 0 THEN greatest(risk, 1.001) ELSE risk END AS r1 FROM s JOIN o USING (sess, rn)),
+x AS (SELECT o.event_id, s.risk, s.a, s.c, s.p AS pp, CASE WHEN event_id % 13 = 0 THEN greatest(risk, 1.001) ELSE risk END AS r1 FROM s JOIN o USING (sess, rn)),
 y AS (SELECT *, least(1, CASE WHEN event_id % 17 = 0 THEN 1 ELSE r1 END)::DOUBLE AS limited FROM x),
 z AS (SELECT *, CASE WHEN limited >= 1 THEN {HALT} WHEN limited >= 0.5 THEN {sql_escalate('PID risk elevated')} ELSE {SAFE} END AS d FROM y)
-SELECT event_id, round(risk, 6) AS risk, round(a, 6) AS fast, round(c, 6) AS slow, round(limited, 6) AS limited, {sql_flat('d')} FROM z""")
+SELECT event_id, round(risk, 6) AS risk, round(a, 6) AS fast, round(c, 6) AS slow, round(pp, 6) AS prev_pressure, round(limited, 6) AS limited, {sql_flat('d')} FROM z""")
 def pid_score(spark, table):
     df = events(table).withColumns({n: F.expr(f"cast({v} as {'int' if n == 'flags' else 'double'})") for n, v in PID_SIGNALS.items()})
     from pyspark.sql import Window
@@ -470,7 +477,7 @@ def pid_score(spark, table):
     out = pid.fold(df, ["user_id"]).join(df.select("user_id", "seq", "event_id"), ["user_id", "seq"])
     i = F.col("event_id")
     out = out.withColumn("limited", D.overridden(F.col("risk"), i % 13 == 0, i % 17 == 0, F.lit(False)))
-    return flat(out.select("event_id", *(F.round(c, 6).alias(c) for c in ("risk", "fast", "slow", "limited")), D.from_risk(F.col("limited")).alias("decision")))
+    return flat(out.select("event_id", *(F.round(c, 6).alias(c) for c in ("risk", "fast", "slow", "prev_pressure", "limited")), D.from_risk(F.col("limited")).alias("decision")))
 
 
 # -- the pipeline ------------------------------------------------------------------------------------------------------------
@@ -497,7 +504,7 @@ p7 AS (SELECT *, (rn - rs + 1 >= 3)::INTEGER + 2 * (len({goal}) > 0 AND 1 - len(
 p8 AS (SELECT *, cls = 2 AND {str(gate).lower()} AND flags & 16 <> 0 AS stopped FROM p7),
 pi AS (SELECT sess || '/' || fe AS sess, seq, row_number() OVER (PARTITION BY sess, fe ORDER BY seq) AS rn, entropy::DOUBLE / 65535 AS x, eb AS b, least(1, abs(entropy - mean) / 65535)::DOUBLE AS m, entropy::DOUBLE / 65535 AS q, entropy::DOUBLE / 65535 AS f, least(1, abs(trend / 65535))::DOUBLE AS t, floor(eb * 100) / 100 AS p, flags FROM p8 WHERE cls = 2 AND NOT stopped),
 {sql_pid('pi', 'ps')},
-p9 AS (SELECT p8.*, CASE WHEN cls = 2 AND NOT stopped THEN CASE WHEN eb > 0.9 OR state <> 'Stable' THEN 1 ELSE ps.risk END END::DOUBLE AS risk FROM p8 LEFT JOIN pi ON pi.seq = p8.seq AND pi.sess = p8.sess || '/' || fe LEFT JOIN ps ON ps.sess = pi.sess AND ps.rn = pi.rn),
+p9 AS (SELECT p8.*, ps.a AS fast, ps.c AS slow, ps.p AS prev_pressure, CASE WHEN cls = 2 AND NOT stopped THEN CASE WHEN eb > 0.9 OR state <> 'Stable' THEN 1 ELSE ps.risk END END::DOUBLE AS risk FROM p8 LEFT JOIN pi ON pi.seq = p8.seq AND pi.sess = p8.sess || '/' || fe LEFT JOIN ps ON ps.sess = pi.sess AND ps.rn = pi.rn),
 z AS (SELECT *, CASE WHEN gated THEN CASE WHEN body_entropy >= 50000 THEN {HALT} ELSE {sql_escalate('ResourcePressure')} END WHEN err = -3 THEN {BIAS_HALT} WHEN err = -2 THEN {HALT} WHEN err = -4 THEN {sql_escalate('hallucination')}
   WHEN cls = 1 THEN {sql_escalate('reasoning depth exceeded', 10000)} WHEN stopped THEN {HALT} WHEN risk >= 1 THEN {HALT} WHEN risk >= 0.5 THEN {sql_escalate('PID risk elevated')} ELSE {SAFE} END AS d,
   CASE WHEN gated THEN 32 ELSE CASE WHEN err IS NOT NULL THEN 3 WHEN cls = 1 THEN 7 ELSE 31 END + CASE WHEN pressure IS NOT NULL THEN 32 ELSE 0 END END AS stages FROM p9)"""
@@ -551,6 +558,42 @@ def pipeline_resets(spark, table):
     return flat(pipeline(from_events(table, True, True), Config(max_steps=5)))
 
 
+LIVE = "OVER (PARTITION BY sess, fe ORDER BY seq)"
+SQL_DETAILS = (
+    "CASE WHEN cls = 2 THEN score ELSE 0 END AS classifier_score, CASE WHEN cls = 2 THEN round(entropy::DOUBLE / 65535, 9) END AS kernel_error, CASE WHEN cls = 2 THEN entropy < 50000 END AS kernel_stable, CASE WHEN cls = 2 THEN least(5, mr) END::BIGINT AS kernel_depth, "
+    + ", ".join(f"round(coalesce(last_value(CASE WHEN ok THEN {v} END IGNORE NULLS) {LIVE}, 0), 4) AS {n}" for n, v in (("mean", "mean"), ("variance", "(64 * list_sum(list_transform(l, lambda x: x * x)) - list_sum(l) * list_sum(l))::DOUBLE / 4096"), ("trend", "trend")))
+    + ", " + ", ".join(f"round(coalesce(last_value({n} IGNORE NULLS) {LIVE}, 0), 6) AS {n}" for n in ("fast", "slow", "prev_pressure"))
+)
+
+
+@query(f"WITH RECURSIVE {SQL_EVENTS}, {sql_from_events(True, True)}, j AS (SELECT *, (seq % 7) / 4.0::DOUBLE AS score FROM i), {sql_pipeline('j', 5, True)} SELECT sess AS session_id, seq, {SQL_DETAILS} FROM z")
+def pipeline_details(spark, table):
+    df = from_events(table, True, True).withColumn("score", (F.col("seq") % 7) / 4.0)
+    out = pipeline(df, Config(max_steps=5, use_gate=True), details=True)
+    return out.select("session_id", "seq", "classifier_score", F.round("kernel_error", 9).alias("kernel_error"), "kernel_stable", "kernel_depth", *(F.round(n, 4).alias(n) for n in ("mean", "variance", "trend")), *(F.round(n, 6).alias(n) for n in ("fast", "slow", "prev_pressure")))
+
+
+@query(f"""WITH {SQL_EVENTS}, a AS (SELECT event_id, user_id, ts, entropy, CASE WHEN has_bias THEN -3 WHEN entropy > 40000 THEN -2 WHEN surprise > 58000 THEN -4 ELSE 0 END AS code FROM e),
+l AS (SELECT event_id, code, list(entropy::BIGINT) OVER (PARTITION BY user_id, code = 0 ORDER BY ts, event_id ROWS 63 PRECEDING) AS l FROM a)
+SELECT event_id, code, CASE WHEN code = 0 THEN round(list_sum(l)::DOUBLE / 64, 6) END AS mean FROM l""")
+def process_synapse(spark, table):
+    """Packed records against the ring alone: an error's code, or the mean with the record taken in."""
+    values = {n: F.lit(0) for n, _, _ in S.FIELDS} | {"entropy": F.col("entropy"), "surprise": F.col("surprise"), "bias": F.col("has_bias").cast("int")}
+    low, high = S.packed(values)
+    df = events(table).select("event_id", "user_id", "ts", low.alias("low"), high.alias("high"))
+    from ..api import process_synapse as process
+
+    return process(df, ["user_id"], ORDER).select("event_id", "code", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH {SQL_EVENTS}, b AS (SELECT event_id, entropy::DOUBLE / 65535 AS r, (event_id % 16) & 7 AS bits FROM e),
+o AS (SELECT *, CASE WHEN bits & 2 = 2 THEN 1 WHEN bits & 1 = 1 THEN greatest(r, 0.9::DOUBLE + 0.001::DOUBLE) ELSE r END::DOUBLE AS r1 FROM b)
+SELECT event_id, bits::BIGINT AS bits, bits & 5 = 5 AS both_set, round(greatest(0, least(1, CASE WHEN bits & 4 = 4 THEN greatest(r1, 0.9::DOUBLE) ELSE r1 END)), 9)::DOUBLE AS risk FROM o""")
+def override_flags(spark, table):
+    bits = D.override_bits(F.col("event_id") % 16)
+    return events(table).select("event_id", bits.alias("bits"), D.contains(bits, 5).alias("both_set"), F.round(D.overridden_by(F.col("entropy") / 65535, bits, 0.9), 9).alias("risk"))
+
+
 # -- resources ------------------------------------------------------------------------------------------------------------------
 
 SQL_METRICS = "m AS (SELECT event_id, user_id, ts, (event_id * 37) % 1200 AS rss, CASE WHEN event_id % 41 = 0 THEN 0 ELSE 1000 END AS ceiling, CASE WHEN event_id % 7 > 0 THEN value / 20 END AS load, event_id * 3 AS us, event_id % 5 AS ni, event_id * 2 AS sy, event_id * 7 AS idl, event_id AS io FROM events)"
@@ -575,11 +618,11 @@ def cpu_load_delta(spark, table):
 
 @query(f"""WITH {SQL_METRICS}, c AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN rss END AS rss, ceiling, event_id % 1001 AS entropy FROM m),
 k AS (SELECT *, CASE WHEN ceiling = 0 OR rss IS NULL OR rss >= ceiling THEN -5 ELSE 0 END AS code FROM c)
-SELECT event_id, coalesce(CASE WHEN rss > 0 THEN floor(rss * 0.75)::BIGINT END, 0)::BIGINT AS ceiling_of, code, CASE WHEN code = 0 THEN entropy END AS entropy FROM k""")
+SELECT event_id, CASE WHEN code = 0 THEN round(rss::DOUBLE / ceiling, 9) ELSE 1 END::DOUBLE AS body_error, CASE WHEN code = 0 THEN floor(100 * (rss::DOUBLE / ceiling)) ELSE 100 END::INTEGER AS body_pressure, coalesce(CASE WHEN rss > 0 THEN floor(rss * 0.75)::BIGINT END, 0)::BIGINT AS ceiling_of, code, CASE WHEN code = 0 THEN entropy END AS entropy FROM k""")
 def resource_checks(spark, table):
     df = metrics(table).select("event_id", F.when(F.col("event_id") % 11 > 0, F.col("rss")).alias("rss"), "ceiling", (F.col("event_id") % 1001).alias("entropy"))
-    checked = resources.check_with_entropy(F.col("rss"), F.col("ceiling"), F.col("entropy"))
-    return df.select("event_id", resources.ceiling_of(F.col("rss"), 0.75).alias("ceiling_of"), checked["code"].alias("code"), checked["entropy"].alias("entropy"))
+    checked, body = resources.check_with_entropy(F.col("rss"), F.col("ceiling"), F.col("entropy")), resources.body_output(F.col("rss"), F.col("ceiling"))
+    return df.select("event_id", F.round(body["error"], 9).alias("body_error"), body["pressure"].alias("body_pressure"), resources.ceiling_of(F.col("rss"), 0.75).alias("ceiling_of"), checked["code"].alias("code"), checked["entropy"].alias("entropy"))
 
 
 @query(f"""WITH {SQL_EVENTS}, s AS (SELECT user_id, entropy, pressure, (event_id * 37) % 1200 AS rss, row_number() {OVER} AS n FROM e),

@@ -24,6 +24,8 @@ SIFT, MEMORY, KERNEL, DETECTION, MONITOR, BODY = 0x01, 0x02, 0x04, 0x08, 0x10, 0
 
 
 TOLERANCE = 0.15
+#: Entropy below which the kernel's output is stable.
+STABILITY = 50000
 
 
 @dataclass(frozen=True)
@@ -57,9 +59,11 @@ class Config:
         return out
 
 
-def pipeline(df: DataFrame, c: Config = Config()) -> DataFrame:
-    """session_id, seq, decision, stages, flags, oov_byte, entropy, surprise, monitor, body_pressure, step_count, risk."""
-    for name, kind in (("body_entropy", "int"), ("pressure", "int"), ("control", "string")):
+def pipeline(df: DataFrame, c: Config = Config(), details: bool = False) -> DataFrame:
+    """session_id, seq, decision, stages, flags, oov_byte, entropy, surprise, monitor, body_pressure, step_count, risk; with
+    ``details`` also classifier_score (of an optional column score; 0 for rows that end early), the kernel's output (null for
+    these), and the session's state after the row: the ring's statistics and the integrators."""
+    for name, kind in (("body_entropy", "int"), ("pressure", "int"), ("control", "string"), ("score", "double")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
     total_order = ["seq", "text", "entropy", "surprise", "has_bias", "objective", "body_entropy", "pressure", "control", "oov_byte"]
@@ -93,7 +97,7 @@ def pipeline(df: DataFrame, c: Config = Config()) -> DataFrame:
 
     unit = F.col("entropy") / T.U16
     signals = df.where((F.col("class") == 2) & ~F.col("stopped")).select("session_id", "full_epoch", "place", unit.alias("e_sift"), "e_body", F.least(F.lit(1.0), F.abs(F.col("entropy") - F.col("mean")) / T.U16).alias("e_mem"), unit.alias("e_kernel"), unit.alias("prob"), "trend", F.floor(F.col("e_body") * 100).alias("pressure"), "flags")
-    risks = pid.fold(signals, ["session_id", "full_epoch"], "place", c.gains, c.max_steps).select("session_id", "place", F.col("risk").alias("pure_risk"))
+    risks = pid.fold(signals, ["session_id", "full_epoch"], "place", c.gains, c.max_steps).select("session_id", "place", F.col("risk").alias("pure_risk"), "fast", "slow", "prev_pressure")
     df = df.join(risks, ["session_id", "place"], "left")
     risk = D.overridden(F.col("pure_risk"), F.lit(False), F.col("e_body") > 0.9, F.col("state") != "Stable", c.gains.halt_gain)
     df = df.withColumn("risk", F.when((F.col("class") == 2) & ~F.col("stopped"), risk))
@@ -104,9 +108,16 @@ def pipeline(df: DataFrame, c: Config = Config()) -> DataFrame:
     own = F.when(F.col("error").isNotNull(), SIFT | MEMORY).when(F.col("class") == 1, SIFT | MEMORY | KERNEL).otherwise(SIFT | MEMORY | KERNEL | DETECTION | MONITOR)
     stages = F.when(F.col("gated"), BODY).otherwise(own.bitwiseOR(F.when(F.col("pressed"), BODY).otherwise(0)))
     complete = F.col("class") == 2
+    more = []
+    if details:
+        so_far = Window.partitionBy("session_id", "full_epoch").orderBy("place")
+        live = lambda name, here: F.coalesce(F.last(F.when(here, F.col(name)), ignorenulls=True).over(so_far), F.lit(0.0)).alias(name)
+        folded = complete & ~F.col("stopped")
+        more = [F.when(complete, F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("classifier_score"), F.when(complete, unit).alias("kernel_error"), F.when(complete, F.col("entropy") < STABILITY).alias("kernel_stable"), F.when(complete, F.col("step_count")).alias("kernel_depth")]
+        more += [live(n, F.col("admitted")) for n in ("mean", "variance", "trend")] + [live(n, folded) for n in ("fast", "slow", "prev_pressure")]
     return df.select(
         "session_id", "seq", out.alias("decision"), stages.alias("stages"), F.when(complete, F.col("flags")).otherwise(0).alias("flags"), "oov_byte", "entropy", "surprise",
-        F.when(complete, F.col("state")).otherwise("Stable").alias("monitor"), F.when(F.col("pressed"), F.col("pressure")).alias("body_pressure"), "step_count", F.round("risk", 6).alias("risk"),
+        F.when(complete, F.col("state")).otherwise("Stable").alias("monitor"), F.when(F.col("pressed"), F.col("pressure")).alias("body_pressure"), "step_count", F.round("risk", 6).alias("risk"), *more,
     )
 
 
