@@ -130,3 +130,20 @@ def test_table(spark):
     rows = [(r.doc_id, r.text, r.source) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
     got, want = got_mix(spark, rows), plain_mix(rows)
     assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+
+
+def test_assignment_by_brute_force(spark, monkeypatch):
+    """Shard and slot of every row from all rows in order, however the ranges are cut."""
+    rows = rows_of(7, 300) + [(None, "same text of many", "x")] * 4 + [(5, "same text of many", "x")] * 3
+    for grain, samples in ((1, 1), (64, 3), (8 << 20, 16)):
+        monkeypatch.setattr(sharding, "RANGE_BYTES", grain)
+        monkeypatch.setattr(sharding, "SAMPLES", samples)
+        out = sharding.shards(spark, docs(spark, rows), 6).collect()
+        total, before, shard, slot, want = sum(r.size for r in out), 0, -1, 0, []
+        for k, i, size in sorted(((r.key, r.doc_id, r.size) for r in out), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+            own = min(5, (2 * before + size) * 6 // (2 * total))
+            slot, shard = (slot + 1 if own == shard else 0), own
+            want.append((k, i, size, shard, slot))
+            before += size
+        assert sorted((r.key, r.doc_id, r.size, r.shard, r.slot) for r in out if r.doc_id is not None) == sorted(w for w in want if w[1] is not None)
+        assert sorted(r.slot for r in out if r.doc_id is None) == sorted(w[4] for w in want if w[1] is None)
