@@ -36,7 +36,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if size < n * SMALL else df
 
 
-SMALL = 16 << 20
+SMALL = 4 << 20
 
 
 def bias_breakdown(df: DataFrame, text: str = "text") -> DataFrame:
