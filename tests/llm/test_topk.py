@@ -30,7 +30,7 @@ def run(spark, rows, k=5, every=3):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, v in (("SHARD_ROWS", 16), ("GROUP_QUERIES", 8), ("TILE_ROWS", 7), ("TILE_QUERIES", 4), ("FAN", 2)):
+    for name, v in (("SHARD_ROWS", 16), ("MOST_QUERIES", 8), ("TILE_ROWS", 7), ("TILE_QUERIES", 4), ("FAN", 2)):
         monkeypatch.setattr(topk, name, v)
 
 

@@ -9,7 +9,8 @@ Vectors that are null, or hold null or a non-finite component, take no part, nor
 couldn't name them).  A query's own row is every row of its vec_id; other repeated rows are candidates each.  Vectors
 compare with those of their own length only.  Ties go to the smaller vec_id; a query with fewer candidates than k gets
 all of them, and none if there are none.  Scores past 64 bits are ranked exactly and returned as the nearest long.
-Other columns are not read.
+Other columns are not read.  Components that fit two bytes as integers travel as such, so a vector that goes to each
+group of queries is a quarter of its doubles.
 """
 
 from __future__ import annotations
@@ -23,35 +24,46 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 SCALE = 64
-#: Rows of a shard and queries of a group: what a cell holds at most, give or take what hashing spreads.
-SHARD_ROWS, GROUP_QUERIES = 1 << 14, 1 << 10
+#: Rows of a shard, and bytes of a group of queries (as doubles): what a cell holds at most, give or take what hashing
+#: spreads.  A shard goes to every group, so groups are as large as a worker's memory allows.
+SHARD_ROWS, GROUP_BYTES, MOST_QUERIES = 1 << 13, 48 << 20, 1 << 14
 #: Rows of a tile.
 TILE_QUERIES, TILE_ROWS = 256, 1 << 12
 FAN = 16
 
-LISTS = "query_group long, shard long, query_ids binary, ids binary, scores binary"
-SCHEMA = pa.schema([("query_group", pa.int64()), ("shard", pa.int64()), ("query_ids", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())])
+LISTS = "query_group long, block long, shard long, query_ids binary, ids binary, scores binary"
+SCHEMA = pa.schema([("query_group", pa.int64()), ("block", pa.int64()), ("shard", pa.int64()), ("query_ids", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())])
 NONE = np.iinfo(np.int64).max  # of an id: no candidate
 
 
 def matrices(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length of the vectors: ids, ascending, and integer components (as float64, exact, or as Python integers)."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for column in ("small", "embedding"):
+        own_rows = t.filter(pc.is_valid(t.column(column)))
+        if not own_rows.num_rows:
+            continue
+        ids, vectors = own_rows.column("vec_id").to_numpy(), own_rows.column(column).combine_chunks()
+        starts, sizes = vectors.offsets.to_numpy()[:-1], np.diff(vectors.offsets.to_numpy())
+        flat = vectors.values.to_numpy(zero_copy_only=False)
+        for d in np.unique(sizes):
+            own = np.flatnonzero(sizes == d)
+            x = flat[starts[own][:, None] + np.arange(d)].astype(np.float64) if d else np.zeros((len(own), 0))
+            if column == "embedding":
+                with np.errstate(over="ignore"):
+                    scaled = SCALE * x
+                if d and np.isinf(scaled).any():
+                    x = np.array([[int(v) * SCALE if abs(v) > 2**60 else int(np.floor(SCALE * v)) for v in r] for r in x], object)
+                else:
+                    x = np.floor(scaled)
+            found.setdefault(int(d), []).append((ids[own], x))
     out = {}
-    if not t.num_rows:
-        return out
-    ids, vectors = t.column("vec_id").to_numpy(), t.column("embedding").combine_chunks()
-    sizes = np.diff(vectors.offsets.to_numpy())
-    flat, starts = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), vectors.offsets.to_numpy()[:-1]
-    for d in np.unique(sizes):
-        own = np.flatnonzero(sizes == d)
-        own = own[np.argsort(ids[own], kind="stable")]
-        x = flat[starts[own][:, None] + np.arange(d)] if d else np.zeros((len(own), 0))
-        with np.errstate(over="ignore"):
-            scaled = SCALE * x
-        if len(x) and d and np.isinf(scaled).any():
-            out[int(d)] = ids[own], np.array([[int(v) * SCALE if abs(v) > 2**60 else int(np.floor(SCALE * v)) for v in r] for r in x], object)
-        else:
-            out[int(d)] = ids[own], np.floor(scaled)
+    for d, parts in sorted(found.items()):
+        if any(x.dtype == object for _, x in parts):
+            parts = [(i, np.array([[int(v) for v in r] for r in x], object).reshape(x.shape)) for i, x in parts]
+        ids, x = (np.concatenate(z) for z in zip(*parts, strict=True))
+        order = np.argsort(ids, kind="stable")
+        out[d] = ids[order], x[order]
     return out
 
 
@@ -94,7 +106,7 @@ def ordered(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 def cell(k: int):
     def run(key, t):
         group, part = (x.as_py() for x in key)
-        rows = []
+        rows, block = [], 0
         left, right = matrices(t.filter(t.column("is_query"))), matrices(t.filter(pc.invert(t.column("is_query"))))
         for d, (own, q) in left.items():
             ids, x = right.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
@@ -104,13 +116,14 @@ def cell(k: int):
                     new = tile(q[a : a + TILE_QUERIES], o, x[b : b + TILE_ROWS], ids[b : b + TILE_ROWS], k)
                     lists = ordered(*(np.concatenate(p, axis=1) for p in zip(lists, new, strict=True)), k) if lists else ordered(*new, k)
                 if lists:
-                    rows.append(packed(group, part, o, *lists, k))
+                    rows.append(packed(group, block, part, o, *lists, k))
+                block += 1
         return pa.Table.from_pylist(rows, schema=SCHEMA)
 
     return run
 
 
-def packed(group: int, shard: int, own: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> dict:
+def packed(group: int, block: int, shard: int, own: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> dict:
     """Rows of exactly k entries; scores as text where they don't fit 64 bits."""
     pad = k - ids.shape[1]
     ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=NONE)
@@ -119,7 +132,7 @@ def packed(group: int, shard: int, own: np.ndarray, scores: np.ndarray, ids: np.
     if scores.dtype == object and all(abs(int(s)) < 2**62 for r in scores for s in r):
         scores = scores.astype(np.int64)
     body = b"L" + np.ascontiguousarray(scores, np.int64).tobytes() if scores.dtype != object else b"T" + " ".join(str(int(s)) for r in scores for s in r).encode()
-    return {"query_group": group, "shard": shard, "query_ids": own.astype(np.int64).tobytes(), "ids": np.ascontiguousarray(ids, np.int64).tobytes(), "scores": body}
+    return {"query_group": group, "block": block, "shard": shard, "query_ids": own.astype(np.int64).tobytes(), "ids": np.ascontiguousarray(ids, np.int64).tobytes(), "scores": body}
 
 
 def unpacked(r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,9 +143,9 @@ def unpacked(r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def merge(k: int):
-    """Merges the blocks of the same queries among those of a group of shards."""
+    """Merges the lists of one block of queries from a group of shards."""
     def run(key, t):
-        group, part = (x.as_py() for x in key)
+        group, block, part = (x.as_py() for x in key)
         lists: dict = {}
         for r in t.to_pylist():
             own, scores, ids = unpacked(r, k)
@@ -141,7 +154,7 @@ def merge(k: int):
                     before, scores = (before[0].astype(object), before[1]), scores.astype(object)
                 scores, ids = ordered(np.concatenate([before[0], scores], 1), np.concatenate([before[1], ids], 1), k)
             lists[r["query_ids"]] = scores, ids
-        return pa.Table.from_pylist([packed(group, part, np.frombuffer(q, np.int64), s, i, k) for q, (s, i) in lists.items()], schema=SCHEMA)
+        return pa.Table.from_pylist([packed(group, block, part, np.frombuffer(q, np.int64), s, i, k) for q, (s, i) in lists.items()], schema=SCHEMA)
 
     return run
 
@@ -169,8 +182,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) ->
     """query_id, rank, vec_id and score: the k best candidates of each row for which ``is_query`` holds."""
     prepare(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, groups = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // GROUP_QUERIES))
+    n, n_queries, longest = rows.agg(F.count("*"), F.count_if("is_query"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    # Components that fit two bytes as integers travel so.
+    fits = F.forall("embedding", lambda v: (v >= -512) & (v < 512))
+    small = F.when(fits, F.transform("embedding", lambda v: F.floor(v * SCALE).cast("short")))
+    rows = rows.select("vec_id", "is_query", small.alias("small"), F.when(~fits, F.col("embedding")).alias("embedding"))
+    per_group = max(1, min(MOST_QUERIES, GROUP_BYTES // (8 * max(1, longest))))
+    shards, groups = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // per_group))
 
     def deal(column: str, into: int, salt: int) -> Column:
         return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(into)).cast("long")
@@ -178,12 +196,15 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) ->
     def every(into: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(into - 1).cast("long")))
 
-    queries = rows.where("is_query").dropDuplicates(["vec_id", "embedding"]).withColumn("query_group", deal("vec_id", groups, 1)).withColumn("shard", every(shards))
-    tiles = rows.withColumn("is_query", F.lit(False)).withColumn("shard", deal("vec_id", shards, 2)).withColumn("query_group", every(groups))
-    keep = ["query_group", "shard", "is_query", "vec_id", "embedding"]
+    queries = rows.where("is_query").dropDuplicates(["vec_id", "small", "embedding"]).withColumn("query_group", deal("vec_id", groups, 1)).withColumn("shard", every(shards))
+    # Repeated ids must not all lie in one shard: what deals a candidate is its id and vector, and a row's own number where
+    # these are equal too would not be the same if a task ran again.
+    spread = F.pmod(F.xxhash64("vec_id", "small", "embedding", F.lit(2)), F.lit(shards)).cast("long")
+    tiles = rows.withColumn("is_query", F.lit(False)).withColumn("shard", spread).withColumn("query_group", every(groups))
+    keep = ["query_group", "shard", "is_query", "vec_id", "small", "embedding"]
     lists = queries.select(*keep).union(tiles.select(*keep)).groupBy("query_group", "shard").applyInArrow(cell(k), LISTS)
     left = shards
     while left > 1:
-        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN)).select("query_group", "shard", "query_ids", "ids", "scores").groupBy("query_group", "shard").applyInArrow(merge(k), LISTS)
+        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN)).select("query_group", "block", "shard", "query_ids", "ids", "scores").groupBy("query_group", "block", "shard").applyInArrow(merge(k), LISTS)
         left = -(-left // FAN)
     return lists.select("query_ids", "ids", "scores").mapInArrow(result(k), "query_id long, rank int, vec_id long, score long")
