@@ -1,10 +1,12 @@
 """Toxicity on held-out rows, license scans against full alignment, token counts against a plain dynamic program."""
 
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -225,3 +227,53 @@ def test_token_table(spark):
             if w not in known:
                 known[w] = plain_count(model, w)
         assert (r.n_words, r.n_tokens) == (len(own), sum(known[w] for w in own))
+
+
+# -- learning and assignment by brute force ------------------------------------------------------------------------------
+
+
+def plain_lexicon(docs, labels):
+    """Weights and learned exceptions, term by term over all labelled texts."""
+    toxic = {}
+    for i, t in labels:
+        if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            toxic[i] = max(t, toxic.get(i, 0))
+    around, near = {}, {}
+    texts = [(i, toxic[i], toxicity.fold(t or "").split()) for i, t in docs if i in toxic]
+    for _, y, w in texts:
+        for k, x in enumerate(w):
+            at = zlib.crc32(f"{w[k - 1] if k else ''}\0{x}\0{w[k + 1] if k + 1 < len(w) else ''}".encode())
+            for t in [f" {x} ", *(f" {x[:n]}" for n in toxicity.STEMS if n < len(x))]:
+                around.setdefault(t, (set(), set()))[y].add(at)
+    n = [max(1, sum(y == k for y in toxic.values())) for k in (0, 1)]
+    weights = {}
+    for t, (clean, bad) in around.items():
+        odds = round(math.log((len(bad) + 0.5) / (n[1] + 1)) - math.log((len(clean) + 0.5) / (n[0] + 1)), 9)
+        if len(bad) >= toxicity.LEAST_SURROUNDINGS and odds > 2 * math.sqrt(1 / (len(bad) + 0.5) + 1 / (len(clean) + 0.5)) and odds > math.log(toxicity.LEAST_ODDS) and len(clean) <= len(bad):
+            weights[t] = odds
+    best = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[: toxicity.MOST_TERMS])
+    weights = {}
+    for t, w in best.items():
+        if not any(best.get(t[: k + 1], -9.0) >= w for k in toxicity.STEMS if k + 1 < len(t)):
+            weights[t] = w
+    for i, y, w in texts:
+        for k, x in enumerate(w):
+            if any(t in weights for t in [f" {x} ", *(f" {x[:n]}" for n in toxicity.STEMS if n < len(x))]):
+                for p in ([f" {w[k - 1]} {x} "] if k else []) + ([f" {x} {w[k + 1]} "] if k + 1 < len(w) else []):
+                    near.setdefault(p, (set(), set()))[y].add(i)
+    return weights, {p for p, (clean, bad) in near.items() if not bad and len(clean) >= 5}
+
+
+def test_learning_by_brute_force(spark, monkeypatch):
+    at = "/root/testdata/sf0.01"
+    docs, labels = table(spark, at, "documents"), table(spark, at, "labels")
+    want, exceptions = plain_lexicon([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()])
+    lexicon = toxicity.learn(spark, docs, labels)
+    assert lexicon.weights == want and want
+    assert set(lexicon.exceptions) == exceptions | {toxicity.fold(e) for e in toxicity.EXCEPTIONS}
+    # Forgetting surroundings only repeats rows.
+    rows = pa.record_batch([pa.array(["a b c a b c a b c", "a b c"]), pa.array([1, 0], pa.int32())], ["text", "toxic"])
+    whole = [sorted(zip(*b.to_pydict().values(), strict=True)) for b in toxicity.occurrences(None)([rows])]
+    monkeypatch.setattr(toxicity, "SEEN", 2)
+    again = [sorted(zip(*b.to_pydict().values(), strict=True)) for b in toxicity.occurrences(None)([rows])]
+    assert [sorted(set(x)) for x in again] == whole and len(again[0]) > len(whole[0])

@@ -6,11 +6,14 @@ without accents are also looked for in the text without accents.  Hits inside an
 
 The lexicon is learned from labelled documents: of at most ``TRAIN_ROWS`` of them (those of least hash of doc_id) every
 folded word and every stem of ``STEMS`` characters that toxic documents hold in enough different surroundings, weighted
-by the log-odds of toxic against other surroundings.  Counting surroundings, not documents, keeps copies of one
-document from making its words look toxic.  Phrases of a lexicon word and a neighbour that only other documents hold
-become exceptions, beside the fixed ones.
-
-Null and empty texts get the score of no hits in no words.  Labels without doc_id or toxic are left out; of several for
+by the log-odds of toxic against other surroundings; of these the ``MOST_TERMS`` of most weight.  Counting surroundings,
+not documents, keeps copies of one document from making its words look toxic.  Phrases of a lexicon word and a neighbour
+that only other documents hold become exceptions, beside the fixed ones; of these the ``MOST_EXCEPTIONS`` most common.
+Terms are counted and chosen by Spark; what comes to the driver and is broadcast has these bounds, and a filter of terms
+a fixed size.
+
+Null and empty texts get the score of no hits in no words; very long ones are folded and searched whole; an empty table gives
+an empty result.  Ties between terms go to the lesser string.  Labels without doc_id or toxic are left out; of several for
 one doc_id the highest holds.  Repeated rows are scored each; a null doc_id is scored and not held out.  Without any
 training row the lexicon is empty and scores are the prior 0.  Other columns are never read.
 """
@@ -29,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, prepare, table, texts
+from .common import Scratch, batch, prepare, table, texts
 
-#: Labelled rows that training looks at, at most; and terms of the lexicon.
-TRAIN_ROWS, MOST_TERMS = 16_000, 5_000
+#: Labelled rows that training looks at, at most; and terms and exceptions of the lexicon.
+TRAIN_ROWS, MOST_TERMS, MOST_EXCEPTIONS = 16_000, 5_000, 5_000
+#: Bits of the filter of terms that toxic documents hold; it only spares rows, the join with the terms decides.
+FILTER = 1 << 22
+#: Surroundings that a task remembers so as not to give them twice; beyond, it gives them again, and Spark drops them.
+SEEN = 1 << 18
 FOLDS = 5
 STEMS = range(4, 11)
 #: Surroundings in which a term must stand in toxic documents, and how much likelier it must surely be there.
@@ -148,28 +155,53 @@ def surroundings(folded: str) -> Iterator[tuple[str, str, str]]:
         yield (w[i - 1] if i else ""), x, (w[i + 1] if i + 1 < len(w) else "")
 
 
-def occurrences(wanted):
-    """A function that gives term and a hash of its surroundings, once a task; of the wanted terms, or all."""
+def slot(term: str) -> int:
+    return zlib.crc32(term.encode()) & (FILTER - 1)
+
+
+def occurrences(bits):
+    """A function that gives term and a hash of its surroundings; of the terms that the filter lets pass, or all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int, int]] = set()
-        only = wanted.value if wanted else None
+        seen: set[tuple[int, int]] = set()
+        inside = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool) if bits else None
         for b in batches:
             rows: dict = {"term": [], "around": [], "toxic": []}
             for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
                 for left, word, right in surroundings(fold(text.as_py())):
-                    own = [t for t in terms(word) if only is None or t in only]
-                    if own:
-                        at = zlib.crc32(f"{left}\0{word}\0{right}".encode())
-                        for t in own:
-                            if (k := (t, at, toxic)) not in seen:
-                                seen.add(k)
-                                for c, v in zip(rows, k, strict=True):
-                                    rows[c].append(v)
+                    at = zlib.crc32(f"{left}\0{word}\0{right}".encode())
+                    if (at, toxic) in seen:  # the same word in the same place: all its terms were given
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add((at, toxic))
+                    for t in terms(word):
+                        if inside is None or inside[slot(t)]:
+                            for c, v in zip(rows, (t, at, toxic), strict=True):
+                                rows[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows["term"], pa.string()), pa.array(rows["around"], pa.int64()), pa.array(rows["toxic"], pa.int32())], ["term", "around", "toxic"])
 
     return run
 
 
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's part of the filter."""
+    bits = np.zeros(FILTER, np.uint8)
+    for b in batches:
+        for t in b.column("term").to_pylist():
+            bits[slot(t)] = 1
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array((at >> 10).astype(np.int32)), pa.array((at & 1023).astype(np.int32))], ["part", "bit"])
+
+
+def filter_of(found: DataFrame) -> bytes:
+    """The filter of the terms: FILTER bits, whatever their number."""
+    bits = np.zeros(FILTER, np.uint8)
+    parts = found.select("term").mapInArrow(marked, "part int, bit int").distinct()
+    for b in parts.toArrow().to_batches():  # FILTER rows at most
+        bits[b.column("part").to_numpy().astype(np.int64) << 10 | b.column("bit").to_numpy()] = 1
+    return np.packbits(bits).tobytes()
+
+
 def phrases(lexicon):
     """A function that gives the phrases of a lexicon word and a neighbour."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,33 +242,35 @@ def learn(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Lexic
     labelled = spark.createDataFrame(labelled.toArrow()) if labelled.take(1) else None  # TRAIN_ROWS rows at most
     if labelled is None:
         return Lexicon({}, fixed, (-30.0, 0.0, 0.0, 0.0, 0.0))
+    # One look at the whole corpus; all that follows reads these rows only.
+    scratch = Scratch(spark, "toxicity")
     train = texts(documents).join(F.broadcast(labelled), "doc_id").select("doc_id", "text", "toxic")
+    train = scratch.keep(train.repartition(max(8, sc.defaultParallelism), "doc_id"), "train")
     schema = "term string, around long, toxic int"
 
     def counts(rows: DataFrame) -> DataFrame:
         return rows.distinct().groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
 
     found = counts(train.where("toxic = 1").mapInArrow(occurrences(None), schema)).where(F.col("t") >= LEAST_SURROUNDINGS)
-    wanted = {r.term for r in found.select("term").toLocalIterator()}  # bounded by TRAIN_ROWS
-    both = counts(train.mapInArrow(occurrences(sc.broadcast(wanted)), schema)).collect() if wanted else []
+    found = scratch.keep(found.select("term"), "terms")
+    both = counts(train.mapInArrow(occurrences(sc.broadcast(filter_of(found))), schema).join(found, "term", "left_semi"))
     n_toxic = max(1, labelled.where("toxic = 1").count())
     n_clean = max(1, labelled.where("toxic = 0").count())
-    weights = {}
-    for r in both:
-        odds = np.log((r.t + 0.5) / (n_toxic + 1)) - np.log((r.c + 0.5) / (n_clean + 1))
-        sure = odds - 2.0 * np.sqrt(1 / (r.t + 0.5) + 1 / (r.c + 0.5))
-        if r.t >= LEAST_SURROUNDINGS and sure > 0 and odds > np.log(LEAST_ODDS) and r.c <= r.t:
-            weights[r.term] = float(odds)
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
+    t, c = F.col("t") + F.lit(0.5), F.col("c") + F.lit(0.5)
+    odds = F.round(F.log(t / F.lit(float(n_toxic + 1))) - F.log(c / F.lit(float(n_clean + 1))), 9)
+    sure = odds - 2 * F.sqrt(1 / t + 1 / c)
+    both = both.withColumn("odds", odds).where((F.col("t") >= LEAST_SURROUNDINGS) & (sure > 0) & (odds > float(np.log(LEAST_ODDS))) & (F.col("c") <= F.col("t")))
+    weights = {r.term: r.odds for r in both.select("term", "odds").orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()}
     # A longer stem or a word says nothing if a stem of it is in the lexicon with as much weight.
     weights = {t: w for t, w in sorted(weights.items()) if not any(weights.get(t[: k + 1], -9.0) >= w for k in STEMS if k + 1 < len(t))}
     lexicon = Lexicon(weights, fixed, ())
     near = train.mapInArrow(phrases(sc.broadcast(lexicon)), "term string, doc_id long, toxic int").groupBy("term").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("t"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("c"))
-    lexicon = lexicon._replace(exceptions=tuple(sorted({*fixed, *(r.term for r in near.where("t = 0 and c >= 5").collect())})))
+    lexicon = lexicon._replace(exceptions=tuple(sorted({*fixed, *(r.term for r in near.where("t = 0 and c >= 5").orderBy(F.desc("c"), "term").limit(MOST_EXCEPTIONS).collect())})))
     x = train.mapInArrow(featured(sc.broadcast(lexicon)), "toxic int, x array<double>").toArrow()
     rows = np.array(x.column("x").to_pylist()).reshape(-1, 5)
     order = np.lexsort(rows.T)  # the same sums whatever order the rows come in
     y = x.column("toxic").to_numpy().astype(float)[order]
+    scratch.drop(train, found)
     return lexicon._replace(model=fit(rows[order], (y > 0).astype(float)))
 
 
