@@ -42,4 +42,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_quality_rules": OP5_SQL, "op10_mixing": OP10_SQL}
+# All pairs that share a shingle, and everything reachable by links: fine for a few thousand documents.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+         lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.reached = u.a),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, c.component_id FROM s JOIN c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_mixing": OP10_SQL}
