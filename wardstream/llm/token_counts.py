@@ -11,11 +11,13 @@ pre-tokens share is computed once; a pre-token's last node holds its count.  A d
 The pieces come from a public vocabulary that lists them by rank; a piece's probability is that of its rank under
 Zipf's law.  Null and empty texts count 0.  Repeated rows and null or equal ids are rows each; other columns are not
 read; an empty table gives an empty result.  Time is linear in a text; beyond ``DEPTH`` characters a word's prefixes are
-computed but not kept, and a trie of ``MOST_NODES`` nodes is begun anew, so memory is bounded by these and by the text.
+computed but not kept, a trie of ``MOST_NODES`` nodes is begun anew, and so are the counts at ``MOST_COUNTS``; memory is
+bounded by these and by the text.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from math import log
 from typing import NamedTuple
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import batch, prepare, public_vocabulary, table, texts
 
 MARK = "▁"
-#: Characters of a pre-token whose prefixes are kept as nodes, and nodes that a task keeps.
-DEPTH, MOST_NODES = 64, 1 << 18
+#: Characters of a pre-token whose prefixes are kept as nodes, and nodes and counts that a task keeps.
+DEPTH, MOST_NODES, MOST_COUNTS = 64, 1 << 18, 1 << 19
 #: Log-probability of a byte below that of the rarest piece.
 BYTE_PENALTY = 10.0
 
@@ -51,63 +53,69 @@ def public_model(path: str | None = None) -> Model:
     return zipf([sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))])
 
 
-class Pieces:
-    """The pieces as a trie: children by character and, where a piece ends, its log-probability."""
-
-    def __init__(self, pieces: dict[str, float]):
-        self.children: list[dict[str, int]] = [{}]
-        self.weight: list[float | None] = [None]
-        for piece, p in pieces.items():
-            at = 0
-            for c in piece:
-                if c not in self.children[at]:
-                    self.children[at][c] = len(self.children)
-                    self.children.append({})
-                    self.weight.append(None)
-                at = self.children[at][c]
-            if piece:
-                self.weight[at] = p
+def piece_trie(pieces: dict[str, float]) -> dict:
+    """The pieces as a trie: by character a pair of the children (none: an empty one) and, where a piece ends, its
+    log-probability."""
+    root: dict = {}
+    for piece in sorted(pieces):
+        at = root
+        for c in piece[:-1]:
+            at = at.setdefault(c, ({}, None))[0]
+        if piece:
+            at[piece[-1]] = at.get(piece[-1], ({},))[0], pieces[piece]
+    return root
 
 
 class Node:
     __slots__ = ("children", "count", "open", "score")
 
     def __init__(self, score: float, count: int, opened: list):
-        self.score, self.count, self.open, self.children = score, count, opened, {}
+        self.score, self.count, self.open, self.children = score, count, opened, None
 
 
 class Counter:
     """Counts of pieces by pre-token, over a trie that is kept between batches."""
 
     def __init__(self, model: Model):
-        self.byte, self.pieces, self.nodes = model.byte, Pieces(model.pieces), 0
+        self.byte, self.pieces, self.nodes, self.known = model.byte, piece_trie(model.pieces), 0, {}
         self.forget()
 
     def forget(self) -> None:
-        self.root, self.kept, self.known = Node(0.0, 0, []), 0, {}
+        """Begins the trie anew; what is known of pre-tokens stays."""
+        self.root, self.kept = Node(0.0, 0, []), 0
 
     def after(self, node: Node, c: str) -> Node:
         """The node of the prefix with one more character."""
-        children, weight = self.pieces.children, self.pieces.weight
-        spelled = len(c.encode("utf-8", "surrogatepass"))
-        best, count, opened = node.score + spelled * self.byte, node.count + spelled, []
-        for score, n, at in (*node.open, (node.score, node.count, 0)):
-            to = children[at].get(c)
-            if to is None:
-                continue
-            if children[to]:
-                opened.append((score, n, to))
-            if (p := weight[to]) is not None and ((total := score + p) > best or (total == best and n + 1 < count)):
-                best, count = total, n + 1
+        before, before_n = node.score, node.count
+        spelled = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        best, count, opened = before + spelled * self.byte, before_n + spelled, []
+        for score, n, at in node.open:
+            found = at.get(c)
+            if found is not None:
+                below, p = found
+                if below:
+                    opened.append((score, n, below))
+                if p is not None and ((total := score + p) > best or (total == best and n + 1 < count)):
+                    best, count = total, n + 1
+        found = self.pieces.get(c)
+        if found is not None:
+            below, p = found
+            if below:
+                opened.append((before, before_n, below))
+            if p is not None and ((total := before + p) > best or (total == best and before_n + 1 < count)):
+                best, count = total, before_n + 1
         self.nodes += 1
         return Node(best, count, opened)
 
     def learn(self, word: bytes) -> int:
         node, text = self.root, MARK + word.decode("utf-8", "replace")
         for c in text[:DEPTH]:
-            child = node.children.get(c)
+            below = node.children
+            if below is None:
+                below = node.children = {}
+            child = below.get(c)
             if child is None:
-                child = node.children[c] = self.after(node, c)
+                child = below[c] = self.after(node, c)
                 self.kept += 1
             node = child
         for c in text[DEPTH:]:
@@ -120,7 +128,8 @@ class Counter:
         for t in texts:
             if self.kept > MOST_NODES:
                 self.forget()
-                known = self.known
+            if len(known) > MOST_COUNTS:
+                known.clear()
             own = t.split()  # of bytes: at \x20 and \x09 to \x0D only
             for w in set(own):
                 if w not in known:
@@ -135,10 +144,15 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", p
 
 def counted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model.value)
-        for b in batches:
-            n_words, n_tokens = counter([x.as_buffer().to_pybytes() for x in b.column("text")])
-            yield batch({"doc_id": b.column("doc_id"), "n_words": n_words, "n_tokens": n_tokens}, OUT)
+        counter, on = Counter(model.value), gc.isenabled()
+        gc.disable()  # the trie has no cycles, and looking through it for some takes most of the time
+        try:
+            for b in batches:
+                n_words, n_tokens = counter([x.as_buffer().to_pybytes() for x in b.column("text")])
+                yield batch({"doc_id": b.column("doc_id"), "n_words": n_words, "n_tokens": n_tokens}, OUT)
+        finally:
+            if on:
+                gc.enable()
 
     return run
 
