@@ -44,19 +44,31 @@ def test_base_spans():
 def test_long_texts_take_linear_time():
     for t in ("1" * 100_000, "a" * 100_000 + "@", "a@" * 30_000, "1." * 40_000, "+1" * 40_000, "1 " * 50_000):
         pii.base_spans(t)
-        assert len(pii.window_starts(t)) <= len(t) / pii.STEP + 2
+        assert len(pii.window_starts(pii.triggers(t))) <= len(t) / pii.STEP + 2
 
 
 def test_windows_see_triggers():
     rnd = random.Random(6)
     for _ in range(200):
         t = "".join(rnd.choice("ab cd1" if rnd.random() < 0.02 else "ab cd") for _ in range(rnd.randint(0, 900)))
-        starts = pii.window_starts(t)
+        starts = pii.window_starts(pii.triggers(t))
         assert starts == sorted(set(starts))
         for m in re.finditer("[0-9]", t):
             assert sum(s <= m.start() < s + pii.WINDOW for s in starts) == min(2, 1 + m.start() // pii.STEP)
 
 
+def test_triggers_as_one_expression():
+    """Words first, expressions where these call for them: the same places as one expression of all finds."""
+    number, at, dot = ("(?:" + "|".join(sorted(x, key=len, reverse=True)) + ")" for x in (pii.NUMBERS, pii.AT_WORDS, pii.DOT_WORDS))
+    whole = re.compile(rf"\d|[@＠]|[\[({{<]\s?{at}\s?[\])}}>]|(?<=\s){at}(?=\s)|\b{number}\b(?=[\s,.()\-–]{{1,3}}(?:\W?{dot}\W{{1,2}})?(?:{number}\b|\d))", re.I)
+    rnd = random.Random(7)
+    pool = [*pii.NUMBERS, *pii.AT_WORDS, *pii.DOT_WORDS, "ONE", "Two", "\u017feven", "ſix", "at", "AT", "[at]", "( at )", "x", "word", "7", "٣", "a@b", "＠", "stone", "fünfzig", "_one", "one_"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(pool) + rnd.choice([" ", " ", ", ", ". ", "-", "\n", " (", ") ", "  ,", "", "'"]) for _ in range(rnd.randint(0, 12)))
+        want = {i for i in range(len(t)) if whole.match(t, i)}
+        assert set(pii.triggers(t)) == want, t
+
+
 def test_gradient(monkeypatch):
     p = pii.initial(3)
     xs, ys = pii.labelled(random.Random(2), 3)
@@ -147,7 +159,7 @@ def test_one_path_of_all_windows():
     """Windows round triggers give the spans that decoding every window gives; ranges of windows tile a text."""
     p, rnd = pii.trained(), random.Random(12)
     texts = [messy(rnd) + " and of the erre " * rnd.randint(0, 12) + messy(rnd) for _ in range(150)] + ["1 " * 400, "a." * 90 + " @ " + "bc." * 60 + " com"]
-    assert list(pii.spans_of(p, texts)) == list(pii.spans_of(p, texts, starts=every_window))
+    assert list(pii.spans_of(p, texts)) == list(pii.spans_of(p, texts, every=every_window))
     for n in range(1, 200):
         ranges = [pii.owned(s, n) for s in range(0, n, pii.STEP)]
         assert [c for lo, hi in ranges for c in range(lo, hi)] == list(range(n))
@@ -160,7 +172,7 @@ def test_spelled_out_and_other_scripts():
     for form in forms:
         texts = [f"{prose[: 100 + at]} {form} {prose}" for at in range(pii.STEP)]
         gated = [spans for _, spans in pii.spans_of(p, texts)]
-        assert gated == [spans for _, spans in pii.spans_of(p, texts, starts=every_window)]
+        assert gated == [spans for _, spans in pii.spans_of(p, texts, every=every_window)]
         found = [any(s <= 104 + at and e >= 98 + at + len(form) for s, _, e in spans) for at, spans in enumerate(gated)]
         assert sum(found) >= 20, (form, sum(found))
     no = ["they met at home. Then one of them sat", "two or three at the door, at nine. Point taken", "at last. Four or five of us at work"]

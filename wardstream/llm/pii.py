@@ -51,7 +51,12 @@ _AT = re.compile(rf"[@＠]|[\[({{<]\s?{_AT_WORD}\s?[\])}}>]|(?<=\s){_AT_WORD}(?=
 _DOTTED = re.compile(rf"\w(?:\s?[.．]\s?|\s?[\[({{<]\s?(?:[.．]|{_DOT_WORD})\s?[\])}}>]\s?|\s{_DOT_WORD}\s)\w", re.I)
 _SPELLED = re.compile(rf"\b{_NUMBER}\b", re.I)
 #: What a span must hold one of: a digit of any script, an at sign or word, or a number word after which another one or a digit follows.
-TRIGGER = re.compile(rf"\d|{_AT.pattern}|\b{_NUMBER}\b(?=[\s,.()\-–]{{1,3}}(?:\W?{_DOT_WORD}\W{{1,2}})?(?:{_NUMBER}\b|\d))", re.I)
+_DIGIT, _SIGN, _IN_BRACKETS = re.compile(r"\d"), re.compile("[@＠]"), re.compile(rf"[\[({{<]\s?{_AT_WORD}\s?[\])}}>]", re.I)
+_BARE_AT = re.compile(rf"\s{_AT_WORD}(?=\s)", re.I)
+_IN_A_ROW = re.compile(rf"\b{_NUMBER}\b(?=[\s,.()\-–]{{1,3}}(?:\W?{_DOT_WORD}\W{{1,2}})?(?:{_NUMBER}\b|\d))", re.I)
+_TOKEN = re.compile(r"\w+")
+#: Letters that expressions take for others whatever their case, where lower() doesn't.
+_ODD = re.compile("[\u0130\u0131\u017f\u212a]")
 _BASE = re.compile("[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -363,13 +368,42 @@ def decoded(p: dict, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- texts -------------------------------------------------------------------------------------------------------------
 
 
-def window_starts(text: str) -> list[int]:
+def may_be_in_a_row(tokens: list[str]) -> bool:
+    """Whether a number word stands before another one or a digit, perhaps with a dot word between."""
+    last = len(tokens) - 1
+    for i, t in enumerate(tokens):
+        if t in _NUMBER_SET and i < last:
+            after = tokens[i + 1]
+            if after in _DOT_SET and i + 1 < last:
+                after = tokens[i + 2]
+            if after in _NUMBER_SET or after[0].isdecimal():
+                return True
+    return False
+
+
+_NUMBER_SET, _DOT_SET, _AT_SET = frozenset(NUMBERS), frozenset(DOT_WORDS), frozenset(AT_WORDS)
+
+
+def triggers(text: str) -> list[int]:
+    """Where a span may hold what it must; the slower expressions only where the text's words call for them."""
+    out = [m.start() for m in _DIGIT.finditer(text)]
+    out += [m.start() for m in _SIGN.finditer(text)]
+    odd, tokens = bool(_ODD.search(text)), _TOKEN.findall(text.lower())
+    if odd or not _AT_SET.isdisjoint(tokens):
+        out += [m.start() for m in _IN_BRACKETS.finditer(text)]
+        out += [m.start() + 1 for m in _BARE_AT.finditer(text)]
+    if odd or may_be_in_a_row(tokens):
+        out += [m.start() for m in _IN_A_ROW.finditer(text)]
+    return sorted(out)
+
+
+def window_starts(found: list[int]) -> list[int]:
     """Starts of overlapping windows that see every trigger with its surroundings."""
     out: list[int] = []
-    for m in TRIGGER.finditer(text):
-        first = max(0, (m.start() - WINDOW + 1 + STEP - 1) // STEP * STEP)
+    for at in found:
+        first = max(0, (at - WINDOW + 1 + STEP - 1) // STEP * STEP)
         s = first if not out else max(first, out[-1] + STEP)
-        while s <= m.start():
+        while s <= at:
             out.append(s)
             s += STEP
     return out
@@ -413,7 +447,7 @@ def missing(n: int, seen: dict[int, tuple[np.ndarray, np.ndarray]], reach: int)
     return sorted(out - seen.keys())
 
 
-def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int, int, int]]:
+def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]], found: list[int]) -> list[tuple[float, int, int, int]]:
     """(confidence, start, kind, end) of the spans of the text's one path, each character of it from the window where it
     is most central.  Spans of a kind (addresses of mail, or numbers) that meet where the windows change are one;
     of cards and phones the digits' count decides where the model's kind can't be."""
@@ -432,7 +466,7 @@ def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> lis
             else:
                 runs.append([at, kind, at + 1, float(margin[at - s])])
         before = hi
-    out, triggers = [], [m.start() for m in TRIGGER.finditer(text)] if runs else []
+    out = []
     for a, kind, b, total_margin in runs:
         c = total_margin / (b - a)
         while a < b and text[a].isspace():
@@ -441,7 +475,7 @@ def candidates(text: str, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> lis
             b -= 1
         if a < b and kind >= 2 and not plausible(kind, text[a:b]):
             kind = 5 - kind
-        if a < b and c >= CONFIDENCE and plausible(kind, text[a:b]) and (k := bisect_left(triggers, a)) < len(triggers) and triggers[k] < b:
+        if a < b and c >= CONFIDENCE and plausible(kind, text[a:b]) and (k := bisect_left(found, a)) < len(found) and found[k] < b:
             out.append((-c, a, kind, b))
     return sorted(out)
 
@@ -467,11 +501,12 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def spans_of(p: dict, batch_texts: list[str], at_once: int = 2048, starts: Callable[[str], list[int]] = window_starts) -> Iterator[tuple[list, list]]:
+def spans_of(p: dict, batch_texts: list[str], at_once: int = 2048, every: Callable[[str], list[int]] | None = None) -> Iterator[tuple[list, list]]:
     """Base spans and all spans of each text.  Windows round what a span must hold are decoded first, then, as far as a
-    span goes on, the next ones; so all spans are those that decoding every window would give."""
+    span goes on, the next ones; so all spans are those that decoding every window (``every`` gives their starts) would give."""
     seen: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in batch_texts]
-    queue, reach = [(i, s) for i, t in enumerate(batch_texts) for s in starts(t)], 1
+    found = [triggers(t) for t in batch_texts]
+    queue, reach = [(i, s) for i, t in enumerate(batch_texts) for s in (every(t) if every else window_starts(found[i]))], 1
     while queue:
         for lo in range(0, len(queue), at_once):
             part = queue[lo : lo + at_once]
@@ -486,9 +521,9 @@ def spans_of(p: dict, batch_texts: list[str], at_once: int = 2048, starts: Calla
         touched = sorted({i for i, _ in queue})
         queue = [(i, s) for i in touched for s in missing(len(batch_texts[i]), seen[i], reach)]
         reach *= 2
-    for t, own in zip(batch_texts, seen, strict=True):
+    for t, own, at in zip(batch_texts, seen, found, strict=True):
         base = base_spans(t)
-        yield base, reconciled(base, candidates(t, own)) if own else base
+        yield base, reconciled(base, candidates(t, own, at)) if own else base
 
 
 OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
