@@ -92,3 +92,15 @@ def test_strict_and_passed(spark):
 
 def test_config_warnings():
     assert [w.split()[0] for w in Config().warnings()] == ["halt_entropy", "escalate_entropy"]
+
+
+def test_long_sessions(spark, monkeypatch):
+    """Folded in the row, or apart and joined back: the same results and states."""
+    from wardstream.operators import pid
+
+    df = spark.createDataFrame([(*r, 0) for r in observations(5)], sessions.INPUT + ", oov_byte int")
+    config = Config(max_steps=20, use_gate=True, policy=D.Policy(dal="B"))
+    names = ("session_id", "seq", "decision.label", "risk", "round(fast, 9) AS fast", "round(slow, 9) AS slow", "prev_pressure", "round(trend, 9) AS trend")
+    a = sorted(map(tuple, pipeline(df, config, details=True).selectExpr(*names).collect()), key=str)
+    monkeypatch.setattr(pid, "MOST_IN_ROW", 5)
+    assert sorted(map(tuple, pipeline(df, config, details=True).selectExpr(*names).collect()), key=str) == a

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STUCK, DRIFTING, LOW_CONFIDENCE, DECAYING, ANOMALY, ADVERSARIAL = 1, 2, 4, 8, 16, 32
@@ -44,8 +44,9 @@ def _clamp(x: str) -> str:
     return f"greatest(0D, least(1D, {x}))"
 
 
-def _step(g: Gains) -> str:
-    """SQL of the state after a row: s is the state (a fast, c slow, p the last pressure), r the row."""
+def _step(g: Gains, keep: bool = True) -> str:
+    """SQL of the state after a row: s is the state (a fast, c slow, p the last pressure; and all rows' results, or the
+    last row's risk), r the row."""
     bind = lambda name, value, inner: f"element_at(transform(array({value}), {name} -> {inner}), 1)"
     signals = "named_struct(" + ", ".join(f"'{n}', {_clamp(e)}" for n, e in (("x", "r.e_sift"), ("b", "r.e_body"), ("m", "r.e_mem"), ("q", "r.e_kernel"), ("f", "r.prob"), ("t", "abs(r.trend / 65535D)"), ("p", "r.pressure / 100D"))) + ")"
     def gain(value: float, flag: int, by: float, other: tuple[int, float] | None = None) -> str:
@@ -57,10 +58,13 @@ def _step(g: Gains) -> str:
     fast = f"CASE WHEN ({est}) < {g.halt_gain!r}D THEN {_clamp('0.9D * s.a + ' + _clamp('v.x + 0.5D * v.b + 0.3D * v.q'))} ELSE s.a * 0.999D END"
     slow = f"CASE WHEN ({est}) < {g.halt_gain!r}D THEN {_clamp(repr(g.slow_decay) + 'D * s.c + ' + _clamp('v.x + 0.5D * v.m + 0.3D * v.q'))} ELSE s.c * 0.999D END"
     risk = _clamp("k.kp * v.p + k.kif * n.a + k.kis * n.c + k.kd * v.t + k.kf * v.f")
+    if not keep:
+        return bind("v", signals, bind("k", gains, bind("n", f"named_struct('a', {fast}, 'c', {slow})", f"CAST(named_struct('a', n.a, 'c', n.c, 'p', v.p, 'risk', {risk}) AS {LAST})")))
     state = f"named_struct('a', n.a, 'c', n.c, 'p', v.p, 'out', concat(s.out, array(named_struct('seq', r.seq, 'risk', {risk}, 'fast', n.a, 'slow', n.c, 'pressure', v.p))))"
     return bind("v", signals, bind("k", gains, bind("n", f"named_struct('a', {fast}, 'c', {slow})", f"CAST({state} AS {STATE})")))
 
 
+LAST = "struct<a: double, c: double, p: double, risk: double>"
 STATE = "struct<a: double, c: double, p: double, out: array<struct<seq: bigint, risk: double, fast: double, slow: double, pressure: double>>>"
 
 
@@ -68,6 +72,14 @@ STATE = "struct<a: double, c: double, p: double, out: array<struct<seq: bigint,
 MOST_IN_ROW = 256
 
 
+def after(rows: str, gains: Gains = Gains()) -> Column:
+    """The state (fast, slow, prev_pressure) and risk after the rows of an array of structs of SIGNALS and flags, in its
+    order; the risk is null where there are none."""
+    start = f"CAST(named_struct('a', 0D, 'c', 0D, 'p', 0D, 'risk', NULL) AS {LAST})"
+    state = f"aggregate({rows}, {start}, (s, r) -> {_step(gains, keep=False)})"
+    return F.expr(f"element_at(transform(array({state}), x -> named_struct('fast', x.a, 'slow', x.c, 'prev_pressure', x.p, 'risk', x.risk)), 1)")
+
+
 def unit(x: float | None) -> float:
     return 1.0 if x is None else max(0.0, min(1.0, x))
 

@@ -5,7 +5,8 @@ surprise, has_bias and the other columns.  Null signals of the sifter are not ex
 
 Input rows: session_id, seq, text, objective, entropy, surprise, has_bias, probability, oov_byte; optionally
 body_entropy and pressure (both null: no pressure path) and control (reset_detectors or reset_full, which take effect
-before their own row, or end, after which the session begins anew).  All windows share the session's partitioning, so there is one shuffle besides the fold's and the join of its results.
+before their own row, or end, after which the session begins anew).  All windows share the session's partitioning, so there is one
+shuffle, unless a session may be longer than a row can carry: then the fold has its own, and its results are joined.
 """
 
 from __future__ import annotations
@@ -96,25 +97,33 @@ def pipeline(df: DataFrame, c: Config = Config(), details: bool = False) -> Data
     df = df.withColumn("stopped", (F.col("class") == 2) & F.lit(c.use_gate) & (F.col("gate.severity") == 3))
 
     unit = F.col("entropy") / T.U16
-    signals = df.where((F.col("class") == 2) & ~F.col("stopped")).select("session_id", "full_epoch", "place", unit.alias("e_sift"), "e_body", F.least(F.lit(1.0), F.abs(F.col("entropy") - F.col("mean")) / T.U16).alias("e_mem"), unit.alias("e_kernel"), unit.alias("prob"), "trend", F.floor(F.col("e_body") * 100).alias("pressure"), "flags")
-    risks = pid.fold(signals, ["session_id", "full_epoch"], "place", c.gains, c.max_steps).select("session_id", "place", F.col("risk").alias("pure_risk"), "fast", "slow", "prev_pressure")
-    df = df.join(risks, ["session_id", "place"], "left")
+    complete, so_far = F.col("class") == 2, Window.partitionBy("session_id", "full_epoch").orderBy("place")
+    folded = complete & ~F.col("stopped")
+    signals = {"e_sift": unit, "e_body": F.col("e_body"), "e_mem": F.least(F.lit(1.0), F.abs(F.col("entropy") - F.col("mean")) / T.U16), "e_kernel": unit, "prob": unit, "trend": F.col("trend"), "pressure": F.floor(F.col("e_body") * 100).cast("double")}
+    if c.max_steps <= pid.MOST_IN_ROW:
+        # So few rows of a session are folded that each row carries those up to it; nothing is joined back.
+        row = F.when(folded, F.struct(*(v.cast("double").alias(n) for n, v in signals.items()), F.col("flags").alias("flags")))
+        df = df.withColumn("rows", F.collect_list(row).over(so_far.rowsBetween(Window.unboundedPreceding, 0))).withColumn("pid", pid.after("rows", c.gains)).drop("rows")
+        df = df.withColumns({"pure_risk": F.col("pid.risk"), "fast": F.col("pid.fast"), "slow": F.col("pid.slow"), "prev_pressure": F.col("pid.prev_pressure")})
+    else:
+        rows = df.where(folded).select("session_id", "full_epoch", "place", "flags", *(v.alias(n) for n, v in signals.items()))
+        risks = pid.fold(rows, ["session_id", "full_epoch"], "place", c.gains).select("session_id", "place", F.col("risk").alias("pure_risk"), "fast", "slow", "prev_pressure")
+        df = df.join(risks, ["session_id", "place"], "left")
+        if details:
+            df = df.withColumns({n: F.coalesce(F.last(F.when(folded, F.col(n)), ignorenulls=True).over(so_far), F.lit(0.0)) for n in ("fast", "slow", "prev_pressure")})
     risk = D.overridden(F.col("pure_risk"), F.lit(False), F.col("e_body") > 0.9, F.col("state") != "Stable", c.gains.halt_gain)
-    df = df.withColumn("risk", F.when((F.col("class") == 2) & ~F.col("stopped"), risk))
+    df = df.withColumn("risk", F.when(folded, risk))
     level = F.col("pressure")
     out = F.when(F.col("gated"), D.with_pressure(F.col("body_entropy"), F.lit(0), F.lit(False), level, c.policy))
     out = out.when(F.col("error") == -3, D.halt("BiasHaloDetected")).when(F.col("error") == -2, D.halt("CognitiveInstability")).when(F.col("error") == -4, D.escalate("hallucination"))
     out = out.when(F.col("class") == 1, D.escalate("reasoning depth exceeded", 10000)).when(F.col("stopped"), F.col("gate")).otherwise(D.from_risk(F.col("risk"), c.gains.warn_gain, c.gains.halt_gain))
     own = F.when(F.col("error").isNotNull(), SIFT | MEMORY).when(F.col("class") == 1, SIFT | MEMORY | KERNEL).otherwise(SIFT | MEMORY | KERNEL | DETECTION | MONITOR)
     stages = F.when(F.col("gated"), BODY).otherwise(own.bitwiseOR(F.when(F.col("pressed"), BODY).otherwise(0)))
-    complete = F.col("class") == 2
     more = []
     if details:
-        so_far = Window.partitionBy("session_id", "full_epoch").orderBy("place")
         live = lambda name, here: F.coalesce(F.last(F.when(here, F.col(name)), ignorenulls=True).over(so_far), F.lit(0.0)).alias(name)
-        folded = complete & ~F.col("stopped")
         more = [F.when(complete, F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("classifier_score"), F.when(complete, unit).alias("kernel_error"), F.when(complete, F.col("entropy") < STABILITY).alias("kernel_stable"), F.when(complete, F.col("step_count")).alias("kernel_depth")]
-        more += [live(n, F.col("admitted")) for n in ("mean", "variance", "trend")] + [live(n, folded) for n in ("fast", "slow", "prev_pressure")]
+        more += [live(n, F.col("admitted")) for n in ("mean", "variance", "trend")] + [F.col(n) for n in ("fast", "slow", "prev_pressure")]
     return df.select(
         "session_id", "seq", out.alias("decision"), stages.alias("stages"), F.when(complete, F.col("flags")).otherwise(0).alias("flags"), "oov_byte", "entropy", "surprise",
         F.when(complete, F.col("state")).otherwise("Stable").alias("monitor"), F.when(F.col("pressed"), F.col("pressure")).alias("body_pressure"), "step_count", F.round("risk", 6).alias("risk"), *more,
