@@ -13,13 +13,15 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
 4. Members of one subset's list link with its smallest member or with none.  In each other list a few central members
    are compared with those of other components; links make components; two or three such rounds make one component
    of a large group of near copies without making its pairs.
-5. Lists that still hold several components have the pairs across them looked at, by sizes and places first.  In
-   lists of more than ``SHORT`` entries that goes only for members unlike the list's member p of most links; those like it, by
-   how many lists they share, are taken apart by *differences* from p: with D(x) the symmetric difference of x and p,
-   and E(x) = 7 |D(x)| - |x|, sets x and y link exactly if E(x) + E(y) <= 14 |D(x) & D(y)|.  The member of least E settles all
-   pairs with a sum of 0 or less; others must share a difference, so each is listed under the first differences of its own
-   (rare ones first), and only pairs of different components in such a list, at places that still allow it, are
-   compared.  What all members have in common is in no such list.  So a pair that is in no list together cannot link, and
+5. Lists that still hold several components have the pairs across them looked at, by sizes and places first, if
+   they have no more than ``SHORT`` entries.  Longer ones are taken apart by *differences* from their member p of most links.
+   With D(x) the symmetric difference of x and p, and E(x) = 7 |D(x)| - |x|, sets x and y link exactly if
+   E(x) + E(y) <= 14 |D(x) & D(y)|.  The member of least E settles all pairs with a sum of 0 or less; of the others two that are
+   near p must share a difference, so each is listed under the first differences of its own (rare ones first).  A set that
+   shares less with p than any partner must share with it has to share shingles besides p's, so it is listed under the
+   first of these, and near ones under all of theirs, which are few.  Only pairs of different components in such a list,
+   at places that still allow it, are compared.  What all members have in common, the core of a group of near copies or a
+   passage in otherwise different texts, is in no such list.  So a pair that is in no list together cannot link, and
    every pair within a list is compared, excluded by a bound or already connected.
 
 The sets of listed nodes are written once, in buckets by node, with the parities of their slots; all comparisons read
@@ -307,12 +309,6 @@ def may_link(a: str, b: str, boundary: int) -> Column:
     return (F.greatest(s, t) > boundary) & (F.least(s - i, t - j) >= least_both(s, t))
 
 
-def least_shared(s: Column, t: Column) -> Column:
-    """So many of their first shingles two linked sets share: the one whose last such shingle comes first in the order
-    has no more than its other shingles to share besides."""
-    return least_both(s, t) - F.ceil(NUM * F.greatest(s, t) / F.lit(DEN)) + 1
-
-
 def marks(t: pa.Table) -> pa.Table:
     """A part of the filter of nodes: one bit for each slot that occurs."""
     part = int(t.column("part")[0].as_py())
@@ -472,80 +468,96 @@ def one_against_all(both: DataFrame, boundary: int) -> DataFrame:
 
 
 def across(both: DataFrame, boundary: int) -> DataFrame:
-    """All pairs (a, b) of different components that are in a list together and may link, but those of two members near p."""
-    other = both.where(F.col("x.root") != F.col("p.root")).select("key", F.col("x").alias("y"), F.col("near").alias("y_near"))
-    pairs = other.join(both.select("key", "x", "near", (F.col("x.root") == F.col("p.root")).alias("main")), "key")
-    pairs = pairs.where((F.col("x.root") != F.col("y.root")) & (F.col("main") | (F.col("x.node") < F.col("y.node"))) & ~(F.col("near") & F.col("y_near")) & may_link("x", "y", boundary))
+    """All pairs (a, b) of different components that are in a list together and may link."""
+    other = both.where(F.col("x.root") != F.col("p.root")).select("key", F.col("x").alias("y"))
+    pairs = other.join(both.select("key", "x", (F.col("x.root") == F.col("p.root")).alias("main")), "key")
+    pairs = pairs.where((F.col("x.root") != F.col("y.root")) & (F.col("main") | (F.col("x.node") < F.col("y.node"))) & may_link("x", "y", boundary))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def near_pivots(both: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds near: whether x is in so many of the long lists of their member p as makes it worth looking at its differences."""
-    shared = both.where(F.col("n") > SHORT).groupBy(F.col("p.node").alias("near_p"), F.col("x.node").alias("near_x")).agg(F.count("*").alias("lists"), F.first("x.size").alias("s"), F.first("p.size").alias("t"))
-    shared = scratch.keep(shared.where(2 * F.col("lists") >= least_shared(F.col("s"), F.col("t"))).select("near_p", "near_x"), "near")
-    long = both.where(F.col("n") > SHORT).join(shared, (F.col("p.node") == F.col("near_p")) & (F.col("x.node") == F.col("near_x")), "left")
-    long = long.select(*both.columns, F.col("near_p").isNotNull().alias("near"))
-    return scratch.keep(both.where(F.col("n") <= SHORT).withColumn("near", F.lit(False)).union(long), "unsettled")
-
-
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each node in a group: its set's size and how many shingles it and the group's member p don't share."""
+    """Of each node in a group: its set's size, how many shingles it shares with the group's member p, and how many only
+    one of the two has."""
     for b in batches:
-        size, far = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+        size, both, far = (np.zeros(len(b), np.int64) for _ in range(3))
         for i, (x, p) in enumerate(zip(b.column("sb"), b.column("sa"), strict=True)):
             x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
-            size[i], far[i] = len(x), len(x) + len(p) - 2 * len(np.intersect1d(x, p, assume_unique=True))
-        yield pa.RecordBatch.from_arrays([b.column("p"), b.column("node"), pa.array(size), pa.array(far)], ["p", "node", "size", "far"])
+            size[i], both[i] = len(x), len(np.intersect1d(x, p, assume_unique=True))
+            far[i] = len(x) + len(p) - 2 * both[i]
+        yield pa.RecordBatch.from_arrays([b.column("p"), b.column("node"), pa.array(size), pa.array(both), pa.array(far)], ["p", "node", "size", "both", "far"])
+
+
+POSTED = ["root", "main", "near", "e", "far", "size", "both", "node"]
 
 
 def first_differences(weights):
-    """A function that lists a node under its first differences from p, as many as hold one that a partner must share:
-    rare ones of its own first, then what p has of common ones; last what p alone has or lacks."""
-    names = ["key", "node", "root", "main", "e", "far", "pos"]
+    """A function that lists a node under its first differences from p.
 
+    Near ones by all differences (``need`` is what a near partner must share of them; null: there is none): rare shingles of
+    their own first, then what p has of common ones, last what p alone has or lacks.  All by what p lacks (``own``): far ones
+    by as many as their prefix has, near ones by all, which are few.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
+
+        def weight(x: np.ndarray) -> np.ndarray:
+            return w[(x & U(SLOTS - 1)).astype(np.int64)].astype(np.int64)
+
         for b in batches:
-            rows: list[np.ndarray] = []
-            keys: list[np.ndarray] = []
+            rows, keys = [np.zeros((3, 0), np.int64)], [np.zeros(0, np.uint64)]
             for i, (x, p) in enumerate(zip(b.column("sb"), b.column("sa"), strict=True)):
                 x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
                 more, less = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-                wp = w[(p & U(SLOTS - 1)).astype(np.int64)].max(initial=0).astype(np.int64)
-                rank = np.r_[w[(more & U(SLOTS - 1)).astype(np.int64)].astype(np.int64), 1 + wp - w[(less & U(SLOTS - 1)).astype(np.int64)]]
-                both = np.r_[more, less]
-                both = both[np.lexsort((both, rank))][: len(both) - b.column("need")[i].as_py() + 1]
-                keys.append(mix(both ^ mix(np.array([b.column("p")[i].as_py()]).view(np.uint64), 5), 6))
-                rows.append(np.stack([np.full(len(both), i), np.arange(len(both))]))
-            if not rows:
-                continue
-            row, pos = np.concatenate(rows, axis=1)
-            taken = [b.column(c).take(pa.array(row)) for c in names[1:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *taken, pa.array(pos)], names)
+                salt, need = mix(np.array([b.column("p")[i].as_py()]).view(np.uint64), 5), b.column("need")[i].as_py()
+                own = more[np.lexsort((more, weight(more)))][: None if b.column("near")[i].as_py() else prefix(len(x))]
+                parts = [(own, 7, 1)]
+                if need is not None and need <= len(more) + len(less):
+                    every, rank = np.r_[more, less], np.r_[weight(more), 1 + weight(p).max(initial=0) - weight(less)]
+                    parts.append((every[np.lexsort((every, rank))][: len(every) - need + 1], 6, 0))
+                for found, seed, is_own in parts:
+                    keys.append(mix(found ^ salt, seed))
+                    rows.append(np.stack([np.full(len(found), i), np.arange(len(found)), np.full(len(found), is_own)]))
+            row, pos, is_own = np.concatenate(rows, axis=1)
+            taken = [b.column(c).take(pa.array(row)) for c in POSTED]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(pos), pa.array(is_own.astype(bool)), *taken], ["key", "pos", "own", *POSTED])
 
     return run
 
 
-def by_differences(both: DataFrame, sets: DataFrame, links: DataFrame, weights, scratch: Scratch) -> DataFrame:
+def by_differences(both: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFrame | None, weights, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect what is in a list together (x, with its member p), found by differences from p."""
     groups = both.select(F.col("p.node").alias("p"), F.col("x.node").alias("node")).distinct()
-    far = scratch.keep(with_sets(groups, sets, "p", "node").mapInArrow(apart, "p long, node long, size long, far long"), "apart").withColumn("e", 7 * F.col("far") - F.col("size"))
-    least = far.groupBy("p").agg(F.min(F.struct("e", "node")).alias("m"))
-    free = far.join(least, "p").where((F.col("e") + F.col("m.e") <= 0) & (F.col("node") != F.col("m.node")))
+    d = scratch.keep(with_sets(groups, sets, "p", "node").mapInArrow(apart, "p long, node long, size long, both long, far long"), "apart").withColumn("e", 7 * F.col("far") - F.col("size"))
+    least = d.groupBy("p").agg(F.min(F.struct("e", "node")).alias("m"))
+    free = d.join(least, "p").where((F.col("e") + F.col("m.e") <= 0) & (F.col("node") != F.col("m.node")))
     free = scratch.keep(free.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct(), "free")
     roots = components(links.union(free), scratch)
 
-    far = scratch.keep(far.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = far.groupBy("p").agg(F.min(F.struct("e", "node", "root")).alias("m"))
-    other = far.join(least, "p").where(F.col("root") != F.col("m.root")).groupBy("p").agg(F.min("e").alias("o"), F.first("m").alias("m"))
-    far = far.join(scratch.keep(other, "others"), "p").withColumn("main", F.col("root") == F.col("m.root"))
-    far = far.withColumn("need", F.ceil((F.col("e") + F.when(F.col("main"), F.col("o")).otherwise(F.col("m.e"))) / F.lit(14))).where("need <= far")
-    posts = with_sets(far.select("p", "node", "root", "main", "e", "far", "need"), sets, "p", "node")
-    posts = scratch.keep(posts.mapInArrow(first_differences(weights), "key long, node long, root long, main boolean, e long, far long, pos long"), "differences")
-    x, y = posts.alias("x"), posts.where("not main").alias("y")
-    room = F.least(F.col("x.far") - F.col("x.pos"), F.col("y.far") - F.col("y.pos"))
-    pairs = y.join(x, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & (F.col("x.main") | (F.col("x.node") < F.col("y.node"))) & (room >= F.ceil((F.col("x.e") + F.col("y.e")) / F.lit(14))))
-    pairs = scratch.keep(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "candidates")
+    # Near: so much is shared with p that what a partner must share may all be p's.
+    d = d.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("near", F.col("both") >= F.ceil(NUM * F.col("size") / F.lit(DEN)))
+    d = scratch.keep(d, "rooted")
+    near = d.where("near")
+    least = near.groupBy("p").agg(F.min(F.struct("e", "node", "root")).alias("m"))
+    other = near.join(least, "p").where(F.col("root") != F.col("m.root")).groupBy("p").agg(F.min("e").alias("o"))
+    left = d.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("p")
+    left = scratch.keep(left.join(least, "p").join(other, "p", "left"), "groups")
+    d = d.join(left, "p").withColumn("main", F.col("root") == F.col("m.root"))
+    need = F.when(F.col("near"), F.ceil((F.col("e") + F.when(F.col("main"), F.col("o")).when(F.col("o").isNotNull(), F.col("m.e"))) / F.lit(14)))
+    posts = with_sets(d.withColumn("need", need).select("p", *POSTED, "need"), sets, "p", "node")
+    posts = scratch.keep(posts.mapInArrow(first_differences(weights), "key long, pos long, own boolean, root long, main boolean, near boolean, e long, far long, size long, both long, node long"), "differences")
+
+    def meet(x: DataFrame, y: DataFrame, shared, whole, once) -> DataFrame:
+        room = F.least(whole("x") - F.col("x.pos"), whole("y") - F.col("y.pos"))
+        pairs = y.alias("y").join(x.alias("x"), F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & (once | (F.col("x.node") < F.col("y.node"))) & (room >= shared))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    by_all = posts.where("not own")
+    pairs = meet(by_all, by_all.where("not main"), F.ceil((F.col("x.e") + F.col("y.e")) / F.lit(14)), lambda x: F.col(f"{x}.far"), F.col("x.main"))
+    # Of a pair with a far member, at least so many shared shingles are not p's.
+    by_own = posts.where("own")
+    rest = F.greatest(F.lit(1), least_both(F.col("x.size"), F.col("y.size")) - F.least("x.both", "y.both"))
+    pairs = pairs.union(meet(by_own, by_own.where("not near"), rest, lambda x: F.col(f"{x}.size") - F.col(f"{x}.both"), F.col("x.near"))).distinct()
+    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "candidates")
     return free.union(linked(sets, pairs, scratch))
 
 
@@ -605,12 +617,12 @@ def classes(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataF
             roots = components(links, scratch)
             if new.count() < WORTH * links.count():
                 break
-        both = near_pivots(unsettled(placed(lists_left, roots, links), [F.struct(-F.col("x.n_links"), F.xxhash64("x.node"))], scratch), scratch)
-        rest = across(both, boundary)
+        both = unsettled(placed(lists_left, roots, links), [F.struct(-F.col("x.n_links"), F.xxhash64("x.node"))], scratch)
+        rest = across(both.where(F.col("n") <= SHORT), boundary)
         rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti") if tried else rest, "rest")
-        last = [links, linked(listed, rest, scratch)]
-        if both.where("near").take(1):
-            last.append(scratch.keep(by_differences(both.where("near"), listed, links, weights, scratch), "links"))
+        last, long = [links, linked(listed, rest, scratch)], both.where(F.col("n") > SHORT)
+        if long.take(1):
+            last.append(scratch.keep(by_differences(long, listed, links, tried, weights, scratch), "links"))
         roots = components(reduce(DataFrame.union, last), scratch)
     scratch.drop(found, both)
 
