@@ -405,13 +405,19 @@ def linked(sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(with_sets(left, sets, "a", "b").mapInArrow(compare, "a long, b long"), "links")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node and root, the least node it is connected with; large-star and small-star in turn until nothing changes."""
+def components(edges: DataFrame, scratch: Scratch, before: DataFrame | None = None) -> DataFrame:
+    """node and root, the least node it is connected with; large-star and small-star in turn until nothing changes.  With
+    the components of earlier edges only their roots are connected anew, if the edges connect any."""
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    own = edges.select("a", "b")
+    for c in ("a", "b") if before is not None else ():
+        own = own.join(before.select(F.col("node").alias(c), F.col("root").alias("__root")), c, "left").withColumn(c, F.coalesce("__root", c)).drop("__root")
+    now = scratch.keep(own.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = mark(now)
+    if not state[0] and before is not None:
+        return before
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -419,12 +425,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = scratch.keep(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        before, now = now, scratch.keep(small, "small")
-        scratch.drop(before, large)
+        last, now = now, scratch.keep(small, "small")
+        scratch.drop(last, large)
         if (new := mark(now)) == state:
             break
         state = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if before is None:
+        return roots
+    moved = before.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return scratch.keep(moved.select("node", F.coalesce("to", "root").alias("root")).union(roots), "roots")
 
 
 def by_subsets(found: DataFrame) -> DataFrame:
@@ -524,14 +534,14 @@ def first_differences(weights):
     return run
 
 
-def by_differences(both: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFrame | None, weights, scratch: Scratch) -> DataFrame:
+def by_differences(both: DataFrame, sets: DataFrame, roots: DataFrame, tried: DataFrame | None, weights, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect what is in a list together (x, with its member p), found by differences from p."""
     groups = both.select(F.col("p.node").alias("p"), F.col("x.node").alias("node")).distinct()
     d = scratch.keep(with_sets(groups, sets, "p", "node").mapInArrow(apart, "p long, node long, size long, both long, far long"), "apart").withColumn("e", 7 * F.col("far") - F.col("size"))
     least = d.groupBy("p").agg(F.min(F.struct("e", "node")).alias("m"))
     free = d.join(least, "p").where((F.col("e") + F.col("m.e") <= 0) & (F.col("node") != F.col("m.node")))
     free = scratch.keep(free.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct(), "free")
-    roots = components(links.union(free), scratch)
+    roots = components(free, scratch, roots)
 
     # Near: so much is shared with p that what a partner must share may all be p's.
     d = d.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("near", F.col("both") >= F.ceil(NUM * F.col("size") / F.lit(DEN)))
@@ -614,16 +624,16 @@ def classes(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataF
             new = linked(listed, pairs, scratch)
             tried = scratch.keep(tried.union(pairs), "tried") if tried else pairs
             links = scratch.keep(links.union(new), "links")
-            roots = components(links, scratch)
+            roots = components(new, scratch, roots)
             if new.count() < WORTH * links.count():
                 break
         both = unsettled(placed(lists_left, roots, links), [F.struct(-F.col("x.n_links"), F.xxhash64("x.node"))], scratch)
         rest = across(both.where(F.col("n") <= SHORT), boundary)
         rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti") if tried else rest, "rest")
-        last, long = [links, linked(listed, rest, scratch)], both.where(F.col("n") > SHORT)
+        last, long = [linked(listed, rest, scratch)], both.where(F.col("n") > SHORT)
         if long.take(1):
-            last.append(scratch.keep(by_differences(long, listed, links, tried, weights, scratch), "links"))
-        roots = components(reduce(DataFrame.union, last), scratch)
+            last.append(scratch.keep(by_differences(long, listed, roots, tried, weights, scratch), "links"))
+        roots = components(reduce(DataFrame.union, last), scratch, roots)
     scratch.drop(found, both)
 
     return own, scratch.keep(nodes.join(roots, "node", "left").select("node", "least_doc", F.coalesce("root", "node").alias("label")), "nodes"), scratch
