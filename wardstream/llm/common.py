@@ -6,21 +6,25 @@ Arrow string buffer itself), so splitting and hashing are numpy passes and no Py
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import spread
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes handed to Python at once; a batch of texts must fit in a small worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that one numpy pass works on.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 U = np.uint64
 _STEP, _A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -109,8 +113,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone (null text: empty), whatever other columns there are."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """doc_id and text alone (null text: empty), whatever other columns there are; the rows of a table that is too small
+    for a row group a core are dealt out."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return spread(own, "doc_id")
 
 
 def n_words(text: Column) -> Column:
@@ -180,6 +186,26 @@ def windows(h: np.ndarray, k: int, salt: int) -> np.ndarray:
     return mix(out, k)
 
 
+def release() -> None:
+    """Gives back what this worker has freed, so that an idle one doesn't hold the memory of its largest batch."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(f):
+    """A function over batches after which the worker's memory is given back."""
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -50,7 +50,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, batch, buffers, chunks, mix, prepare, texts, windows, words
+from .common import Scratch, U, batch, buffers, chunks, mix, prepare, release, released, texts, windows, words
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -132,6 +132,7 @@ def signature(x: np.ndarray) -> int:
     return int(both.astype(np.int64))
 
 
+@released
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and node of each document; besides, rows without a document that hold the slots of the shingles
     that a block repeats, and how often."""
@@ -166,6 +167,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from repeated()
 
 
+@released
 def slot_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by slot, summed within a task."""
     for b in batches:
@@ -184,6 +186,7 @@ def postings(weights, boundary: int, buckets: int):
     """A function that lists each node, once a task, under its subsets or its prefix; lists as blobs by bucket."""
     shift = U(64 - (buckets - 1).bit_length()) if buckets > 1 else None
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, found, n, seen = weights.value, [], 0, set()
 
@@ -263,7 +266,7 @@ def of_use(size: np.ndarray, pos: np.ndarray, first: np.ndarray, n: np.ndarray)
     reach, keep = 4 * size.astype(np.int64) - 7 * pos, np.zeros(len(size), bool)
     for m in range(2, min(BLOCKS, int(n.max(initial=0))) + 1):
         at = first[n == m]
-        for lo in range(0, len(at), step := max(1, (1 << 22) // m**2)):
+        for lo in range(0, len(at), step := max(1, (1 << 19) // m**2)):
             i = at[lo : lo + step, None] + np.arange(m)
             one = reach[i][:, :, None] >= 3 * size[i][:, None, :]
             one &= one.transpose(0, 2, 1) & ~np.eye(m, dtype=bool)
@@ -289,9 +292,11 @@ def lists(t: pa.Table) -> pa.Table:
     n = np.diff(np.r_[first, len(p)])
     subsets = p["pos"] < 0
     p = p[np.repeat(n > 1, n) & (subsets | of_use(p["size"], p["pos"], first, n))]
+    release()
     return pa.Table.from_arrays([pa.array(np.ascontiguousarray(p[f]).astype(np.int64 if f == "key" else p[f].dtype)) for f in POST.names], schema=FLAT)
 
 
+@released
 def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x in b.column("posts"):
@@ -324,6 +329,7 @@ def parities(x: np.ndarray) -> bytes:
     return np.uint32(len(x)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+@released
 def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose parities allow a link: each slot in which they differ holds a shingle that one set lacks, and linked
     sets of s and t shingles have at most (s + t) / 7 of these."""
@@ -340,6 +346,7 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blobs(bits):
     """A function that gives the sets of the documents that the filter lets pass, once a task; only these are hashed."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool), set()
         for b in batches:
@@ -359,6 +366,7 @@ def blobs(bits):
     return run
 
 
+@released
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         a, z = b.column("sa"), b.column("sb")
@@ -485,6 +493,7 @@ def across(both: DataFrame, boundary: int) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+@released
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node in a group: its set's size, how many shingles it shares with the group's member p, and how many only
     one of the two has."""
@@ -507,6 +516,7 @@ def first_differences(weights):
     their own first, then what p has of common ones, last what p alone has or lacks.  All by what p lacks (``own``): far ones
     by as many as their prefix has, near ones by all, which are few.
     """
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
 
@@ -651,6 +661,7 @@ def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
     doc_id, text = own[names.index("doc_id")], own[names.index("text")]
     docs = documents.toDF(*own)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes = [signature(x) if len(x) else None for _, x in shingle_sets(b.column(text))]

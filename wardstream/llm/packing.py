@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, prepare, public_vocabulary, table, texts
+from .common import Scratch, batch, prepare, public_vocabulary, released, table, texts
 from .ordered import running
 
 LENGTH, UNIT, CUT = 2048, 8, 64
@@ -89,6 +89,7 @@ class Tokenizer:
 
 
 def tokenized(ranks: str, full: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -294,6 +295,7 @@ def crc_of_rest(whole: int, first: int, rest_bytes: int) -> int:
 
 
 def placed(plan):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = plan.value
         for b in batches:

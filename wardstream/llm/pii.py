@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, prepare, table, texts
+from .common import batch, prepare, released, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -530,6 +530,7 @@ OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS
 
 
 def marked(model):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict = {f.name: [] for f in OUT if f.name != "doc_id"}
@@ -571,6 +572,7 @@ def masked_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     names, own = documents.columns, [f"c{i}" for i in range(len(documents.columns))]
     documents = documents.toDF(*own)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for b in batches:

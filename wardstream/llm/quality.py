@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, batch, buffers, chunks, mix, prefix_hash, prepare, span_hash, table, texts, windows, words
+from .common import U, batch, buffers, chunks, mix, prefix_hash, prepare, released, span_hash, table, texts, windows, words
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -147,6 +147,7 @@ def kept_documents(spark: SparkSession, documents: DataFrame, policy: str = CURR
     names, own = documents.columns, [f"c{i}" for i in range(len(documents.columns))]
     text, docs = own[names.index("text")], documents.toDF(*own)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = buffers(b.column(text))
