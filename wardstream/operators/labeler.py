@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +72,32 @@ def label(df: DataFrame, rules: dict[str, tuple[str, ...]] | None = None, text:
     return df.withColumns(out).drop("__lowered", "__plain")
 
 
+def label_ascii(df: DataFrame, rules: dict[str, tuple[str, ...]] | None = None, text: str = "text") -> DataFrame:
+    """The same with word edges and classes of ASCII and letters lower-cased one by one, as SQL on RE2 has them.
+
+    Batches of texts go to RE2, whose automata read a text once, however many patterns a label has.
+    """
+    found = {name: "|".join(f"(?:{p})" for p in patterns) for name, patterns in (rules or LABEL_RULES).items()}
+
+    @F.arrow_udf(", ".join(f"`{name}` int" for name in found))
+    def hits(texts: pa.Array) -> pa.Array:
+        lowered = pc.utf8_lower(texts)
+        return pa.StructArray.from_arrays([pc.match_substring_regex(lowered, p).cast(pa.int32()) for p in found.values()], list(found))
+
+    df = df.withColumn("__hits", hits(F.make_valid_utf8(F.coalesce(F.col(text), F.lit("")))))
+    return df.withColumns({name: F.col("__hits")[name] for name in found}).drop("__hits")
+
+
 def label_stats(df: DataFrame, names: list[str]) -> DataFrame:
-    """label, n and share of each label; and of rows with none and with several."""
+    """label, n and share of each label; and of rows with none and with several.
+
+    Shares are rounded as doubles, a half away from 0, as SQL does it (F.round takes their shortest decimals); those of no
+    rows are NaN.
+    """
     several = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    total = df.agg(F.count("*").alias("rows"), *(F.sum(n).alias(n) for n in names), F.count_if(several == 0).alias("none"), F.count_if(several > 1).alias("several"))
+    total = df.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), F.count_if(several == 0).alias("none"), F.count_if(several > 1).alias("several"))
     pairs = F.array(*(F.struct(F.lit(n).alias("label"), F.col(n).cast("long").alias("n")) for n in [*names, "none", "several"]))
-    return total.select("rows", F.explode(pairs).alias("p")).select("p.label", "p.n", F.round(F.col("p.n") / F.col("rows"), 6).alias("share"))
+    millionths = F.col("p.n") / F.col("rows") * 1e6
+    below = F.floor(millionths)
+    share = F.when(F.col("rows") > 0, (below + F.when(millionths - below >= 0.5, 1).otherwise(0)) / 1e6).otherwise(float("nan"))
+    return total.select("rows", F.explode(pairs).alias("p")).select("p.label", "p.n", share.alias("share"))
